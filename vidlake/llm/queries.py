@@ -6,19 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vidlake.llm.decontaminate import find_contamination
+from vidlake.llm.linededup import dedup_lines
 from vidlake.llm.ngramjoin import ngram_join
+from vidlake.llm.packing import pack
+from vidlake.llm.quality import judge
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_packing": op2_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -34,6 +65,34 @@ _SHINGLES = """
 """.format(words=_WORDS.format(text=_LOWER))
 
 ORACLE: dict[str, str] = {
+    "op1_benchmark_decontamination": f"""
+        with {_SHINGLES},
+        items as (select distinct item_id, text from benchmark),
+        item_words as (select item_id, {_WORDS.format(text=_LOWER)} as w from items),
+        item_gram as (
+            select distinct item_id, unnest(case when len(w) >= 5
+                then list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))
+                when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g
+            from item_words),
+        size as (select item_id, count(*) as n from item_gram group by 1)
+        select doc_id, item_id, any_value(n)::bigint as n_shingles, count(*)::bigint as n_shared
+        from gram join item_gram using (g) join size using (item_id)
+        group by doc_id, item_id having count(*) * 100 >= any_value(n) * 80
+    """,
+    "op3_line_dedup": r"""
+        with line as (
+            select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+            from documents),
+        keyed as (
+            select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+            from line),
+        often as (select k as often from keyed where length(k) > 0 group by k having count(distinct doc_id) >= 10)
+        select doc_id, count(*)::bigint as n_lines, count(often)::bigint as n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) order by pos) filter (often is null), '')) as kept_sha256
+        from keyed left join often on k = often group by doc_id
+    """,
     "op6_ngram_jaccard_join": f"""
         with recursive {_SHINGLES},
         size as (select doc_id, count(*) as n from gram group by 1),
