@@ -64,16 +64,21 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counters of each chunk summed over the tasks, as one byte of eight steps a doubling."""
+    """Counters of each chunk summed over the tasks, as one byte of three steps a doubling."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             one = np.frombuffer(zlib.decompress(blob), "<u4").astype(np.int64)
             total[chunk] = total[chunk] + one if chunk in total else one
-    steps = [np.minimum(255, np.round(6 * np.log2(v + 1.0))).astype(np.uint8).tobytes() for v in total.values()]
+    steps = [np.minimum(127, np.round(3 * np.log2(v + 1.0))).astype(np.uint8).tobytes() for v in total.values()]
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(steps, pa.binary())], names=["chunk", "steps"])
 
 
+def _places(own: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Places of a set's elements in the global order (the counters' steps, then the hashes), ascending."""
+    return np.sort((level[_bucket(own)].astype(np.int64) << 55) | (own >> np.uint64(9)).astype(np.int64))
+
+
 def prefix_size(n: int, num: int = setjoin.NUM, den: int = setjoin.DEN) -> int:
     return n - -(-n * num // den) + 1
 
@@ -104,22 +109,26 @@ def _incidence(levels):
     return run
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        wanted = batch.column("id").to_numpy()
-        ids, n, sets, size = [], [], [], 0
-        kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=kind)
-        for k, own in distinct_sets(batch.column("text")):
-            if set_hash(own) == wanted[k]:
-                ids.append(wanted[k])
-                n.append(len(own))
-                sets.append(own.view(np.int64))
-                size += len(own)
-            if size > 1 << 19:
-                yield flush()
-                ids, n, sets, size = [], [], [], 0
-        yield flush()
+def _whole_sets(levels):
+    """A task's function: the sets of the wanted documents, and where their prefixes end in the global order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = levels.value
+        kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("last", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+        flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, kind)], schema=kind)
+        for batch in batches:
+            wanted = batch.column("id").to_numpy()
+            rows, size = [], 0
+            for k, own in distinct_sets(batch.column("text")):
+                if set_hash(own) == wanted[k]:
+                    rows.append((wanted[k], len(own), int(_places(own, level)[prefix_size(len(own)) - 1]), own.view(np.int64)))
+                    size += len(own)
+                if size > 1 << 19:
+                    yield flush(rows)
+                    rows, size = [], 0
+            yield flush(rows)
+
+    return run
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -138,7 +147,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     level = np.zeros(1 << SKETCH_BITS, np.uint8)
     for chunk, steps in parts:
         level[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(steps, np.uint8)
-    incidence = save_bucketed(docs.mapInArrow(_incidence(spark.sparkContext.broadcast(level)), "h long, id long"), "incidence", "h")
+    levels = spark.sparkContext.broadcast(level)
+    incidence = save_bucketed(docs.mapInArrow(_incidence(levels), "h long, id long"), "incidence", "h")
     column = Window.partitionBy("h")
     members = incidence.withColumn("lo", F.min("id").over(column)).withColumn("hi", F.max("id").over(column))
     members = save(members.where("lo <> hi").select("h", "id").distinct(), "columns")
@@ -146,8 +156,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     firsts = table.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     firsts = save(firsts, "firsts")
     wanted = save(members.select("id").distinct().join(firsts.hint("merge"), "id").select("doc_id", "id"), "wanted")
-    sets = save(docs.join(wanted.hint("merge"), "doc_id").select("id", "text").mapInArrow(_whole_sets, "id long, n long, shingles array<long>"), "whole")
-    labels = setjoin.link_components(members, sets)
+    sets = save(docs.join(wanted.hint("merge"), "doc_id").select("id", "text").mapInArrow(_whole_sets(levels), "id long, n long, last long, shingles array<long>"), "whole")
+    labels = setjoin.link_components(members, sets, prefixes=True)
     drop(sets)
     drop(members)
     grouped = save(firsts.join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), "grouped")

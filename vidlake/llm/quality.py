@@ -102,13 +102,17 @@ def learn_rules(labelled: DataFrame) -> list[list[Condition]]:
     Only histograms come to the driver: features times bins, whatever the rows.
     """
     names = list(features())
-    table = labelled.where(~base_failed()).select((~F.col("good")).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2).alias("grow"), "n_words", "word_chars", "n_symbols", "n_bangs", "n_dup_lines", "n_repeat_words")
-    table = save(table, "labelled")
+    table = labelled.select((~F.col("good")).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2).alias("grow"), "n_words", "word_chars", "n_symbols", "n_bangs", "n_dup_lines", "n_repeat_words")
+    table = save(table, "labelled").where(~base_failed())
     marks = [k / BINS for k in range(1, BINS)] + [0.97, 0.98, 0.99, 0.995]
     row = table.agg(*[F.percentile_approx(f, marks, 10_000).alias(k) for k, f in features().items()]).first()
     limits = {k: sorted(set(row[k] or [])) for k in names}
-    binned = table.withColumn("bins", F.array(*[F.size(F.filter(F.array(*[F.lit(float(t)) for t in limits[k]]).cast("array<double>"), lambda t, k=k: t < features()[k])) for k in names]))
-    binned = save(binned, "binned")
+
+    def bin_of(name: str) -> Column:
+        marks = F.array(*[F.lit(float(t)) for t in limits[name]]).cast("array<double>")
+        return F.size(F.filter(marks, lambda t: t < features()[name]))
+
+    binned = save(table.withColumn("bins", F.array(*map(bin_of, names))), "binned")
 
     def histogram(left: DataFrame, rule: list[Condition]) -> dict:
         rows = left.where(F.col("grow") & holds(rule)).select("bad", F.posexplode("bins").alias("feature", "bin"))
@@ -123,7 +127,9 @@ def learn_rules(labelled: DataFrame) -> list[list[Condition]]:
             for b, limit in enumerate(limits[name]):
                 p, n = p + counts[b][0], n + counts[b][1]
                 for sign, x, y in (("<=", p, n), (">", p0 - p, n0 - n)):
-                    if x + y < p0 + n0 and (g := _gain(p0, n0, x, y)) > 1e-9 and (found is None or g > found[0]):
+                    g = _gain(p0, n0, x, y)
+                    # of equal gains on the high side, the threshold that rejects least
+                    if x + y < p0 + n0 and g > 1e-9 and (found is None or g > found[0] or (g == found[0] and sign == ">" and found[1][:2] == (name, sign))):
                         found = (g, (name, sign, float(limit)), x, y)
         return found
 
@@ -187,4 +193,6 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that judge keeps, with the columns of docs."""
-    return judge(docs, labels).where("kept").select(*docs.columns)
+    # the row number keeps the filter above the statistics: pushed into them, it would compute them again for each use
+    judged = judge(docs, labels).withColumn("_q_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_q_row") >= 0)).select(*docs.columns)

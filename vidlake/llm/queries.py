@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vidlake.llm.chat import render
 from vidlake.llm.decontaminate import find_contamination
+from vidlake.llm.fixity import audit
 from vidlake.llm.linededup import dedup_lines
 from vidlake.llm.ngramjoin import ngram_join
 from vidlake.llm.packing import pack
+from vidlake.llm.passages import repeated_passages
+from vidlake.llm.pii import replace_pii
 from vidlake.llm.quality import judge
+from vidlake.llm.secrets import scan_secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +40,37 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+#: Stands in for a secret that a caller would hold.
+PII_KEY = "check"
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render(table(spark, sf_dir, "conversations"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of pages against a replica with damage: bodies changed, and records lost, at set page ids."""
+    pages = table(spark, sf_dir, "pages")
+    changed = F.when(F.col("page_id") % 97 == 3, F.concat("html", F.lit("\x00"))).otherwise(F.col("html"))
+    return audit(pages, pages.where("page_id % 389 <> 11").withColumn("html", changed))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -48,7 +80,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_pii_surrogates": op4_pii_surrogates,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_warc_fixity": op7_warc_fixity,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_passage_dedup": op9_passage_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -103,4 +140,30 @@ ORACLE: dict[str, str] = {
         from documents d left join size s on s.doc_id = d.doc_id left join reach r on r.a = d.doc_id
         group by d.doc_id
     """,
+    "op5_chat_formatting": """
+        with t as (select distinct conv_id, turn, role, text from conversations where conv_id is not null and turn is not null),
+        c as (select conv_id, list({'turn': turn, 'role': role, 'text': text} order by turn, role, text) as l from t group by 1),
+        kept as (
+            select conv_id from c a where not exists (
+                select 1 from c b where b.conv_id <> a.conv_id and b.l[1:len(a.l)] = a.l and (
+                    (len(b.l) > len(a.l) and b.l[len(a.l) + 1].turn > a.l[-1].turn) or (len(b.l) = len(a.l) and b.conv_id < a.conv_id)))),
+        said as (
+            select conv_id, turn // 64 as block, turn,
+                '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) as said
+            from t where conv_id in (from kept))
+        select conv_id, block, min(turn) as first_turn, count(*)::bigint as n_turns, string_agg(said, '' order by turn, said) as text
+        from said group by conv_id, block
+    """,
+    "op7_warc_fixity": """
+        with r as (
+            select page_id, page_id // 1024 as file, strlen(coalesce(html, '')) as body,
+                strlen('WARC/1.0..WARC-Type: response..WARC-Target-URI: ' || coalesce(url, '') || '..Content-Length: ' || strlen(coalesce(html, '')) || '....') as head
+            from pages where page_id is not null),
+        placed as (
+            select page_id, file, (head + body + 4)::bigint as length,
+                coalesce(sum(head + body + 4) over (partition by file order by page_id rows between unbounded preceding and 1 preceding), 0)::bigint as "offset"
+            from r)
+        select page_id, file, "offset", length, case when page_id % 389 = 11 then 'missing' else 'altered' end as status
+        from placed where page_id % 389 = 11 or page_id % 97 = 3
+    """,
 }

@@ -17,12 +17,20 @@ from vidlake.llm.storage import drop, save
 
 #: Two sets of sizes x <= y can only reach NUM / DEN when DEN * x >= NUM * y.
 NUM, DEN = 80, 100
-PIVOTS = 4
-ROUNDS = 3
+#: Pivots a column in each round.
+PIVOTS = (1, 3, 3)
 
 
-def size_bound(x: Column, y: Column) -> Column:
-    return F.least(x, y) * DEN >= F.greatest(x, y) * NUM
+def may_link(x: str, y: str) -> Column:
+    """Whether two members can reach the similarity.
+
+    By their sizes n; and, where prefixes are columns, by m: what is left of a set
+    without the prefix elements that no other prefix has. Of two sets, the one whose
+    prefix ends first (last) has these elements to itself, but for the one at the end.
+    """
+    nx, ny, mx, my, ex, ey = (F.col(f"{side}.{name}") for name in ("n", "m", "last") for side in (x, y))
+    most = F.when(ex <= ey, mx).otherwise(my) + 1
+    return (F.least(nx, ny) * DEN >= F.greatest(nx, ny) * NUM) & (most * (NUM + DEN) >= (nx + ny) * NUM)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -36,9 +44,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _pivots(members: DataFrame, count: int, salt: int) -> DataFrame:
     """(h, pivot) for `count` members a column: the most overlapped one first in round 0, the rest by hash."""
-    picks = [F.max_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(salt * 64 + k))) for k in range(count)]
-    if salt == 0:
-        picks[0] = F.max_by(F.struct("id", "n", "component"), F.struct("score", "id"))
+    who = F.struct("id", "n", "m", "last", "component")
+    picks = [F.max_by(who, F.struct("score", "id") if salt + k == 0 else F.xxhash64("id", F.lit(salt * 64 + k))) for k in range(count)]
     return members.groupBy("h").agg(F.array_distinct(F.array(*picks)).alias("pivots")).select("h", F.explode("pivots").alias("pivot"))
 
 
@@ -59,25 +66,30 @@ def _relabel(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
     return out.withColumn("component", F.coalesce("now", "was")).drop("was", "now"), True
 
 
-def link_components(members: DataFrame, sets: DataFrame) -> DataFrame:
+def link_components(members: DataFrame, sets: DataFrame, prefixes: bool) -> DataFrame:
     """(id, component) of the sets that some link joins; component: the smallest id.
 
-    members: distinct (h, id); sets: (id, n, shingles), one row for every id of
-    members. A column of m members costs PIVOTS * m checks a round; pairs are spelled
-    out only between members that are in different components after the rounds.
+    members: distinct (h, id) of the columns that two or more sets have; sets: (id, n,
+    last, shingles), one row for every id of members. A column of k members costs as many
+    checks a round as it has pivots times k; pairs are spelled out only between members
+    that are in different components after the rounds. prefixes: columns are the
+    n - ceil(0.8 n) + 1 first elements of each set in an order of all elements, and last
+    is the place of the last of these.
     """
-    sizes = sets.select("id", "n")
+    sizes = sets.select("id", "n", "last")
     weight = members.groupBy("h").agg(F.log2(F.count(F.lit(1)).cast("double")).alias("weight"))
-    weighted = members.join(weight.hint("merge"), "h").groupBy("id").agg(F.sum("weight").alias("score"))
+    weighted = members.join(weight.hint("merge"), "h").groupBy("id").agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("shared"))
     weighted = weighted.join(sizes.hint("merge"), "id")
-    work = save(members.join(weighted.hint("merge"), "id").withColumn("component", F.col("id")).select("h", "id", "n", "score", "component"), "members")
+    matchable = F.ceil(F.col("n") * NUM / DEN) - 1 + F.col("shared") if prefixes else F.col("n")
+    weighted = weighted.withColumn("m", matchable)
+    work = save(members.join(weighted.hint("merge"), "id").withColumn("component", F.col("id")).select("h", "id", "n", "m", "last", "score", "component"), "members")
     every, checked = None, None
-    for turn in range(ROUNDS):
-        pivots = _pivots(work, PIVOTS, turn)
+    for turn, count in enumerate(PIVOTS):
+        pivots = _pivots(work, count, turn)
         pairs = (
-            work.join(pivots.hint("merge"), "h")
-            .where((F.col("pivot.component") != F.col("component")) & size_bound(F.col("n"), F.col("pivot.n")))
-            .select("h", F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"), F.least("component", "pivot.component").alias("ca"), F.greatest("component", "pivot.component").alias("cb"))
+            work.alias("x").join(pivots.hint("merge"), "h")
+            .where((F.col("pivot.component") != F.col("x.component")) & may_link("x", "pivot"))
+            .select(F.least("x.id", "pivot.id").alias("a"), F.greatest("x.id", "pivot.id").alias("b"), F.least("x.component", "pivot.component").alias("ca"), F.greatest("x.component", "pivot.component").alias("cb"))
             .groupBy("a", "b")
             .agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"))
         )
@@ -92,7 +104,7 @@ def link_components(members: DataFrame, sets: DataFrame) -> DataFrame:
     x, y = work.alias("x"), work.alias("y")
     rest = (
         x.join(y.hint("merge"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")))
-        .where((F.col("x.component") != F.col("y.component")) & size_bound(F.col("x.n"), F.col("y.n")))
+        .where((F.col("x.component") != F.col("y.component")) & may_link("x", "y"))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
         .join(checked.hint("merge"), ["a", "b"], "left_anti")
