@@ -84,14 +84,15 @@ def prefix_size(n: int, num: int = setjoin.NUM, den: int = setjoin.DEN) -> int:
 
 
 def _incidence(levels):
-    """A task's function: the columns (h, id) that the size bound keeps of each document."""
+    """A task's function: the columns (h, id, r) that the size bound keeps of each document; r: place in the set, from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         seen: set[int] = set()
         for batch in batches:
             known = batch.column("doc_id").is_valid()
-            hs, ids, size = [], [], 0
+            hs, ids, places, size = [], [], [], 0
+            pack = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))], names=["h", "id", "r"])
             for k, own in distinct_sets(batch.column("text")):
                 if not len(own) or not known[k].as_py() or (me := int(set_hash(own))) in seen:
                     continue
@@ -99,12 +100,13 @@ def _incidence(levels):
                 keep = own[np.argsort(level[_bucket(own)], kind="stable")[: prefix_size(len(own))]]
                 hs.append(keep)
                 ids.append(np.full(len(keep), me))
+                places.append(np.arange(1, len(keep) + 1))
                 size += len(keep)
                 if size > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids))], names=["h", "id"])
-                    hs, ids, size = [], [], 0
+                    yield pack()
+                    hs, ids, places, size = [], [], [], 0
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids))], names=["h", "id"])
+                yield pack()
 
     return run
 
@@ -148,10 +150,10 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     for chunk, steps in parts:
         level[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(steps, np.uint8)
     levels = spark.sparkContext.broadcast(level)
-    incidence = save_bucketed(docs.mapInArrow(_incidence(levels), "h long, id long"), "incidence", "h")
+    incidence = save_bucketed(docs.mapInArrow(_incidence(levels), "h long, id long, r int"), "incidence", "h")
     column = Window.partitionBy("h")
     members = incidence.withColumn("lo", F.min("id").over(column)).withColumn("hi", F.max("id").over(column))
-    members = save(members.where("lo <> hi").select("h", "id").distinct(), "columns")
+    members = save(members.where("lo <> hi").select("h", "id", "r").distinct(), "columns")
     drop(incidence)
     firsts = table.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     firsts = save(firsts, "firsts")

@@ -24,13 +24,16 @@ PIVOTS = (1, 3, 3)
 def may_link(x: str, y: str) -> Column:
     """Whether two members can reach the similarity.
 
-    By their sizes n; and, where prefixes are columns, by m: what is left of a set
-    without the prefix elements that no other prefix has. Of two sets, the one whose
-    prefix ends first (last) has these elements to itself, but for the one at the end.
+    By their sizes n; and, where prefixes are columns, by the place r of the shared
+    element in each: of two sets that share enough, the first common element is among
+    the first n - needed + 1 of both. And by m: what is left of a set without the prefix
+    elements that no other prefix has. Of two sets, the one whose prefix ends first
+    (last) has these elements to itself, but for the one at the end.
     """
-    nx, ny, mx, my, ex, ey = (F.col(f"{side}.{name}") for name in ("n", "m", "last") for side in (x, y))
+    nx, ny, mx, my, ex, ey, rx, ry = (F.col(f"{side}.{name}") for name in ("n", "m", "last", "r") for side in (x, y))
+    needed = F.ceil((nx + ny) * NUM / (NUM + DEN))
     most = F.when(ex <= ey, mx).otherwise(my) + 1
-    return (F.least(nx, ny) * DEN >= F.greatest(nx, ny) * NUM) & (most * (NUM + DEN) >= (nx + ny) * NUM)
+    return (F.least(nx, ny) * DEN >= F.greatest(nx, ny) * NUM) & (rx + needed <= nx + 1) & (ry + needed <= ny + 1) & (most >= needed)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -44,7 +47,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _pivots(members: DataFrame, count: int, salt: int) -> DataFrame:
     """(h, pivot) for `count` members a column: the most overlapped one first in round 0, the rest by hash."""
-    who = F.struct("id", "n", "m", "last", "component")
+    who = F.struct("id", "n", "m", "last", "r", "component")
     picks = [F.max_by(who, F.struct("score", "id") if salt + k == 0 else F.xxhash64("id", F.lit(salt * 64 + k))) for k in range(count)]
     return members.groupBy("h").agg(F.array_distinct(F.array(*picks)).alias("pivots")).select("h", F.explode("pivots").alias("pivot"))
 
@@ -69,8 +72,8 @@ def _relabel(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
 def link_components(members: DataFrame, sets: DataFrame, prefixes: bool) -> DataFrame:
     """(id, component) of the sets that some link joins; component: the smallest id.
 
-    members: distinct (h, id) of the columns that two or more sets have; sets: (id, n,
-    last, shingles), one row for every id of members. A column of k members costs as many
+    members: distinct (h, id, r) of the columns that two or more sets have (r: place of
+    the element in its set, or 0); sets: (id, n, last, shingles), one row for every id of members. A column of k members costs as many
     checks a round as it has pivots times k; pairs are spelled out only between members
     that are in different components after the rounds. prefixes: columns are the
     n - ceil(0.8 n) + 1 first elements of each set in an order of all elements, and last
@@ -82,7 +85,7 @@ def link_components(members: DataFrame, sets: DataFrame, prefixes: bool) -> Data
     weighted = weighted.join(sizes.hint("merge"), "id")
     matchable = F.ceil(F.col("n") * NUM / DEN) - 1 + F.col("shared") if prefixes else F.col("n")
     weighted = weighted.withColumn("m", matchable)
-    work = save(members.join(weighted.hint("merge"), "id").withColumn("component", F.col("id")).select("h", "id", "n", "m", "last", "score", "component"), "members")
+    work = save(members.join(weighted.hint("merge"), "id").withColumn("component", F.col("id")).select("h", "id", "r", "n", "m", "last", "score", "component"), "members")
     every, checked = None, None
     for turn, count in enumerate(PIVOTS):
         pivots = _pivots(work, count, turn)
