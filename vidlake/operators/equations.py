@@ -7,6 +7,7 @@ import operator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from vidlake.functions.text import round_any, split_tokens
 
@@ -63,7 +64,7 @@ def _evaluate(text: str | None) -> float | None:
         return None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def evaluate(texts: pd.Series) -> pd.Series:
     """Values of + - * / ^ and brackets; null for anything else."""
     return texts.map(_evaluate).astype("float64")

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def _micros(ts: Column) -> Column:
+    """Microseconds since the epoch, of either kind of timestamp."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def _cell(ts: Column, ms: int) -> Column:
-    return F.floor(F.unix_micros(ts) / (ms * 1000)) * ms
+    return F.floor(_micros(ts) / (ms * 1000)) * ms
 
 
 def _ms(a: Column, b: Column) -> Column:
-    return (F.unix_micros(b) - F.unix_micros(a)) / 1000
+    return (_micros(b) - _micros(a)) / 1000
 
 
 def output_fps(trace: DataFrame, epoch_ms: int = 500) -> DataFrame:
