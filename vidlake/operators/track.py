@@ -69,8 +69,7 @@ def track_trail(history: DataFrame, last: int) -> DataFrame:
 # ---- tracking by predicted boxes ----
 
 MAX_AGE, MIN_HITS, MATCH_IOU, REPORT_IOU = 1, 3, 0.5, 0.8
-_F = np.eye(7) + np.diag([1.0, 1.0, 1.0, 0.0], 3)[:7, :7]
-_H = np.eye(4, 7)
+_F = np.eye(7) + np.diag([1.0, 1.0, 1.0], 4)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,70 +112,113 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(j, i) for i, j in pairs] if flip else pairs
 
 
-class Trackers:
-    """Constant-velocity trackers of one channel: centre, area and aspect of a box, and the speed of the first three."""
+def _small(w: np.ndarray) -> list[tuple[int, int]]:
+    """Rows and columns of greatest total weight; few of either are compared outright."""
+    n, m = w.shape
+    if n == 1 or m == 1:
+        i, j = divmod(int(w.argmax()), m)
+        return [(i, j)]
+    if n == 2 and m == 2:
+        return [(0, 0), (1, 1)] if w[0, 0] + w[1, 1] >= w[0, 1] + w[1, 0] else [(0, 1), (1, 0)]
+    return assign(1 - w)
+
 
-    def __init__(self, state: list | None = None, next_id: int = 1):
-        self.live: list[dict] = state or []
-        self.next_id = next_id
+def match(like: np.ndarray) -> list[tuple[int, int]]:
+    """Rows and columns matched for the greatest total overlap.
+
+    Pairs without overlap add nothing, so each group of rows and columns that overlap
+    one another, directly or through others, is solved by itself.
+    """
+    some = like > 0
+    by_row, by_col = some.sum(1), some.sum(0)
+    i, j = np.nonzero(some)
+    alone = (by_row[i] == 1) & (by_col[j] == 1)
+    pairs, left = list(zip(i[alone].tolist(), j[alone].tolist())), by_row > 0
+    left[i[alone]] = False
+    for i in np.flatnonzero(left).tolist():
+        if not left[i]:
+            continue
+        rows, size = np.zeros(len(like), bool), 0
+        rows[i] = True
+        while rows.sum() > size:
+            size = int(rows.sum())
+            cols = some[rows].any(0)
+            rows = some[:, cols].any(1)
+        left &= ~rows
+        r, c = np.flatnonzero(rows), np.flatnonzero(cols)
+        pairs += [(int(r[a]), int(c[b])) for a, b in _small(like[np.ix_(r, c)])]
+    return pairs
+
+
+_Q, _R, _P0 = np.diag([1.0, 1.0, 1.0, 1e-2, 1e-2, 1e-2, 1e-4]), np.diag([1.0, 1.0, 10.0, 10.0]), np.diag([10.0, 10.0, 10.0, 10.0, 1e4, 1e4, 1e4])
+
+
+def _measures(boxes: np.ndarray) -> np.ndarray:
+    """Centre, area and aspect of boxes."""
+    b = boxes.astype(float)
+    return np.stack([b[:, 0] + b[:, 2] / 2, b[:, 1] + b[:, 3] / 2, b[:, 2] * b[:, 3], b[:, 2] / np.maximum(b[:, 3], 1e-9)], axis=1)
+
+
+def _boxes(x: np.ndarray) -> np.ndarray:
+    w = np.sqrt(np.maximum(x[:, 2] * x[:, 3], 1e-9))
+    h = x[:, 2] / w
+    return np.stack([x[:, 0] - w / 2, x[:, 1] - h / 2, w, h], axis=1)
+
+
+class Trackers:
+    """Constant-velocity trackers of one channel, as arrays: centre, area and aspect of a box, and the speed of the first three."""
 
-    def _start(self, b: np.ndarray) -> None:
-        x = np.zeros(7)
-        x[:4] = self._measure(b)
-        p = np.diag([10.0, 10.0, 10.0, 10.0, 1e4, 1e4, 1e4])
-        self.live.append({"id": self.next_id, "x": x, "p": p, "age": 0, "streak": 0})
-        self.next_id += 1
+    def __init__(self):
+        self.x, self.p = np.zeros((0, 7)), np.zeros((0, 7, 7))
+        self.ids, self.age, self.streak = (np.zeros(0, np.int64) for _ in range(3))
+        self.next_id = 1
 
-    @staticmethod
-    def _measure(b: np.ndarray) -> np.ndarray:
-        return np.array([b[0] + b[2] / 2, b[1] + b[3] / 2, b[2] * b[3], b[2] / max(b[3], 1e-9)])
+    def _keep(self, which: np.ndarray) -> None:
+        self.x, self.p, self.ids, self.age, self.streak = (v[which] for v in (self.x, self.p, self.ids, self.age, self.streak))
 
-    @staticmethod
-    def _box(x: np.ndarray) -> np.ndarray:
-        w = np.sqrt(max(x[2] * x[3], 1e-9))
-        h = x[2] / w
-        return np.array([x[0] - w / 2, x[1] - h / 2, w, h])
+    def _start(self, boxes: np.ndarray) -> None:
+        n = len(boxes)
+        if n:
+            self.x = np.concatenate([self.x, np.concatenate([_measures(boxes), np.zeros((n, 3))], axis=1)])
+            self.p = np.concatenate([self.p, np.broadcast_to(_P0, (n, 7, 7))])
+            self.ids = np.concatenate([self.ids, np.arange(self.next_id, self.next_id + n)])
+            self.age, self.streak = (np.concatenate([v, np.zeros(n, np.int64)]) for v in (self.age, self.streak))
+            self.next_id += n
 
     def step(self, boxes: np.ndarray) -> np.ndarray:
         """Ids of the boxes of the next frame, -1 where none is sure yet."""
         ids = np.full(len(boxes), -1, np.int64)
-        if not self.live:
-            for b in boxes:
-                self._start(b)
+        if not len(self.ids):
+            self._start(boxes)
             return ids
-        q = np.diag([1.0, 1.0, 1.0, 1e-2, 1e-2, 1e-2, 1e-4])
-        keep = []
-        for t in self.live:
-            if t["x"][2] + t["x"][6] <= 0:
-                t["x"][6] = 0.0
-            t["x"], t["p"] = _F @ t["x"], _F @ t["p"] @ _F.T + q
-            if t["age"] > 0:
-                t["streak"] = 0
-            t["age"] += 1
-            place = self._box(t["x"])
-            if place[0] >= 0 and place[1] >= 0:
-                keep.append(t)
-        self.live = keep
-        pairs = []
-        if len(boxes) and keep:
-            like = overlap(np.array([self._box(t["x"]) for t in keep]), boxes.astype(float))
-            pairs = [(i, j) for i, j in assign(1 - like) if like[i, j] >= MATCH_IOU]
-        r = np.diag([1.0, 1.0, 10.0, 10.0])
-        for i, j in pairs:
-            t = keep[i]
-            gain = t["p"] @ _H.T @ np.linalg.inv(_H @ t["p"] @ _H.T + r)
-            t["x"] = t["x"] + gain @ (self._measure(boxes[j].astype(float)) - _H @ t["x"])
-            t["p"] = (np.eye(7) - gain @ _H) @ t["p"]
-            t["age"], t["streak"] = 0, t["streak"] + 1
-        taken = {j for _, j in pairs}
-        for t in keep:
-            if t["age"] < 1 and t["streak"] >= MIN_HITS and len(boxes):
-                near = overlap(self._box(t["x"])[None], boxes.astype(float))[0]
-                ids[near > REPORT_IOU] = t["id"]
-        self.live = [t for t in self.live if t["age"] <= MAX_AGE]
-        for j in range(len(boxes)):
-            if j not in taken:
-                self._start(boxes[j].astype(float))
+        self.x[self.x[:, 2] + self.x[:, 6] <= 0, 6] = 0.0
+        self.x, self.p = self.x @ _F.T, _F @ self.p @ _F.T + _Q
+        self.streak[self.age > 0] = 0
+        self.age += 1
+        place = _boxes(self.x)
+        seen = (place[:, 0] >= 0) & (place[:, 1] >= 0)
+        self._keep(seen)
+        taken = np.zeros(len(boxes), bool)
+        if len(boxes) and len(self.ids):
+            like = overlap(place[seen], boxes.astype(float))
+            pairs = [(i, j) for i, j in match(like) if like[i, j] >= MATCH_IOU]
+            if pairs:
+                i, j = map(np.array, zip(*pairs))
+                # the measured part of the state is its first four numbers
+                gain = self.p[i][:, :, :4] @ np.linalg.inv(self.p[i][:, :4, :4] + _R)
+                off = _measures(boxes[j]) - self.x[i][:, :4]
+                self.x[i] += (gain @ off[:, :, None])[:, :, 0]
+                self.p[i] -= gain @ self.p[i][:, :4, :]
+                self.age[i], taken[j] = 0, True
+                self.streak[i] += 1
+            sure = np.flatnonzero((self.age < 1) & (self.streak >= MIN_HITS))
+            if len(sure):
+                near = overlap(_boxes(self.x[sure]), boxes.astype(float)) > REPORT_IOU
+                # where several do, the later tracker's id stays
+                last = len(sure) - 1 - near[::-1].argmax(0)
+                ids = np.where(near.any(0), self.ids[sure][last], ids)
+        self._keep(self.age <= MAX_AGE)
+        self._start(boxes[~taken])
         return ids
 
 
