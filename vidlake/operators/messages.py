@@ -60,7 +60,9 @@ def crop_name(folder: str, number: Column) -> Column:
 
 
 def _vector(v: Column) -> Column:
-    return F.array_join(F.transform(v, lambda x: F.format_string("%.6g", x)), ",")
+    """Numbers with six significant digits and no trailing zeros."""
+    one = lambda x: F.regexp_replace(F.format_string("%.6g", x), r"\.?0+(?=e|$)(?<=\.[0-9]{0,20})", "")
+    return F.array_join(F.transform(v, one), ",")
 
 
 def embedding_messages(targets: DataFrame, folder: str) -> DataFrame:

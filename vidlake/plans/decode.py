@@ -352,6 +352,7 @@ def _boxes(spark, d):
     return numbered(spark, d).select("channel_index", "frame_index", "target_no", "x", "y", "width", "height", "primary_class_id")
 
 
+_L = " || chr(10) || "
 _ITEM = "'{\"x\":' || x || ',\"y\":' || y || ',\"width\":' || width || ',\"height\":' || height || ',\"primary_class_id\":' || primary_class_id || '}'"
 
 
@@ -360,13 +361,15 @@ def json_messages(spark, d):
     return G.to_json_messages(raw_frames(spark, d).withColumn("fps", F.lit(25)), _boxes(spark, d), "normal", ["x", "y", "width", "height", "primary_class_id"])
 
 
-@query("xml_messages")
+_XML_ITEM = "    <normal_targets>' || chr(10) || '" + " || chr(10) || ".join(f"        <{c}>' || {c} || '</{c}>'" if k == 0 else f"'        <{c}>' || {c} || '</{c}>'" for k, c in enumerate(("x", "y", "width", "height", "primary_class_id"))) + " || chr(10) || '    </normal_targets>"
+
+
+@query("xml_messages", f"with {NUMBERED} select channel_index, frame_index, '<message>' {_L} '    <channel_index>' || channel_index || '</channel_index>' {_L} '    <frame_index>' || frame_index || '</frame_index>' {_L} '    <width>800</width>' {_L} '    <height>700</height>' {_L} '    <fps>25</fps>' {_L} '    <broke_for>normal</broke_for>' {_L} '    <normal_size>' || count(*) || '</normal_size>' {_L} string_agg('{_XML_ITEM}', chr(10) order by target_no) {_L} '</message>' as message from numbered group by 1, 2")
 def xml_messages(spark, d):
     return G.to_xml_messages(raw_frames(spark, d).withColumn("fps", F.lit(25)), _boxes(spark, d), "normal", ["x", "y", "width", "height", "primary_class_id"])
 
 
 _WHEN = "strftime(timestamp '2024-01-01 00:00:00' + to_milliseconds(frame_index::bigint * 40), '%Y-%m-%d %H:%M:%S.%g')"
-_L = " || chr(10) || "
 
 
 @query("ba_messages", f"with {PB.STOPS} select e.channel_index, e.frame_index, ba_type, '<--' {_L} {_WHEN.replace('frame_index', 'e.frame_index')} {_L} e.channel_index || ',' || e.frame_index {_L} ba_type || ',' || ba_label {_L} e.track_id {_L} '20,30,600,40,600,300,10,300' {_L} coalesce('k' || primary_class_id || '|w' || width, '') {_L} 'i.jpg' {_L} '' {_L} '-->' as message from stop_events e left join detections d using (channel_index, frame_index, track_id)")
@@ -383,12 +386,16 @@ def _embedded(spark, d):
     return v.select("channel_index", "frame_index", F.lit(0).alias("target_no"), F.when(F.col("vec_id") % 2 == 0, F.col("vec_id")).otherwise(F.lit(-1)).alias("track_id"), F.slice("embedding", 1, 8).alias("embedding"), F.array(F.concat(F.lit("c"), F.col("label").cast("string"))).alias("secondary"), F.lit("blue_A123456").alias("sub_label"))
 
 
-@query("embedding_messages")
+_VEC = "array_to_string(list_transform(embedding[1:8], lambda x: printf('%.6g', x)), ',')"
+_CROP = "'crops/' || channel_index || '_' || frame_index || '_' || case when vec_id % 2 = 0 then vec_id else 0 end || '.jpg'"
+
+
+@query("embedding_messages", f"with {X.VECTORS_SQL} select channel_index, frame_index, 0 as target_no, '<--' {_L} {_CROP} {_L} {_VEC} {_L} '-->' as message from vectors")
 def embedding_messages(spark, d):
     return G.embedding_messages(_embedded(spark, d), "crops")
 
 
-@query("property_messages")
+@query("property_messages", f"with {X.VECTORS_SQL} select channel_index, frame_index, 0 as target_no, '<--' {_L} {_CROP} {_L} {_VEC} {_L} 'c' || label {_L} 'blue_A123456' {_L} '-->' as message from vectors")
 def property_messages(spark, d):
     return G.property_messages(_embedded(spark, d), "crops")
 
