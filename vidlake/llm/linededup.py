@@ -137,7 +137,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHE
     index = LineIndex(spark, min_docs)
     for k in range(batches):
         index.add(keys.where(F.col("batch") == k).select("key"))
-    frequent = index.frequent().select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # written anew: read from the buckets, it would be joined by key alone and a hot key's salts would meet again
+    frequent = save(index.frequent().select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "frequent")
     salted = keys.select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     gone = salted.join(frequent.hint("merge"), ["key", "salt"]).groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
     gone = save(gone.select(F.col("doc_id").alias("__doc"), F.col("gone").alias("__gone")), "gone")
