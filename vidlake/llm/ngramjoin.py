@@ -177,5 +177,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows that repeat a doc_id within a component, all stay with that doc_id if it is
     the smallest: they are one document. Rows without a doc_id stay.
     """
-    gone = ngram_join(docs.select("doc_id", "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(save(gone, "gone").hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = ngram_join(docs.select("doc_id", "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(save(gone, "gone").hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
