@@ -306,6 +306,21 @@ def test_passages(docs, empty, texts):
     assert passages.repeated_passages(empty).collect() == []
 
 
+def test_passages_across_line_breaks(spark):
+    rng = random.Random(31)
+    passages_, docs, pairs = [sentence(rng, 54) for _ in range(20)], [], set()
+    wrapped = lambda w, n, at: " ".join(x + ("\n" if k % n == at else "") for k, x in enumerate(w))
+    for k, p in enumerate(passages_):
+        docs.append((2 * k, wrapped(sentence(rng, 49) + p + sentence(rng, 45), 12, k % 12)))
+        docs.append((2 * k + 1, wrapped(sentence(rng, 41) + p + sentence(rng, 20), *((45, 3), (65, 50), (9, 1))[k % 3])))
+        pairs.add((2 * k + 1, 2 * k))
+    docs += [(100 + k, wrapped(sentence(rng, 120), 15, 3)) for k in range(10)]
+    out = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in out} == pairs
+    # a unit that is alike but for its last three words counts too
+    assert all(41 <= r.first_word < r.end_word <= 41 + 54 + 3 for r in out)
+
+
 def test_pii(spark, empty):
     texts = [None, "", "write to ann.92@mail2.example.com or ANN.92@mail2.example.com now", "call +1 (743) 555-3824 or +1 743-555-3824, card 4226610491799071 and 4111 1111 1111 1111.", "from 152.143.123.131 and 10.0.0.1", "Mr. Smith met Mrs Jones; Frau Müller and Mr Smith left.", "no entities here 12 34", "é ann.92@mail2.example.com"]
     docs = spark.createDataFrame([*((k, t, "x") for k, t in enumerate(texts)), (2, texts[2], "y"), (None, texts[3], None)], "doc_id long, text string, kind string")

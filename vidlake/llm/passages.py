@@ -1,15 +1,17 @@
 """Substring dedup: passages that repeat across documents, by MinHash banding of paragraphs.
 
-A paragraph is a line of MIN_WORDS to LONG words; longer lines are read as overlapping
-paragraphs of UNIT words that start where a shingle hash is the least of a run of RUN
-(one MinHash of the neighbourhood, wherever the line is cut), so that a passage pasted
-into the middle of a line is found too. Paragraphs that share a band are compared by
-exact Jaccard similarity; linked ones form components, of which the smallest doc_id
-keeps its copy.
+A paragraph is a line of MIN_WORDS to LONG words. Every text of more than LONG words is
+also read as overlapping paragraphs of UNIT words that start where a shingle hash is the
+least of a run of RUN (one MinHash of the neighbourhood), over the words of the whole text
+whatever its lines, so that a passage is found too where it is wrapped otherwise or
+pasted into the middle of a line. Paragraphs that share a key are compared by exact
+Jaccard similarity; linked ones form components, of which the smallest doc_id keeps its
+copy.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,70 +41,114 @@ def choose_bands(similarity: float, recall: float = 0.995, rows: int = 2) -> int
 
 ROWS = 2
 BANDS = choose_bands(setjoin.NUM / setjoin.DEN, rows=ROWS)
+#: Shingles that two units must share to reach the similarity.
+HEAD = -(-2 * (UNIT - WORDS + 1) * setjoin.NUM // (setjoin.NUM + setjoin.DEN))
+_HEAD_LANES = mix(np.arange(1, HEAD + 1, dtype=np.uint64)) | np.uint64(1)
+#: Units that are looked at at once.
+CHUNK = 50_000
 
 
-def _unit_ids(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set identity, distinct shingles) of each row of shingle hashes; as textscan.set_hash."""
-    rows = np.sort(matrix, axis=1)
-    fresh = np.ones(rows.shape, bool)
-    fresh[:, 1:] = rows[:, 1:] != rows[:, :-1]
-    n = fresh.sum(1)
-    with np.errstate(over="ignore"):
-        total = np.where(fresh, mix(rows ^ np.uint64(0x5851F42D4C957F2D)), np.uint64(0)).sum(1, dtype=np.uint64)
-        ids = mix(total + n.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
-    return ids.view(np.int64), n
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """Least of every n consecutive values."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        x = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
 
 
-def _bands(distinct: np.ndarray) -> np.ndarray:
+def _identity(fresh: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Set identities from numbers of distinct shingles and sums of their marks; as textscan.set_hash."""
+    with np.errstate(over="ignore"):
+        return mix(total + fresh.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)).view(np.int64)
+
+
+def _mark(g: np.ndarray) -> np.ndarray:
+    return mix(g ^ np.uint64(0x5851F42D4C957F2D))
+
+
+def _row_of(found, at: np.ndarray) -> np.ndarray:
+    return np.searchsorted(found.first, at, side="right") - 1
+
+
+def _line_keys(found, g: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(keys, ids, first words, words) of the paragraphs: BANDS keys each."""
+    breaks = np.searchsorted(found.starts, np.flatnonzero(found.data == 10))
+    edges = np.unique(np.concatenate([found.first, breaks]))
+    at, size = edges[:-1], np.diff(edges)
+    good = (size >= MIN_WORDS) & (size <= LONG)
+    at, size = at[good], size[good]
+    if not len(at):
+        return
+    count = size - WORDS + 1
+    edge = np.cumsum(count) - count
+    own = g[np.arange(count.sum()) + np.repeat(at - edge, count)]
+    line = np.repeat(np.arange(len(at)), count)
+    rows = own[np.lexsort((own, line))]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = rows[1:] != rows[:-1]
+    fresh[edge] = True
+    n = np.add.reduceat(fresh.astype(np.int64), edge)
+    ids = _identity(n, np.add.reduceat(np.where(fresh, _mark(rows), np.uint64(0)), edge))
     seeds = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
-    least = mix(distinct[None, :] ^ seeds[:, None]).min(1).reshape(BANDS, ROWS)
+    least = np.stack([np.minimum.reduceat(mix(own ^ seed), edge) for seed in seeds], axis=1).reshape(-1, BANDS, ROWS)
     with np.errstate(over="ignore"):
-        return mix(least[:, 0] * np.uint64(3) + least[:, 1] + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+        keys = mix(least[..., 0] * np.uint64(3) + least[..., 1] + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+    good = n >= MIN_SHINGLES
+    yield keys[good].ravel(), *(np.repeat(x[good], BANDS) for x in (ids, at, size))
 
 
-def _lines(found, k: int) -> Iterator[tuple[int, int]]:
-    """(first word, end) of each line of row k, as places in found.hashes."""
-    lo, hi = int(found.first[k]), int(found.first[k + 1])
-    ends = np.flatnonzero(found.data[found.offsets[k] : found.offsets[k + 1]] == 10) + found.offsets[k]
-    cuts = np.unique(np.searchsorted(found.starts[lo:hi], ends)) + lo
-    edges = [lo, *cuts.tolist(), hi]
-    return ((a, b) for a, b in zip(edges, edges[1:]) if b - a >= MIN_WORDS)
+def _unit_keys(found, g: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(keys, ids, first words, words) of the units of every text of more than LONG words, whatever its lines.
+
+    Of two units that start at the same shingle, those that share the first HEAD reach
+    the similarity, and with no repeated shingles only those: a word changed before
+    costs more shingles than it allows. Units with repeated shingles have their first
+    one as another key.
+    """
+    counts = found.counts()
+    last, long = np.repeat(found.first[1:], counts), np.repeat(counts > LONG, counts)
+    if not long.any():
+        return
+    least = _least(g, RUN)
+    place = np.arange(len(g))
+    # no run goes on into the next text
+    least[place[: len(least)] + RUN + WORDS - 1 > last[: len(least)]] = 0
+    none = np.zeros(RUN - 1, np.uint64)
+    chosen = ~_least(~np.concatenate([none, least, none]), RUN)
+    starts = np.flatnonzero((chosen == g) & long[: len(g)] & (place + UNIT <= last[: len(g)]))
+    view = np.lib.stride_tricks.sliding_window_view(g, UNIT - WORDS + 1)
+    for k in range(0, len(starts), CHUNK):
+        at = starts[k : k + CHUNK]
+        own = view[at]
+        rows = np.sort(own, axis=1)
+        fresh = np.ones(rows.shape, bool)
+        fresh[:, 1:] = rows[:, 1:] != rows[:, :-1]
+        n = fresh.sum(1)
+        with np.errstate(over="ignore"):
+            ids = _identity(n, np.where(fresh, _mark(rows), np.uint64(0)).sum(1, dtype=np.uint64))
+            keys = mix((own[:, :HEAD] * _HEAD_LANES).sum(1, dtype=np.uint64))
+        good, again = n >= MIN_SHINGLES, (n >= MIN_SHINGLES) & (n < UNIT - WORDS + 1)
+        keys = np.concatenate([keys[good], mix(own[again, 0])])
+        ids, at = (np.concatenate([x[good], x[again]]) for x in (ids, at))
+        yield keys, ids, at, np.full(len(at), UNIT)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, id, doc_id, start, words): the bands of each paragraph; start: its first word in the document."""
+    """(h, id, doc_id, start, words): the keys of each paragraph and unit; start: its first word in the document."""
     for batch in batches:
-        known = batch.column("doc_id").is_valid()
+        known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
         for lo, found in scan(batch.column("text")):
-            h, ids, rows, starts, words = [], [], [], [], []
-            for k in range(len(found.first) - 1):
-                if not known[lo + k].as_py():
-                    continue
-                base = int(found.first[k])
-                for a, b in _lines(found, k):
-                    g = grams(found.hashes[a:b], WORDS)
-                    if b - a <= LONG:
-                        distinct = np.unique(g)
-                        if len(distinct) < MIN_SHINGLES:
-                            continue
-                        keys, own = _bands(distinct), np.full(BANDS, set_hash(distinct))
-                        at, size = np.full(BANDS, a - base), np.full(BANDS, b - a)
-                    else:
-                        least = np.unique(np.lib.stride_tricks.sliding_window_view(g, RUN).argmin(1) + np.arange(len(g) - RUN + 1))
-                        least = least[least + UNIT <= b - a]
-                        own, n = _unit_ids(np.lib.stride_tricks.sliding_window_view(g, UNIT - WORDS + 1)[least])
-                        good = n >= MIN_SHINGLES
-                        least, own = least[good], own[good]
-                        keys, at, size = mix(g[least]), least + (a - base), np.full(len(least), UNIT)
-                    h.append(keys)
-                    ids.append(own)
-                    rows.append(np.full(len(keys), lo + k))
-                    starts.append(at)
-                    words.append(size)
-            if h:
-                doc = batch.column("doc_id").take(pa.array(np.concatenate(rows)))
+            g = grams(found.hashes, WORDS)
+            if len(g) < MIN_WORDS - WORDS + 1:
+                continue
+            for h, ids, at, size in itertools.chain(_line_keys(found, g), _unit_keys(found, g)):
+                row = _row_of(found, at)
+                good = known[lo + row]
+                start = (at - found.first[row])[good]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(ids)), doc, pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(words).astype(np.int32))],
+                    [pa.array(h[good].view(np.int64)), pa.array(ids[good]), batch.column("doc_id").take(pa.array(lo + row[good])), pa.array(start.astype(np.int32)), pa.array(size[good].astype(np.int32))],
                     names=["h", "id", "doc_id", "start", "words"],
                 )
 
