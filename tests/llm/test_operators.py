@@ -321,6 +321,22 @@ def test_passages_across_line_breaks(spark):
     assert all(41 <= r.first_word < r.end_word <= 41 + 54 + 3 for r in out)
 
 
+def test_passages_of_any_length_with_one_word_changed(spark):
+    rng = random.Random(32)
+    docs, pairs = [], set()
+    for k in range(60):
+        w = sentence(rng, 52 + k % 10)
+        v = list(w)
+        v[26 + k % 3] = "changed"
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        pairs.add((2 * k + 1, 2 * k))
+    w = sentence(rng, 51)
+    docs += [(200, " ".join(w[:50])), (201, " ".join(w))]
+    pairs.add((201, 200))
+    out = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in out} == pairs
+
+
 def test_pii(spark, empty):
     texts = [None, "", "write to ann.92@mail2.example.com or ANN.92@mail2.example.com now", "call +1 (743) 555-3824 or +1 743-555-3824, card 4226610491799071 and 4111 1111 1111 1111.", "from 152.143.123.131 and 10.0.0.1", "Mr. Smith met Mrs Jones; Frau Müller and Mr Smith left.", "no entities here 12 34", "é ann.92@mail2.example.com"]
     docs = spark.createDataFrame([*((k, t, "x") for k, t in enumerate(texts)), (2, texts[2], "y"), (None, texts[3], None)], "doc_id long, text string, kind string")

@@ -1,6 +1,6 @@
 """Substring dedup: passages that repeat across documents, by MinHash banding of paragraphs.
 
-A paragraph is a line of MIN_WORDS to LONG words. Every text of more than LONG words is
+A paragraph is a line of MIN_WORDS words or more. Every text of more than LONG words is
 also read as overlapping paragraphs of UNIT words that start where a shingle hash is the
 least of a run of RUN (one MinHash of the neighbourhood), over the words of the whole text
 whatever its lines, so that a passage is found too where it is wrapped otherwise or
@@ -77,7 +77,7 @@ def _line_keys(found, g: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     breaks = np.searchsorted(found.starts, np.flatnonzero(found.data == 10))
     edges = np.unique(np.concatenate([found.first, breaks]))
     at, size = edges[:-1], np.diff(edges)
-    good = (size >= MIN_WORDS) & (size <= LONG)
+    good = size >= MIN_WORDS
     at, size = at[good], size[good]
     if not len(at):
         return
