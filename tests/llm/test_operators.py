@@ -337,6 +337,26 @@ def test_passages_of_any_length_with_one_word_changed(spark):
     assert {(r.doc_id, r.kept_doc_id) for r in out} == pairs
 
 
+def test_passages_far_apart_are_cut_one_by_one(spark):
+    rng = random.Random(33)
+    one, two = sentence(rng, 60), sentence(rng, 60)
+    head, between, tail = sentence(rng, 30), sentence(rng, 3000), sentence(rng, 30)
+    text = "É  " + " ".join(head) + "\n" + " ".join(one) + "\n\n" + "\t".join(between) + " " + "\n".join(two) + " ö " + " ".join(tail)
+    rows_ = [(1, " ".join(sentence(rng, 25) + one + sentence(rng, 25) + two), "a"), (2, text, "b"), (2, text, "c"), (2, " ".join(sentence(rng, 3200)), "d"), (3, None, "e"), (None, text, "f"), (4, "short", None)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, k string")
+    spans = sorted((r.first_word, r.end_word) for r in passages.repeated_passages(docs).collect())
+    w = words(text)
+    assert len(spans) == 2 and 31 <= spans[0][0] < spans[0][1] <= 94 and 3091 <= spans[1][0] < spans[1][1] <= 3154
+    out = {r.k: r for r in passages.cut_passages(docs).collect()}
+    assert len(out) == len(rows_) and passages.cut_passages(docs).columns == ["doc_id", "text", "k", "n_cut_words"]
+    gone = {k for a, b in spans for k in range(a, b)}
+    for k in "bc":
+        assert words(out[k].text) == [x for i, x in enumerate(w) if i not in gone] and out[k].n_cut_words == len(gone)
+        assert "\t".join(between[3:]) in out[k].text and out[k].text.startswith("É  " + " ".join(head) + "\n")
+    assert all((out[k].text, out[k].n_cut_words) == (t, 0) for _, t, k in rows_ if k not in ("b", "c"))
+    assert passages.cut_passages(docs.limit(0)).collect() == []
+
+
 def test_pii(spark, empty):
     texts = [None, "", "write to ann.92@mail2.example.com or ANN.92@mail2.example.com now", "call +1 (743) 555-3824 or +1 743-555-3824, card 4226610491799071 and 4111 1111 1111 1111.", "from 152.143.123.131 and 10.0.0.1", "Mr. Smith met Mrs Jones; Frau Müller and Mr Smith left.", "no entities here 12 34", "é ann.92@mail2.example.com"]
     docs = spark.createDataFrame([*((k, t, "x") for k, t in enumerate(texts)), (2, texts[2], "y"), (None, texts[3], None)], "doc_id long, text string, kind string")

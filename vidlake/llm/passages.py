@@ -171,15 +171,8 @@ def _unit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, kind)], schema=kind)
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, kept_doc_id, n_units, first_word, end_word): what doc_id repeats of passages that kept_doc_id keeps.
-
-    n_units: distinct starts of repeated paragraphs in doc_id; first_word and end_word
-    span them, in words of its whole text. The keeper is the smallest doc_id of a
-    component; repeats within one document are left alone. Null, empty and short texts
-    and rows without doc_id repeat nothing. Rows that repeat a doc_id are one document.
-    Other columns are not looked at; an empty table gives no rows.
-    """
+def _repeats(docs: DataFrame) -> DataFrame:
+    """(id, doc_id, start, words, kept_doc_id) of each paragraph of doc_id that kept_doc_id keeps."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     units = save_bucketed(docs.mapInArrow(_units, "h long, id long, doc_id long, start int, words int"), "units", "h")
     column = Window.partitionBy("h")
@@ -202,6 +195,67 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     named = salted.join(labels.withColumn("salt", salt).hint("merge"), ["id", "salt"], "left").withColumn("component", F.coalesce("component", "id"))
     keepers = named.groupBy("component").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id <> last").select("component", "kept_doc_id")
     out = named.join(save(keepers, "keepers").withColumn("salt", salt).hint("merge"), ["component", "salt"]).where("doc_id <> kept_doc_id")
-    return out.groupBy("doc_id", "kept_doc_id").agg(
-        F.count_distinct("start").alias("n_units"), F.min("start").cast("long").alias("first_word"), F.max(F.col("start") + F.col("words")).cast("long").alias("end_word")
-    )
+    return out.select("id", "doc_id", "start", "words", "kept_doc_id")
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, kept_doc_id, n_units, first_word, end_word): the spans of doc_id that repeat what kept_doc_id keeps.
+
+    A span is made of repeated paragraphs that overlap or touch; a pair of documents has
+    as many rows as there are spans with other words between. n_units: distinct starts
+    of repeated paragraphs in the span; first_word and end_word (exclusive) count the
+    words of the whole text. The keeper is the smallest doc_id of a component; repeats
+    within one document are left alone. Null, empty and short texts and rows without
+    doc_id repeat nothing. Rows that repeat a doc_id are one document. Other columns are
+    not looked at; an empty table gives no rows.
+    """
+    pair = ["doc_id", "kept_doc_id"]
+    units = _repeats(docs).groupBy(*pair, "start").agg(F.max(F.col("start") + F.col("words")).alias("end"))
+    order = Window.partitionBy(*pair).orderBy("start")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = units.withColumn("fresh", F.coalesce((F.col("start") > reached).cast("long"), F.lit(1)))
+    spans = fresh.withColumn("span", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = spans.groupBy(*pair, "span").agg(F.count(F.lit(1)).alias("n_units"), F.min("start").cast("long").alias("first_word"), F.max("end").cast("long").alias("end_word"))
+    return spans.drop("span")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, counts = batch.column("text").to_pylist(), [0] * len(batch)
+        wanted = batch.column("_p_units").to_pylist()
+        for lo, found in scan(batch.column("text")):
+            for k in range(len(found.first) - 1):
+                a, b = int(found.first[k]), int(found.first[k + 1])
+                gone = np.zeros(b - a, bool)
+                for u in wanted[lo + k] or ():
+                    # another row of the doc_id may be meant
+                    if set_hash(np.unique(grams(found.hashes[a + u["start"] : min(b, a + u["start"] + u["words"])], WORDS))) == u["id"]:
+                        gone[u["start"] : u["start"] + u["words"]] = True
+                if not gone.any():
+                    continue
+                edge = np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8))
+                raw, at, kept = texts[lo + k].encode(), 0, []
+                for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+                    kept.append(raw[at : found.starts[a + x] - found.offsets[k]])
+                    at = found.ends[a + y - 1] - found.offsets[k]
+                texts[lo + k], counts[lo + k] = (b"".join(kept) + raw[at:]).decode(), int(gone.sum())
+        names = [n for n in batch.schema.names if n not in ("text", "_p_units")]
+        columns = [*map(batch.column, names), pa.array(texts, pa.string()), pa.array(counts, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*names, "text", "n_cut_words"])
+
+
+def cut_passages(docs: DataFrame) -> DataFrame:
+    """docs with a text without its repeated spans, and n_cut_words (which replaces a column of that name).
+
+    The words of the spans of repeated_passages go, from the first one's start to the
+    last one's end; all else stays as it is, white space too. Rows without doc_id, and
+    null and short texts, stay as they are. Other columns pass through; an empty table
+    gives no rows.
+    """
+    docs = docs.drop("n_cut_words")
+    units = _repeats(docs).groupBy(F.col("doc_id").alias("_p_doc")).agg(F.collect_set(F.struct("id", "start", "words")).alias("_p_units"))
+    units = save(units, "repeats")
+    both = docs.withColumn("text", F.col("text").cast("string")).join(units.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_p_doc"), "left").drop("_p_doc")
+    rest = [c for c in both.columns if c not in ("text", "_p_units")]
+    kind = both.select(*rest, "text").withColumn("n_cut_words", F.lit(0).cast("long")).schema
+    return both.mapInArrow(_cut, kind).select(*docs.columns, "n_cut_words")
