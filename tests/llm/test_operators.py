@@ -295,6 +295,27 @@ def test_secret_network_on_held_out_findings():
     assert found[labels[500:] == 1].mean() >= 0.9 and found[labels[500:] == 0].mean() <= 0.05
 
 
+def test_secret_threshold_keeps_the_recall_under_skew(monkeypatch):
+    rng = np.random.default_rng(4)
+    labels = np.array([1.0] * 40 + [0.0] * 2000, np.float32)
+    z = np.concatenate([rng.normal(1.0, 0.5, 40), rng.normal(0.0, 0.5, 2000)])
+    net = secrets.CharNet()
+    monkeypatch.setattr(net, "logits", lambda texts: z)
+    net.calibrate([""] * len(z), labels)
+    found = net.probability([""] * len(z)) >= net.threshold
+    assert found[labels == 1].mean() >= secrets.RECALL
+    assert net.precision == pytest.approx(labels[found].mean())
+
+
+def test_secret_candidates():
+    named = lambda text: [(text[s:e], label) for s, e, label, _ in secrets.candidates(text, secrets.base_spans(text))]
+    assert named("see qwertyuiopasdfghjkl now") == [("qwertyuiopasdfghjkl", 0)]
+    assert named("eyJhbGciOi.J9eyJzdWI.iOiIxMjM. Next") == [("eyJhbGciOi.J9eyJzdWI.iOiIxMjM", 0)]
+    piece = "f33e61083db5dbdf4bd2369d"
+    assert named(f"a ZZ{piece}QQqq b") == [(f"ZZ{piece}QQqq", 2)]
+    assert named(f"a {piece}. b token={piece}") == [(piece, 1), (f"token={piece}", 1)]
+
+
 def test_passages(docs, empty, texts):
     out = passages.repeated_passages(docs).collect()
     pairs = {(r.doc_id, r.kept_doc_id) for r in out}

@@ -1,15 +1,17 @@
 """Secret scans: pattern findings, and a character convolutional network over every other candidate.
 
-One pass finds the pattern spans and all candidates (long runs of token characters with
-a digit) of each text, with the characters around them. A small network in numpy is
-trained on labelled findings from the corpus (candidates that a pattern confirms, and
-candidates that none does), calibrated on held-out ones, and given the highest
-threshold that keeps RECALL of them. It then scores every candidate.
+One pass finds the pattern spans and all candidates (runs of 16 or more token characters)
+of each text, with the characters around them. A small network in numpy is
+trained on labelled findings from the corpus (candidates that pattern spans cover, and
+candidates that none meets), calibrated on held-out ones, and given the highest
+threshold that keeps RECALL of them. It then scores every candidate but those that
+pattern spans cover.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 from collections.abc import Iterator
 
@@ -23,13 +25,15 @@ KINDS = ("assign", "access", "hex", "cnn")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: The token characters of ASSIGN; a full stop only inside.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{14,}[A-Za-z0-9+/_=-]")
 #: Characters of context on each side, and of the candidate that one window holds; longer ones have several windows.
 AROUND, INSIDE = 24, 64
 #: Labelled findings of each class that the network is trained on, those with the smallest hashes.
 LABELLED_ROWS = 2_000
 RECALL = 0.98
 FILTERS, WIDTH = 16, 5
+log = logging.getLogger(__name__)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -56,12 +60,15 @@ def windows(text: str, start: int, end: int) -> list[str]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, list[str]]]:
-    """(start, end, label, windows) of each candidate: label 1 where a pattern span meets it."""
+    """(start, end, label, windows) of each candidate: label 1 where pattern spans cover it, 2 where they only meet it."""
     out = []
     for m in CANDIDATE.finditer(text):
-        if not any(c.isdigit() for c in m[0]):
-            continue
-        label = int(any(s < m.end() and m.start() < e for s, _, e in spans))
+        at, met = m.start(), False
+        for s, _, e in spans:
+            if s < m.end() and m.start() < e:
+                met = True
+                at = max(at, e) if s <= at else at
+        label = 1 if at >= m.end() else 2 if met else 0
         out.append((m.start(), m.end(), label, windows(text, m.start(), m.end())))
     return out
 
@@ -110,7 +117,7 @@ class CharNet:
         self.b = np.zeros(FILTERS, np.float32)
         self.v = rng.normal(0, 0.3, 2 * FILTERS).astype(np.float32)
         self.c = np.zeros(1, np.float32)
-        self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.scale, self.shift, self.threshold, self.precision = 1.0, 0.0, 0.5, 0.0
 
     def _columns(self, texts: list[str]) -> np.ndarray:
         x = _classes(texts)
@@ -153,7 +160,7 @@ class CharNet:
                     p -= 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
     def calibrate(self, texts: list[str], labels: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling on held-out findings, then the highest threshold that keeps `recall` of the confirmed ones."""
+        """Platt scaling on held-out findings, then the highest threshold that keeps `recall` of the confirmed ones, and the precision at it."""
         z = self.logits(texts).astype(np.float64)
         a, b = 1.0, 0.0
         for _ in range(200):
@@ -162,7 +169,9 @@ class CharNet:
             b -= 0.05 * float((p - labels).mean())
         self.scale, self.shift = a, b
         sure = np.sort(self.probability(texts)[labels == 1])
-        self.threshold = max(0.5, float(sure[int((1 - recall) * len(sure))])) if len(sure) else 1.1
+        self.threshold = float(sure[int((1 - recall) * len(sure))]) if len(sure) else 1.1
+        kept = self.probability(texts) >= self.threshold
+        self.precision = float(labels[kept].mean()) if kept.any() else 0.0
 
 
 def train(found: DataFrame, limit: int = LABELLED_ROWS) -> CharNet | None:
@@ -178,6 +187,7 @@ def train(found: DataFrame, limit: int = LABELLED_ROWS) -> CharNet | None:
     net = CharNet()
     net.fit([t for t, h in zip(texts, held) if not h], labels[~held])
     net.calibrate([t for t, h in zip(texts, held) if h], labels[held])
+    log.info("secret network: threshold %.4f for recall %.2f, precision %.4f at it on %d held-out findings", net.threshold, RECALL, net.precision, held.sum())
     return net
 
 
@@ -186,7 +196,7 @@ def _score(shared):
         net = shared.value
         for batch in batches:
             base, found = batch.column("base").to_pylist(), batch.column("found").to_pylist()
-            asked = sorted({w for row in found for c in row if not c["label"] for w in c["windows"]})
+            asked = sorted({w for row in found for c in row if c["label"] != 1 for w in c["windows"]})
             known = dict(zip(asked, net.probability(asked) if net is not None and asked else [0.0] * len(asked)))
             limit = net.threshold if net is not None else 2.0
             counts, digests, spans = [[], [], []], [], []
@@ -195,7 +205,7 @@ def _score(shared):
                 for k in range(3):
                     counts[k].append(sum(x[1] == k for x in own))
                 digests.append(hashlib.sha256(written(own).encode()).hexdigest())
-                added = [(c["start"], 3, c["end"]) for c in more if not c["label"] and max(known[w] for w in c["windows"]) >= limit]
+                added = [(c["start"], 3, c["end"]) for c in more if c["label"] != 1 and max(known[w] for w in c["windows"]) >= limit]
                 spans.append(written(sorted(own + added)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())],
