@@ -42,7 +42,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full training sequences."""
-    return pack(docs, tokenizer_path())
+    return pack(docs, tokenizer_path(), added=True)
 
 
 STAGES = [

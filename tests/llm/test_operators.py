@@ -228,6 +228,20 @@ def test_packing_survives_text_that_the_fast_engine_gives_up_on(spark):
     assert list(encode(text)) == want and sum(r.length for r in out) == len(want) + 1
 
 
+def test_packing_query_gives_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from vidlake.llm.queries import op2_packing
+
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "plain", "x <|endoftext|><|endoftext|> " + "y" * 50]
+    plain = Tokenizer.from_file(tokenizer_path())
+    want = {k: [*plain.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+    assert want[0] == [64, 50256, 65, 1]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op2_packing(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in out} == {k: (len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for k, i in want.items()}
+
+
 def test_quality_statistics(spark, docs, texts):
     more = [(100, "of the of the of the of the of the end"), (101, "a # b $ c\na # b $ c\n \n \nx y!"), (102, "one two three four five six seven eight nine ten " * 3)]
     table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))

@@ -7,6 +7,7 @@ whole. Pass two cuts each document at the multiples of the window length.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ LENGTH = 2048
 END_ID = 1
 #: The public pre-tokenization of this byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_encoders: dict[str, tuple] = {}
+_encoders: dict[tuple[str, bool], tuple] = {}
 
 
 def _byte_letters() -> dict[str, int]:
@@ -32,13 +33,15 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def encoder(path: str):
+def encoder(path: str, added: bool = False):
     """(function text -> ids, vocabulary size) of a byte-level BPE tokenizer.json; kept for the life of a worker.
 
     tiktoken runs the same merges some four times as fast as the tokenizers library; a
-    text that its pattern engine gives up on goes to that library.
+    text that its pattern engine gives up on goes to that library. added: the tokens that
+    the file adds to the vocabulary have their ids where a text spells them, as that
+    library does by itself; texts that hold one go to it. Otherwise they are spelled out.
     """
-    if path not in _encoders:
+    if (path, added) not in _encoders:
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -50,23 +53,32 @@ def encoder(path: str):
         fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         size = max(ranks.values()) + len(special) + 1
 
+        @functools.cache
+        def library() -> Tokenizer:
+            slow = Tokenizer.from_file(path)
+            slow.encode_special_tokens = not added
+            return slow
+
+        def slowly(text: str) -> np.ndarray:
+            return np.array(library().encode(text, add_special_tokens=False).ids, np.uint32)
+
         def encode(text: str) -> np.ndarray:
+            if added and any(t in text for t in special):
+                return slowly(text)
             try:
                 return fast.encode_to_numpy(text, disallowed_special=())
             except BaseException as e:  # the engine's own panics are no Exception
                 if isinstance(e, (KeyboardInterrupt, SystemExit)):
                     raise
-                slow = Tokenizer.from_file(path)
-                slow.encode_special_tokens = True
-                return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+                return slowly(text)
 
-        _encoders[path] = encode, size
-    return _encoders[path]
+        _encoders[path, added] = encode, size
+    return _encoders[path, added]
 
 
-def _tokenize(path: str):
+def _tokenize(path: str, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, size = encoder(path)
+        encode, size = encoder(path, added)
         kind = "<u2" if size <= 1 << 16 else "<u4"
         task, start = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -91,9 +103,9 @@ def _tokenize(path: str):
     return run
 
 
-def _cut(length: int, path: str, with_ids: bool):
+def _cut(length: int, path: str, with_ids: bool, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = "<u2" if encoder(path)[1] <= 1 << 16 else "<u4"
+        kind = "<u2" if encoder(path, added)[1] <= 1 << 16 else "<u4"
         for batch in batches:
             rows: list[tuple] = []
             for doc, at, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "doc_tokens", "ids"))):
@@ -113,7 +125,7 @@ def _cut(length: int, path: str, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of full sequences.
 
     Every row of docs is one document; its ids end with id 1, which is all that a null
@@ -121,13 +133,14 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool =
     pad. Rows that repeat a doc_id, or have none, are packed like any other. ids: the
     piece's ids, little-endian unsigned 32-bit. Other columns are not looked at; an
     empty table gives no pieces. tokenizer: path of a tokenizer.json, on every machine.
+    added: as in encoder.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = save(docs.mapInArrow(_tokenize(tokenizer), "doc_id long, task long, `from` long, doc_tokens long, ids binary"), "tokens", codec="zstd")
+    tokens = save(docs.mapInArrow(_tokenize(tokenizer, added), "doc_id long, task long, `from` long, doc_tokens long, ids binary"), "tokens", codec="zstd")
     totals = tokens.groupBy("task").agg(F.sum("doc_tokens").alias("total"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("task", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     # one row for each task of pass one, whatever the size of its documents
     placed = tokens.join(F.broadcast(bases), "task").select("doc_id", (F.col("base") + F.col("from")).alias("at"), "doc_tokens", "ids")
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return placed.mapInArrow(_cut(length, tokenizer, with_ids), kinds + (", ids binary" if with_ids else ""))
+    return placed.mapInArrow(_cut(length, tokenizer, with_ids, added), kinds + (", ids binary" if with_ids else ""))
