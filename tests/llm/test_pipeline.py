@@ -6,7 +6,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from test_operators import SPACE, groups, linked, lower, sentence, shingle_set, words
+from llm_helpers import SPACE, groups, linked, lower, sentence, shingle_set, words
 from vidlake.llm import packing
 from vidlake.llm.queries import tokenizer_path
 
