@@ -7,7 +7,6 @@ whole. Pass two cuts each document at the multiples of the window length.
 
 from __future__ import annotations
 
-import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -33,13 +32,29 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def encoder(path: str, added: bool = False):
+def merges_are_ranks(spec: dict, library) -> bool:
+    """Whether merging by rank of the joined bytes gives what the file's list of merges gives.
+
+    It does when the list is in order of the ids that its pairs join to, and every token
+    of the vocabulary is made by the list itself: merging inside a span does not depend
+    on what is around it, so two neighbours that join to a token are then always the
+    pair that the list has for it.
+    """
+    vocab = spec["model"]["vocab"]
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+    ids = [vocab[x + y] for x, y in pairs]
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    return ids == sorted(set(ids)) and all([t.value for t in library.model.tokenize(w)] == [w] for w in vocab if w not in added)
+
+
+def encoder(path: str, added: bool = True):
     """(function text -> ids, vocabulary size) of a byte-level BPE tokenizer.json; kept for the life of a worker.
 
-    tiktoken runs the same merges some four times as fast as the tokenizers library; a
-    text that its pattern engine gives up on goes to that library. added: the tokens that
-    the file adds to the vocabulary have their ids where a text spells them, as that
-    library does by itself; texts that hold one go to it. Otherwise they are spelled out.
+    The ids are those of the tokenizers library. Where merges_are_ranks holds, tiktoken runs
+    the same merges some four times as fast; a text that its pattern engine gives up on
+    goes to the library. Tokens that the file adds to the vocabulary have their ids
+    where a text spells them: texts that hold one go to the library too. added: False
+    spells them out instead.
     """
     if (path, added) not in _encoders:
         import tiktoken
@@ -50,20 +65,16 @@ def encoder(path: str, added: bool = False):
         special = {t["content"] for t in spec.get("added_tokens", [])}
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
-        fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        library = Tokenizer.from_file(path)
+        library.encode_special_tokens = not added
+        fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if merges_are_ranks(spec, library) else None
         size = max(ranks.values()) + len(special) + 1
 
-        @functools.cache
-        def library() -> Tokenizer:
-            slow = Tokenizer.from_file(path)
-            slow.encode_special_tokens = not added
-            return slow
-
         def slowly(text: str) -> np.ndarray:
-            return np.array(library().encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
 
         def encode(text: str) -> np.ndarray:
-            if added and any(t in text for t in special):
+            if fast is None or added and any(t in text for t in special):
                 return slowly(text)
             try:
                 return fast.encode_to_numpy(text, disallowed_special=())
@@ -125,7 +136,7 @@ def _cut(length: int, path: str, with_ids: bool, added: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = False, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = False, added: bool = True) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of full sequences.
 
     Every row of docs is one document; its ids end with id 1, which is all that a null
