@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vidlake import fixtures as X
 from vidlake.functions import geometry as G, text as TX
-from vidlake.operators import behaviour as B, decode as D, embed as E, equations as Q, flow as W, messages as M, record as R, track as T
+from vidlake.operators import behaviour as B, decode as D, embed as E, equations as Q, flow as W, joins as J, messages as M, models as U, record as R, track as T
 from vidlake.sources import frames as S
 
 
@@ -122,6 +122,139 @@ def test_tracker(spark):
     assert [got[f, 0] for f in range(4)] == [-1, -1, -1, 1] and got[11, 0] == 1 and {got[f, 1] for f in range(3, 12)} == {2}
 
 
+def scalar_sort(frames):
+    """The tracker box by box: one 7-state filter a tracker, the assignment by trying every one."""
+    move = np.eye(7) + np.diag([1.0] * 3, 4)
+    look = np.eye(4, 7)
+
+    def rect(x):
+        w = np.sqrt(x[2] * x[3])
+        lo = [x[0] - w / 2, x[1] - x[2] / w / 2]
+        return np.array([0 if lo[k] < 0 < x[k] else lo[k] for k in (0, 1)] + [w, x[2] / w])
+
+    def iou(a, b):
+        i = max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+        return i / (a[2] * a[3] + b[2] * b[3] - i)
+
+    start = lambda d, k: {"x": np.array([d[0] + d[2] / 2, d[1] + d[3] / 2, d[2] * d[3], d[2] / d[3], 0, 0, 0]), "p": np.eye(7), "id": k, "age": 0, "streak": 0}
+    live, count, out = [], 0, []
+    for dets in frames:
+        ids, taken, first = [-1] * len(dets), set(), not live
+        for t in live:
+            t["x"], t["p"] = move @ t["x"], move @ t["p"] @ move.T + 0.01 * np.eye(7)
+            t["streak"] = 0 if t["age"] > 0 else t["streak"]
+            t["age"] += 1
+        live = [t for t in live if (rect(t["x"])[:2] >= 0).all()]
+        n, m = len(live), len(dets)
+        like = [[iou(rect(t["x"]), d) for d in dets] for t in live]
+        k = min(n, m)
+        best = max(([*zip(r, c)] for r in itertools.combinations(range(n), k) for c in itertools.permutations(range(m), k)), key=lambda ps: sum(like[i][j] for i, j in ps), default=[])
+        for i, j in best:
+            if like[i][j] >= 0.5:
+                t, d = live[i], dets[j]
+                gain = t["p"] @ look.T @ np.linalg.inv(look @ t["p"] @ look.T + 0.1 * np.eye(4))
+                t["x"] = t["x"] + gain @ (np.array([d[0] + d[2] / 2, d[1] + d[3] / 2, d[2] * d[3], d[2] / d[3]]) - t["x"][:4])
+                t["p"] = (np.eye(7) - gain @ look) @ t["p"]
+                t["age"], t["streak"] = 0, t["streak"] + 1
+                taken.add(j)
+        for t in [] if first else live:
+            if t["age"] < 1 and t["streak"] >= 3:
+                for j, d in enumerate(dets):
+                    if iou(rect(t["x"]), d) > 0.8:
+                        ids[j] = t["id"]
+        live = [t for t in live if t["age"] <= 1]
+        for j, d in enumerate(dets):
+            if j not in taken:
+                count += 1
+                live.append(start(d, count))
+        out.append(ids)
+    return out
+
+
+def test_tracker_against_a_scalar_one():
+    rng = np.random.default_rng(8)
+    for _ in range(15):
+        at, step, size = rng.integers(0, 300, (3, 2)).astype(float), rng.integers(-6, 7, (3, 2)), rng.integers(30, 60, (3, 2))
+        frames_ = []
+        for f in range(25):
+            rows = [[*np.round(at[k] + step[k] * f + rng.integers(-1, 2, 2)), *size[k]] for k in range(3) if rng.random() > 0.12]
+            frames_.append(np.array(rows, float).reshape(-1, 4))
+        trackers = T.Trackers()
+        assert [trackers.step(d).tolist() for d in frames_] == scalar_sort([d.tolist() for d in frames_])
+
+
+def test_a_limb_joins_the_first_person_that_holds_its_joint(spark):
+    # two persons come to hold joint 7 as their second point; the third limb goes to the first of them
+    pairs = [(0, 0, 0, 1, 7), (0, 0, 0, 2, 7), (0, 0, 1, 7, 9), (0, 0, 2, 5, 6)]
+    df = spark.createDataFrame(pairs, "channel_index int, frame_index int, limb int, a_id int, b_id int")
+    got = {r.person: r.joints for r in D.assemble_poses(df, [(0, 1), (1, 2), (2, 3)], 3 + 1).collect()}
+    assert got == {0: [1, 7, 9, -1], 1: [2, 7, -1, -1], 2: [-1, -1, 5, 6]}
+    # beyond the number of points less one no limb starts a person
+    assert len(D.assemble_poses(df, [(0, 1), (1, 2), (2, 0)], 3).collect()) == 2
+
+
+def test_first_per_track_defaults(spark):
+    rows = [(0, f, 1, 60, 60, f + 1) for f in range(30)] + [(0, f, -1, 60, 60, None) for f in range(3)] + [(0, 5, 2, 10, 60, 1), (0, 6, 2, 60, 60, 2)]
+    df = spark.createDataFrame(rows, "channel_index int, frame_index int, track_id long, width int, height int, history int")
+    sent = lambda out: sorted((r.track_id, r.frame_index) for r in out.collect())
+    assert sent(M.first_per_track(df)) == [(-1, 0), (-1, 1), (-1, 2), (1, 0), (2, 6)]
+    assert sent(M.first_per_track(df, only_for_tracked=True)) == [(1, 24)]
+
+
+def test_near_matches_recall(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 64))
+    v = np.concatenate([base + rng.normal(size=base.shape) * s for s in (0.0, 0.2, 0.4)])
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    far = np.sqrt(np.maximum(0, 2 - 2 * unit @ unit.T))
+    want = {(a, b) for a, b in itertools.combinations(range(len(v)), 2) if far[a, b] <= 0.8}
+    got = {(r.id_a, r.id_b) for r in E.match_near(df, df, 0.8).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 100
+
+
+def test_projection_is_on_the_principal_components(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(50, 8)) * np.arange(8, 0, -1)
+    got = E.project_2d(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")).orderBy("vec_id").toPandas()
+    _, _, axes = np.linalg.svd(v - v.mean(0), full_matrices=False)
+    for name, axis in (("px", axes[0]), ("py", axes[1])):
+        assert abs(np.corrcoef(got[name], v @ axis)[0, 1]) > 0.999999 and 0 <= got[name].min() and got[name].max() <= 1
+    assert E.project_2d(spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_update_merges_masks_sub_targets_and_more(spark):
+    kind = "channel_index int, frame_index int, target_no int, track_id long, secondary array<string>, embedding array<double>, mask string, sub_targets array<struct<label:string>>, own int"
+    a = spark.createDataFrame([(0, 0, 0, -1, ["a"], None, None, [("p",)], 1), (0, 0, 1, 4, None, [1.0], "m", None, 2), (0, 1, 0, -1, [], [], "", [], 3)], kind)
+    b = spark.createDataFrame([(0, 0, 0, 9, ["b"], [2.0], "n", [("q",)], 7), (0, 0, 1, 8, ["c"], [3.0], "n", None, 8), (0, 1, 0, 5, ["d"], [4.0], "n", [], 9), (0, 1, 1, 6, ["e"], [5.0], "n", [], 9)], kind)
+    got = {(r.frame_index, r.target_no): tuple(r)[3:] for r in W.sync_update(a, b).collect()}
+    assert got[0, 0] == (9, ["a", "b"], [2.0], "n", [("p",), ("q",)], 1) and got[0, 1] == (4, ["c"], [1.0], "m", [], 2)
+    assert got[1, 0] == (-1, [], [], "", [], 3)  # frames with other numbers of targets stay
+
+
+def test_small_and_large_sides_join_alike(spark):
+    rows, small = spark.range(100).selectExpr("id", "id % 7 as k"), spark.range(5).selectExpr("id as k", "id * 10 as v")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few, many = J.join_small(rows, small, "k", "left"), J.join_small(rows, small, "k", "left", limit=4)
+    assert "BroadcastHashJoin" in plan(few) and "SortMergeJoin" in plan(many)
+    assert sorted(map(tuple, few.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr)
+
+
+def test_sizes_and_ids(spark):
+    rows = [(0, k, k, "a", 10 * k, 50) for k in range(6)]
+    df = spark.createDataFrame(rows, "channel_index int, frame_index int, vec_id long, label string, width int, height int")
+    assert [r.vec_id for r in E.label_gallery(df, 2, min_width=10, min_height=50).orderBy("rank").collect()] == [5, 4]
+    events = spark.createDataFrame([(0, 2, B.JAM, [4, 5]), (0, 4, B.UNJAM, [4])], "channel_index int, frame_index int, ba_type int, target_ids array<long>")
+    got = B.jam_status(events, frames(spark, 6)).orderBy("frame_index").collect()
+    assert [r.jammed for r in got] == [False, False, True, True, False, False] and got[0].target_ids is None and got[3].target_ids == [4, 5] and got[4].target_ids == [4]
+
+
+def test_callbacks(spark):
+    seen = []
+    U.on_results(spark.range(3), lambda df, batch: seen.append((batch, df.count())))
+    assert seen == [(0, 3)]
+
+
 def test_assignment_is_least():
     rng = np.random.default_rng(1)
     for _ in range(200):

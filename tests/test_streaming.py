@@ -1,10 +1,12 @@
 """A replay of files through the streaming operators gives what the batch operators give."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from vidlake import fixtures as X
-from vidlake.operators import behaviour as B, track as T
+from vidlake.operators import behaviour as B, models as U, track as T
 from vidlake.plans import behaviour as PB
+from vidlake.sources import frames as S
 from vidlake.streaming import channels as C, events as E
 
 SF = "/root/testdata/sf0.001"
@@ -73,4 +75,33 @@ def test_sync(spark, tmp_path):
     a, b = (spark.readStream.schema(frames.schema).parquet(str(tmp_path / n)) for n in "ab")
     got = collected(spark, E.sync_stream(a, b).selectExpr("frame_index", "size(targets) as n", "alone"), tmp_path, "synced")
     both = {(k, 2, False) for k in range(20) if k % 3 and k % 4}
-    assert both <= got and all(n == 1 and k % 12 for k, n, alone in got if alone)
+    # a frame of one branch goes on alone once the watermark has passed it: all but the newest
+    lone = {(k, 1, True) for k in range(20) if (k % 3 > 0) != (k % 4 > 0)}
+    newest = max(k for k in range(20) if k % 3 or k % 4)
+    assert got - lone == both and lone - got <= {(newest, 1, True)}
+
+
+def test_files_as_a_stream_and_callbacks(spark, tmp_path):
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).selectExpr("0 as channel_index", "cast(id as int) as frame_index").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = []
+    frames = S.read_stream(spark, str(tmp_path / "in"), "channel_index int, frame_index int", max_files_per_trigger=1)
+    q = U.on_results(frames, lambda df, batch: seen.append(df.count()), checkpointLocation=str(tmp_path / "c"))
+    q.processAllAvailable()
+    q.stop()
+    assert seen == [10, 10, 10]
+    sent = S.write_messages(frames.selectExpr("cast(frame_index as string) as message"), "text", str(tmp_path / "out"), checkpointLocation=str(tmp_path / "d"))
+    sent.processAllAvailable()
+    sent.stop()
+    assert spark.read.text(str(tmp_path / "out")).count() == 30
+
+
+def test_first_per_track(spark, tmp_path):
+    rows = [(0, f, t, 60, 60, f + 1) for t in (1, 2) for f in range(30)] + [(0, f, -1, 60, 60, 0) for f in range(2)] + [(0, 3, 3, 10, 60, 1)]
+    df = spark.createDataFrame(rows, "channel_index int, frame_index int, track_id long, width int, height int, history int").withColumn("frame_ts", F.timestamp_millis(F.col("frame_index") * 40))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    tracked = collected(spark, E.first_per_track_stream(source, only_for_tracked=True).select("track_id", "history"), tmp_path, "tracked_once")
+    assert {t for t, _ in tracked} == {1, 2} and len(tracked) == 2 and all(h >= 25 for _, h in tracked)
+    every = collected(spark, E.first_per_track_stream(source).select("track_id", "frame_index"), tmp_path, "all_once")
+    assert sorted(t for t, _ in every) == [-1, -1, 1, 2]

@@ -15,11 +15,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracked boxes: every 20th order is a track of up to 300 frames that drives on or parks for a while."""
-    src = read(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").selectExpr(
-        "o_orderkey as track_id", "o_custkey as ck", "cast((o_orderkey div 20) % 4 as int) as channel_index", "cast((o_orderkey div 20) div 4 as int) as slot"
-    )
-    points = src.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(299)))).where("not (ck % 7 = 0 and (t + ck) % 41 = 0) and not (ck % 11 = 0 and t between 40 and 70)")
+    """Tracked boxes: 20 orders make a track of up to 300 frames, 15 from each order, that drives on or parks for a while."""
+    groups = read(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey div 20").alias("g")).agg(F.min_by("o_custkey", "o_orderkey").alias("ck"), F.collect_list(F.col("o_orderkey") % 20).alias("parts"))
+    src = groups.selectExpr("g * 20 as track_id", "ck", "cast(g % 4 as int) as channel_index", "cast(g div 4 as int) as slot", "flatten(transform(parts, i -> sequence(cast(i * 15 as int), cast(i * 15 + 14 as int)))) as ts")
+    points = src.withColumn("t", F.explode("ts")).where("not (ck % 7 = 0 and (t + ck) % 41 = 0) and not (ck % 11 = 0 and t between 40 and 70)")
     return points.selectExpr(
         "channel_index", "cast(slot * 5 + t as int) as frame_index", "track_id", "cast(20 + (ck % 25) * 20 as int) as x",
         "cast(case when (slot div 40) % 2 = 0 and ck % 3 <> 0 then case when t < 20 then t * 6 when t < 260 then 120 + (t + ck) % 3 else 120 + (t - 260) * 6 end else t * 2 end as int) as y",
@@ -29,12 +28,13 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DETECTIONS_SQL = """
     tracks_src as (
-        select o_orderkey as track_id, o_custkey as ck, ((o_orderkey // 20) % 4)::int as channel_index, ((o_orderkey // 20) // 4)::int as slot
-        from orders where o_orderkey % 20 = 0),
+        select (o_orderkey // 20) * 20 as track_id, first_value(o_custkey) over (partition by o_orderkey // 20 order by o_orderkey) as ck,
+            ((o_orderkey // 20) % 4)::int as channel_index, ((o_orderkey // 20) // 4)::int as slot, o_orderkey % 20 * 15 as t0
+        from orders),
     points as (
         select *, case when (slot // 40) % 2 = 0 and ck % 3 <> 0
                 then case when t < 20 then t * 6 when t < 260 then 120 + (t + ck) % 3 else 120 + (t - 260) * 6 end else t * 2 end as y0
-        from (select *, unnest(generate_series(0, 299)) as t from tracks_src)),
+        from (select *, unnest(generate_series(t0, t0 + 14)) as t from tracks_src)),
     detections as (
         select channel_index, (slot * 5 + t)::int as frame_index, track_id, (20 + (ck % 25) * 20)::int as x, y0::int as y,
             (30 + ck % 20)::int as width, (24 + track_id % 12)::int as height, (ck % 5)::int as primary_class_id

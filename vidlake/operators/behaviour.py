@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vidlake.functions.geometry import distance, point_in_polygon, side_of_line
+from vidlake.operators.joins import join_small
 from vidlake.operators.track import one_per_track, with_point_before
 
 #: Event codes, one bit each (fixed values).
@@ -38,10 +39,9 @@ def _event(code: int) -> list[Column]:
 def cross_line(history: DataFrame, lines: DataFrame) -> DataFrame:
     """An event for each track point on the other side of its channel's line than the point before.
 
-    lines: (channel_index, line), one row a channel: as many rows as there are cameras,
-    which is why it is broadcast. Channels without a line have no events.
+    lines: (channel_index, line), one row a channel. Channels without a line have no events.
     """
-    both = history.where("prev is not null").join(F.broadcast(lines.select("channel_index", "line")), "channel_index")
+    both = join_small(history.where("prev is not null"), lines.select("channel_index", "line"), "channel_index")
     crossed = both.where(side_of_line(F.col("point"), F.col("line")) != side_of_line(F.col("prev"), F.col("line")))
     return crossed.select("channel_index", "frame_index", *_event(CROSSLINE), "track_id", F.col("line").alias("region"))
 
@@ -56,13 +56,14 @@ def crossline_totals(events: DataFrame) -> DataFrame:
 def stop_hits(history: DataFrame, regions: DataFrame, max_distance: float = STOP_DISTANCE, interval: int = CHECK_INTERVAL) -> DataFrame:
     """Rows whose track has stood: in its region, and within max_distance of the point interval - 1 rows earlier."""
     placed = with_point_before(history, interval - 1, "earlier").where("earlier is not null")
-    inside = placed.join(F.broadcast(regions.select("channel_index", "ring")), "channel_index").where(point_in_polygon(F.col("point"), F.col("ring")))
+    inside = join_small(placed, regions.select("channel_index", "ring"), "channel_index").where(point_in_polygon(F.col("point"), F.col("ring")))
     return one_per_track(inside.where(distance(F.col("point"), F.col("earlier")) <= max_distance))
 
 
 def frame_ordinals(frames: DataFrame) -> DataFrame:
-    """Each channel's frames with their place ford, 1 on; every frame counts, also one without targets."""
-    return frames.select("channel_index", "frame_index").distinct().withColumn("ford", F.row_number().over(Window.partitionBy("channel_index").orderBy("frame_index")))
+    """Each channel's frames with their place ford, 1 on, and the frame after; every frame counts, also one without targets."""
+    order = Window.partitionBy("channel_index").orderBy("frame_index")
+    return frames.select("channel_index", "frame_index").distinct().withColumns({"ford": F.row_number().over(order), "next_frame": F.lead("frame_index").over(order)})
 
 
 def _runs(hits: DataFrame, frames: DataFrame) -> DataFrame:
@@ -76,11 +77,12 @@ def _runs(hits: DataFrame, frames: DataFrame) -> DataFrame:
 
 def stop_events(hits: DataFrame, frames: DataFrame, min_hits: int = MIN_HITS) -> DataFrame:
     """STOP at the min_hits-th consecutive hit of a track, UNSTOP at the channel's first frame after such a run; a run that is open at the end has no UNSTOP."""
-    runs = _runs(hits, frames)
-    stops = runs.where(F.col("run") == min_hits).select("channel_index", "frame_index", *_event(STOP), "track_id")
-    ends = runs.groupBy("channel_index", "track_id", "island").agg(F.max("ford").alias("last"), F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= min_hits)
-    after = ends.withColumn("ford", F.col("last") + 1).join(frame_ordinals(frames).hint("merge"), ["channel_index", "ford"])
-    return stops.unionByName(after.select("channel_index", "frame_index", *_event(UNSTOP), "track_id"))
+    runs = _runs(hits, frames).groupBy("channel_index", "track_id", "island").agg(
+        F.max(F.when(F.col("run") == min_hits, F.col("frame_index"))).alias("begun"), F.max_by("next_frame", "ford").alias("over")
+    )
+    event = lambda at, code: F.struct(at.alias("frame_index"), *_event(code))
+    both = runs.where("begun is not null").select("channel_index", "track_id", F.explode(F.array(event(F.col("begun"), STOP), event(F.col("over"), UNSTOP))).alias("e"))
+    return both.where("e.frame_index is not null").select("channel_index", "e.frame_index", "e.ba_type", "e.ba_label", "track_id")
 
 
 def stopped_now(events: DataFrame, frames: DataFrame) -> DataFrame:
@@ -112,19 +114,24 @@ def jam_events(counts: DataFrame, min_stops: int = MIN_STOPS, notify: int = NOTI
 
     JAM at a frame with min_stops or more standing tracks, when the channel is not jammed
     and more than notify seconds of frames lie since its last event (0 at first); UNJAM at
-    the first frame with fewer. Only runs of full frames are folded, a row each, so
-    what a channel gathers is its jams and not its frames.
+    the first frame with fewer. Only runs of full frames are folded, each as the ends of
+    its stretches of consecutive frame numbers, so what a channel gathers is its jams and
+    not their frames.
     """
     ordered = Window.partitionBy("channel_index").orderBy("frame_index")
     full = counts.withColumn("full", F.col("stops") >= min_stops)
     marks = full.withColumn("new", (F.col("full") != F.coalesce(F.lag("full").over(ordered), ~F.col("full"))).cast("int"))
-    runs = marks.withColumn("run", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.lead("frame_index").over(ordered))
-    islands = runs.where("full").groupBy("channel_index", "run").agg(F.max("fps").alias("fps"), F.sort_array(F.collect_list("frame_index")).alias("frames"), F.max("after").alias("after"), F.max("frame_index").alias("end"))
-    islands = islands.withColumn("after", F.when(F.col("after") > F.col("end"), F.col("after")))
-    rows = islands.groupBy("channel_index").agg(F.sort_array(F.collect_list(F.struct("run", "frames", "after", "fps"))).alias("islands"))
+    marks = marks.withColumn("cut", F.greatest(F.col("new"), (F.col("frame_index") - F.lag("frame_index").over(ordered) != 1).cast("int")))
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    runs = marks.withColumns({"run": F.sum("new").over(so_far), "stretch": F.sum("cut").over(so_far), "after": F.lead("frame_index").over(ordered)})
+    stretches = runs.where("full").groupBy("channel_index", "run", "stretch").agg(F.max("fps").alias("fps"), F.min("frame_index").alias("start"), F.max("frame_index").alias("end"), F.max_by("after", "frame_index").alias("after"))
+    islands = stretches.groupBy("channel_index", "run").agg(F.max("fps").alias("fps"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("stretches"), F.max_by("after", "end").alias("after"))
+    rows = islands.groupBy("channel_index").agg(F.sort_array(F.collect_list(F.struct("run", "stretches", "after", "fps"))).alias("islands"))
 
     def fold(state: Column, island: Column) -> Column:
-        at = F.get(F.filter(island["frames"], lambda f: f - state["last"] > notify * island["fps"]), 0)
+        limit = state["last"] + notify * island["fps"]
+        first = F.get(F.filter(island["stretches"], lambda s: s["end"] > limit), 0)
+        at = F.when(first.isNotNull(), F.greatest(first["start"], (limit + 1).cast("int")))
         entered = F.when(at.isNotNull(), F.array(F.struct(at.alias("frame_index"), F.lit(JAM).alias("ba_type")))).otherwise(F.array().cast("array<struct<frame_index:int,ba_type:int>>"))
         left = F.when(at.isNotNull() & island["after"].isNotNull(), F.array(F.struct(island["after"].alias("frame_index"), F.lit(UNJAM).alias("ba_type")))).otherwise(F.array().cast("array<struct<frame_index:int,ba_type:int>>"))
         return F.struct(F.when(at.isNull(), state["last"]).otherwise(F.coalesce(island["after"], at)).alias("last"), F.concat(state["events"], entered, left).alias("events"))
@@ -135,10 +142,12 @@ def jam_events(counts: DataFrame, min_stops: int = MIN_STOPS, notify: int = NOTI
 
 
 def jam_status(events: DataFrame, frames: DataFrame) -> DataFrame:
-    """Every channel frame with jammed: whether the last jam event up to it was a JAM."""
-    joined = frames.select("channel_index", "frame_index").distinct().join(events.select("channel_index", "frame_index", "ba_type").hint("merge"), ["channel_index", "frame_index"], "left")
-    last = F.last("ba_type", ignorenulls=True).over(Window.partitionBy("channel_index").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0))
-    return joined.select("channel_index", "frame_index", F.coalesce(last == JAM, F.lit(False)).alias("jammed"))
+    """Every channel frame with jammed: whether the last jam event up to it was a JAM; where events have target_ids, also those of that event."""
+    named = [c for c in ("target_ids",) if c in events.columns]
+    joined = frames.select("channel_index", "frame_index").distinct().join(events.select("channel_index", "frame_index", F.struct("ba_type", *named).alias("e")).hint("merge"), ["channel_index", "frame_index"], "left")
+    last = F.last("e", ignorenulls=True).over(Window.partitionBy("channel_index").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0))
+    out = joined.withColumn("_e", last)
+    return out.select("channel_index", "frame_index", F.coalesce(F.col("_e.ba_type") == JAM, F.lit(False)).alias("jammed"), *[F.col(f"_e.{c}") for c in named])
 
 
 def targets_by_ids(targets: DataFrame, events: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vidlake.functions.geometry import iou
+from vidlake.operators.joins import join_small
 
 FRAME = ["channel_index", "frame_index"]
 
@@ -67,7 +67,8 @@ def face_priors(frames: DataFrame) -> DataFrame:
 def decode_face(rows: DataFrame, frames: DataFrame, score: float = 0.7) -> DataFrame:
     """Face rows (loc ARRAY of 14: box and five landmarks, cls, iou_score) to boxes in pixels, with the frame's priors."""
     sized = rows.join(frames.select(*FRAME, "width", "height").distinct().hint("merge"), FRAME)
-    both = sized.join(face_priors(frames).hint("merge"), ["width", "height", "row_no"])
+    # priors are bounded by the picture sizes, which are few: a size has some thousand
+    both = join_small(sized, face_priors(frames), ["width", "height", "row_no"])
     v, (near, far) = F.col("loc"), FACE_VARIANCES
     scored = both.withColumn("score", F.sqrt(F.col("cls") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("iou_score"))))).where(F.col("score") > score)
     cx, cy = F.col("cx") + F.get(v, 0) * near * F.col("sx"), F.col("cy") + F.get(v, 1) * near * F.col("sy")
@@ -101,7 +102,7 @@ def clip_boxes(targets: DataFrame, frames: DataFrame) -> DataFrame:
 def label_lookup(targets: DataFrame, labels: DataFrame, column: str = "primary_label") -> DataFrame:
     """The label of each class id; labels: (class_id, label), a line of a label file each, without a carriage return. Unknown ids are empty."""
     clean = labels.select(F.col("class_id").alias("primary_class_id"), F.regexp_replace("label", "\r$", "").alias(column))
-    return targets.join(clean.hint("shuffle_hash"), "primary_class_id", "left").withColumn(column, F.coalesce(column, F.lit("")))
+    return join_small(targets, clean, "primary_class_id", "left").withColumn(column, F.coalesce(column, F.lit("")))
 
 
 def merge_detectors(parts: Sequence[tuple[DataFrame, int]]) -> DataFrame:
@@ -198,26 +199,29 @@ def limb_pairs(candidates: DataFrame, share: float = 0.7, threshold: float = 0.1
 def assemble_poses(pairs: DataFrame, limbs: Sequence[tuple[int, int]], points: int) -> DataFrame:
     """Persons of each frame from its limb pairs (channel_index, frame_index, limb, a_id, b_id), folded in order of limb.
 
-    limbs: the joints each limb goes from and to. A pair joins the persons that hold its
-    first joint, else starts one while limb < points - 1. Returns (channel_index,
+    limbs: the joints each limb goes from and to. A pair joins the first person that holds
+    its first joint, else starts one while limb < points - 1. Returns (channel_index,
     frame_index, person, joints ARRAY of candidate ids, -1 where missing). One frame's
     pairs are one group.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        persons: list[list[int]] = []
-        for limb, a, b in rows.sort_values(["limb", "a_id"])[["limb", "a_id", "b_id"]].itertuples(index=False):
-            start, end = limbs[limb]
-            holders = [p for p in persons if p[start] == a]
-            if not holders and limb < points - 1:
-                holders = [[-1] * points]
-                holders[0][start] = a
-                persons += holders
-            for p in holders:
-                p[end] = b
-        return pd.DataFrame({"channel_index": rows["channel_index"].iloc[0], "frame_index": rows["frame_index"].iloc[0], "person": range(len(persons)), "joints": persons})
-
-    return pairs.groupBy(*FRAME).applyInPandas(fold, "channel_index int, frame_index int, person int, joints array<int>")
+    kind, number = "array<array<int>>", lambda k: F.array(*[F.lit(limb[k]) for limb in limbs])
+
+    def fold(persons: Column, pair: Column) -> Column:
+        start, end = F.get(number(0), pair["limb"]), F.get(number(1), pair["limb"])
+        fresh = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.when(k == end, pair["b_id"]).when(k == start, pair["a_id"]).otherwise(-1))
+
+        def joined(at: Column) -> Column:
+            grown = F.transform(persons, lambda p, i: F.when(i + 1 == at, F.transform(p, lambda v, k: F.when(k == end, pair["b_id"]).otherwise(v))).otherwise(p))
+            return F.when(at > 0, grown).when(pair["limb"] < points - 1, F.concat(persons, F.array(fresh))).otherwise(persons)
+
+        # the place of the first holder, once for all that follows
+        at = F.array_position(F.transform(persons, lambda p: F.get(p, start)), pair["a_id"])
+        return F.get(F.transform(F.array(at), joined), 0).cast(kind)
+
+    steps = pairs.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("limb", "a_id", "b_id")]))).alias("steps"))
+    persons = F.aggregate("steps", F.array().cast(kind), fold)
+    return steps.select(*FRAME, F.posexplode(persons).alias("person", "joints"))
 
 
 def mask_argmax(cells: DataFrame) -> DataFrame:

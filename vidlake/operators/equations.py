@@ -31,14 +31,18 @@ def _flag(good: Column, left: Column, right: Column) -> Column:
     return F.when(fine, F.concat(F.when(left == said, "yes_").otherwise("no_"), round_any(left, 2))).otherwise("invalid")
 
 
-def check_binary(texts: DataFrame) -> DataFrame:
-    """texts (text) with flag: yes_v or no_v for `a op b = c` with v = a op b, else invalid. Native expressions only."""
-    good, arithmetic, right = _sides(F.col("text"))
+def _binary(arithmetic: Column) -> Column:
+    """The value of a op b."""
     part = lambda k: F.regexp_extract(arithmetic, _BINARY, k)
     a, b = F.when(part(1) != "", part(1).cast("double")), F.when(part(3) != "", part(3).cast("double"))
     op = part(2)
-    left = F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).when((op == "/") & (b != 0), a / F.when(b != 0, b))
-    return texts.withColumn("flag", _flag(good, left, right))
+    return F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).when((op == "/") & (b != 0), a / F.when(b != 0, b))
+
+
+def check_binary(texts: DataFrame) -> DataFrame:
+    """texts (text) with flag: yes_v or no_v for `a op b = c` with v = a op b, else invalid. Native expressions only."""
+    good, arithmetic, right = _sides(F.col("text"))
+    return texts.withColumn("flag", _flag(good, _binary(arithmetic), right))
 
 
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Pow: operator.pow, ast.USub: operator.neg, ast.UAdd: operator.pos}
@@ -67,13 +71,16 @@ def _evaluate(text: str | None) -> float | None:
 @F.pandas_udf(DoubleType())
 def evaluate(texts: pd.Series) -> pd.Series:
     """Values of + - * / ^ and brackets; null for anything else."""
-    return texts.map(_evaluate).astype("float64")
+    known = {t: _evaluate(t) if t else None for t in texts.unique()}
+    return texts.map(known).astype("float64")
 
 
 def check_equations(texts: DataFrame) -> DataFrame:
-    """As check_binary, for any arithmetic on the left."""
+    """As check_binary, for any arithmetic on the left; only what is no single operation goes to Python."""
     good, arithmetic, right = _sides(F.col("text"))
-    left = F.nanvl(evaluate(F.coalesce(arithmetic, F.lit(""))), F.lit(None).cast("double"))
+    plain = F.coalesce(arithmetic.rlike(_BINARY), F.lit(False))
+    asked = F.when(plain | ~good, F.lit("")).otherwise(F.coalesce(arithmetic, F.lit("")))
+    left = F.when(plain, _binary(arithmetic)).otherwise(F.nanvl(evaluate(asked), F.lit(None).cast("double")))
     return texts.withColumn("flag", _flag(good, left, right))
 
 

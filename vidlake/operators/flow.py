@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from vidlake.functions.geometry import project_point
 
 FRAME = ["channel_index", "frame_index"]
+#: What a second branch fills where it is empty, and what it adds to.
+EMPTY, LISTS = ("history", "mask", "embedding"), ("secondary", "secondary_ids", "secondary_scores", "sub_targets")
 
 
 def split_by_channel(df: DataFrame, channels: int) -> list[DataFrame]:
@@ -36,20 +38,26 @@ def sync_merge(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def sync_update(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a's targets (channel_index, frame_index, target_no, track_id, secondary, embedding) with what b's of the same number adds.
+    """a's targets (channel_index, frame_index, target_no, track_id and any of EMPTY and LISTS) with what b's of the same number adds.
 
-    Only frames on which both have as many targets are merged; others keep a's rows.
+    A track_id of -1 and empty values of EMPTY are filled; LISTS grow by b's. Other
+    columns stay a's. Only frames on which both have as many targets are merged; others
+    keep a's rows. Faces are merged alike, as a table of theirs.
     """
-    y = b.select(*FRAME, "target_no", F.col("track_id").alias("_id"), F.col("secondary").alias("_s"), F.col("embedding").alias("_e"))
+    own = [c for c in (*EMPTY, *LISTS) if c in a.columns and c in b.columns]
+    y = b.select(*FRAME, "target_no", F.col("track_id").alias("_id"), *[F.col(c).alias(f"_b_{c}") for c in own])
     sizes = lambda df, name: df.groupBy(*FRAME).agg(F.count(F.lit(1)).alias(name))
     same = sizes(a, "n").join(sizes(b, "m").hint("merge"), FRAME).where("n = m").select(*FRAME)
     both = a.join(y.join(same.hint("merge"), FRAME, "left_semi").hint("merge"), [*FRAME, "target_no"], "left")
-    none = F.array().cast(dict(a.dtypes)["secondary"])
-    return both.select(
-        *FRAME, "target_no", F.when(F.col("track_id") == -1, F.coalesce("_id", "track_id")).otherwise(F.col("track_id")).alias("track_id"),
-        F.concat(F.coalesce("secondary", none), F.coalesce("_s", none)).alias("secondary"),
-        F.when(F.coalesce(F.size("embedding"), F.lit(0)) <= 0, F.coalesce("_e", "embedding")).otherwise(F.col("embedding")).alias("embedding"),
-    )
+    kinds, new = dict(a.dtypes), {"track_id": F.when(F.col("track_id") == -1, F.coalesce("_id", "track_id")).otherwise(F.col("track_id"))}
+    for c in own:
+        if c in LISTS:
+            none = F.array().cast(kinds[c])
+            new[c] = F.concat(F.coalesce(c, none), F.coalesce(f"_b_{c}", none))
+        else:
+            size = F.size(c) if kinds[c].startswith("array") else F.length(c)
+            new[c] = F.when(F.coalesce(size, F.lit(0)) <= 0, F.coalesce(f"_b_{c}", c)).otherwise(F.col(c))
+    return both.withColumns(new).select(*a.columns)
 
 
 def sync_timeouts(a: DataFrame, b: DataFrame, timeout_ms: int = 40, fps: int = 25) -> DataFrame:

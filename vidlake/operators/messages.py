@@ -42,8 +42,9 @@ def ba_messages(events: DataFrame, targets: DataFrame, zone: str = "UTC") -> Dat
     Labels of a target have pipes between, targets commas, in order of track_id. Events
     with no target on their frame have an empty line there.
     """
-    keyed = events.withColumn("event_no", F.monotonically_increasing_id()) if "event_no" not in events.columns else events
-    ids = keyed.select("event_no", "channel_index", "frame_index", F.explode("target_ids").alias("track_id"))
+    own_key = F.xxhash64("channel_index", "frame_index", "ba_type", "ba_label", "target_ids")  # an event's key is what it says: it survives the loss of a task
+    keyed = events if "event_no" in events.columns else events.withColumn("event_no", own_key)
+    ids = keyed.select("event_no", "channel_index", "frame_index", F.explode("target_ids").alias("track_id")).distinct()
     own = targets.select("channel_index", "frame_index", "track_id", F.array_join("secondary", "|").alias("labels"))
     labels = ids.join(own.hint("merge"), ["channel_index", "frame_index", "track_id"]).groupBy("event_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("track_id", "labels"))), lambda t: t["labels"]), ",").alias("labels"))
     both = keyed.join(labels.hint("merge"), "event_no", "left")
@@ -90,7 +91,7 @@ def skip_empty(messages: DataFrame) -> DataFrame:
     return messages.where(F.length("message") > 0)
 
 
-def first_per_track(history: DataFrame, min_tracked: int = 25, min_width: int = 50, min_height: int = 50, only_for_tracked: bool = True) -> DataFrame:
+def first_per_track(history: DataFrame, min_tracked: int = 25, min_width: int = 50, min_height: int = 50, only_for_tracked: bool = False) -> DataFrame:
     """Each track's first target that is large enough and, of tracked ones, has been followed for min_tracked targets; untracked rows always pass where they may."""
     sized = history.where((F.col("width") >= min_width) & (F.col("height") >= min_height))
     tracked = F.col("track_id") >= 0
@@ -111,12 +112,14 @@ def first_per_plate(plates: DataFrame, partitions: int, min_width: int = 100, mi
     """Plates (channel_index, frame_index, track_id, width, height, label) that are sent: each text and each track once per channel.
 
     A row that its text holds back does not use up its track, so rows are followed in
-    order; a channel's rows stream through one task, whose state is the tracks and
+    order. Only the first row of each track and text can be sent, so rows are reduced to
+    these first; then a channel's stream through one task, whose state is the tracks and
     texts sent so far.
     """
     parsed = plates.withColumn("plate", parse_plate(F.col("label")))
     good = parsed.where((F.col("track_id") >= 0) & (F.col("width") >= min_width) & (F.col("height") >= min_height) & F.col("plate").isNotNull())
-    rows = good.select("channel_index", "frame_index", "track_id", F.col("plate.color").alias("color"), F.col("plate.text").alias("text"))
+    rows = good.groupBy("channel_index", "track_id", F.col("plate.text").alias("text")).agg(F.min(F.struct("frame_index", "plate.color")).alias("at"))
+    rows = rows.select("channel_index", F.col("at.frame_index").alias("frame_index"), "track_id", F.col("at.color").alias("color"), "text")
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         channel, tracks, texts = None, set(), set()
@@ -132,4 +135,4 @@ def first_per_plate(plates: DataFrame, partitions: int, min_width: int = 100, mi
                     texts.add(text)
             yield batch[pd.Series(keep, index=batch.index, dtype=bool)]
 
-    return rows.repartition(partitions, "channel_index").sortWithinPartitions("channel_index", "frame_index", "track_id").mapInPandas(follow, rows.schema)
+    return rows.repartition(partitions, "channel_index").sortWithinPartitions("channel_index", "frame_index", "track_id", "text").mapInPandas(follow, rows.schema)

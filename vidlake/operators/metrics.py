@@ -30,9 +30,13 @@ def latency(trace: DataFrame, epoch_ms: int = 3_600_000) -> DataFrame:
 
 
 def stream_status(trace: DataFrame) -> DataFrame:
-    """Per channel and node: the latest frame and its latency."""
-    latest = F.max_by(F.struct("frame_index", _ms(F.col("in_time"), F.col("out_time")).alias("ms")), F.struct("in_time", "event_id"))
-    return trace.groupBy("channel_index", "node").agg(latest.alias("l"), F.count(F.lit(1)).alias("frames")).select("channel_index", "node", F.col("l.frame_index").alias("frame_index"), F.col("l.ms").alias("latency_ms"), "frames")
+    """Per channel and node: the latest frame, its latency, its size where trace has width and height, how many frames, and frames per second from the first to the last."""
+    size = [c for c in ("width", "height") if c in trace.columns]
+    latest = F.max_by(F.struct("frame_index", _ms(F.col("in_time"), F.col("out_time")).alias("ms"), *size), F.struct("in_time", "event_id"))
+    span = _ms(F.min("in_time"), F.max("in_time")) / 1000
+    rows = trace.groupBy("channel_index", "node").agg(latest.alias("l"), F.count(F.lit(1)).alias("frames"), span.alias("s"))
+    fps = F.when(F.col("s") > 0, F.round((F.col("frames") - 1) / F.col("s"), 6))
+    return rows.select("channel_index", "node", F.col("l.frame_index").alias("frame_index"), F.col("l.ms").alias("latency_ms"), "frames", fps.alias("fps"), *[F.col(f"l.{c}").alias(c) for c in size])
 
 
 def node_throughput(trace: DataFrame, epoch_ms: int = 3_600_000) -> DataFrame:

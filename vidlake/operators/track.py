@@ -30,20 +30,25 @@ def track_history(targets: DataFrame) -> DataFrame:
     """targets with seg (how often the track started anew), history (its length so far) and prev, the point before.
 
     A track starts anew when, at its next target, more than MAX_GAP frames lie between its
-    last frame and the channel's last frame with targets before that one. The channel's
-    frames are joined by frame, so that the wide rows are shuffled once by frame and once
-    by track. Rows without a track (track_id below 0 or null) have no history.
+    last frame and the channel's last frame with targets before that one. Only rows
+    whose own gap is that wide can do so; their frames are found on three columns and
+    joined as a list for each track, so the wide rows are shuffled once, by track. Rows
+    without a track (track_id below 0 or null) have no history.
     """
     tracked = targets.where("track_id >= 0").withColumn("point", track_point(F.col("x"), F.col("y"), F.col("width"), F.col("height")))
     by_channel = Window.partitionBy("channel_index").orderBy("frame_index")
-    busy = targets.select("channel_index", "frame_index").distinct().withColumn("busy_before", F.lag("frame_index").over(by_channel))
-    joined = tracked.join(busy.hint("merge"), ["channel_index", "frame_index"])
     track = Window.partitionBy("channel_index", "track_id").orderBy("frame_index")
-    new = (F.col("busy_before") - F.lag("frame_index").over(track) > MAX_GAP).cast("int")
-    seg = joined.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("seg", F.sum("_new").over(track.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = targets.where("track_id >= 0").select("channel_index", "track_id", "frame_index")
+    apart = seen.withColumn("before", F.lag("frame_index").over(track)).where(F.col("frame_index") - F.col("before") > MAX_GAP + 1)
+    busy = targets.select("channel_index", "frame_index").distinct().withColumn("busy_before", F.lag("frame_index").over(by_channel))
+    anew = apart.join(busy.hint("merge"), ["channel_index", "frame_index"]).where(F.col("busy_before") - F.col("before") > MAX_GAP)
+    starts = anew.groupBy("channel_index", "track_id").agg(F.collect_list("frame_index").alias("_starts"))
+    joined = tracked.join(starts.hint("shuffle_hash"), ["channel_index", "track_id"], "left")
+    passed = F.size(F.filter("_starts", lambda f: f <= F.col("frame_index")))
+    seg = joined.withColumn("seg", F.when(F.col("_starts").isNull(), 0).otherwise(passed).cast("long"))
     # partitioned by the same keys, so neither window adds a shuffle
     own = Window.partitionBy("channel_index", "track_id", "seg").orderBy("frame_index")
-    return seg.withColumn("history", F.row_number().over(own)).withColumn("prev", F.lag("point").over(own)).drop("_new", "busy_before")
+    return seg.withColumn("history", F.row_number().over(own)).withColumn("prev", F.lag("point").over(own)).drop("_starts")
 
 
 def with_point_before(history: DataFrame, rows: int, name: str) -> DataFrame:
@@ -150,7 +155,8 @@ def match(like: np.ndarray) -> list[tuple[int, int]]:
     return pairs
 
 
-_Q, _R, _P0 = np.diag([1.0, 1.0, 1.0, 1e-2, 1e-2, 1e-2, 1e-4]), np.diag([1.0, 1.0, 10.0, 10.0]), np.diag([10.0, 10.0, 10.0, 10.0, 1e4, 1e4, 1e4])
+#: Noise of the process and of the measurement, and uncertainty at the start (fixed values).
+_Q, _R, _P0 = 1e-2 * np.eye(7), 1e-1 * np.eye(4), np.eye(7)
 
 
 def _measures(boxes: np.ndarray) -> np.ndarray:
@@ -160,9 +166,12 @@ def _measures(boxes: np.ndarray) -> np.ndarray:
 
 
 def _boxes(x: np.ndarray) -> np.ndarray:
-    w = np.sqrt(np.maximum(x[:, 2] * x[:, 3], 1e-9))
-    h = x[:, 2] / w
-    return np.stack([x[:, 0] - w / 2, x[:, 1] - h / 2, w, h], axis=1)
+    """Boxes of states; one that reaches over the left or upper edge with its centre inside starts at the edge, one without area is nan."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        w = np.sqrt(x[:, 2] * x[:, 3])
+        h = x[:, 2] / w
+    lo = x[:, :2] - np.stack([w, h], axis=1) / 2
+    return np.concatenate([np.where((lo < 0) & (x[:, :2] > 0), 0.0, lo), w[:, None], h[:, None]], axis=1)
 
 
 class Trackers:
@@ -191,7 +200,6 @@ class Trackers:
         if not len(self.ids):
             self._start(boxes)
             return ids
-        self.x[self.x[:, 2] + self.x[:, 6] <= 0, 6] = 0.0
         self.x, self.p = self.x @ _F.T, _F @ self.p @ _F.T + _Q
         self.streak[self.age > 0] = 0
         self.age += 1

@@ -99,7 +99,7 @@ def decode_face(spark, d):
 
 _INTER = "(greatest(0, least(k.x + k.w, f.x + f.width) - greatest(k.x, f.x)) * greatest(0, least(k.y + k.h, f.y + f.height) - greatest(k.y, f.y)))"
 _NMS = YOLO + f""",
-    few as (select *, row_number() over (partition by channel_index, frame_index order by primary_score desc, row_no, x, y, width, height, primary_class_id) as place from yolo where width > 0 and height > 0 and head = 0),
+    few as (select *, row_number() over (partition by channel_index, frame_index order by primary_score desc, row_no, x, y, width, height, primary_class_id) as place from yolo where width > 0 and height > 0),
     walk as (
         select channel_index, frame_index, 0::bigint as place, [] ::struct(x int, y int, w int, h int)[] as kept, -1 as row_no, false as taken from (select distinct channel_index, frame_index from few)
         union all
@@ -110,7 +110,7 @@ _NMS = YOLO + f""",
 
 @query("nms", f"with recursive {_NMS} select channel_index, frame_index, row_no from walk where taken")
 def nms(spark, d):
-    return D.nms(yolo(spark, d).where("width > 0 and height > 0 and head = 0"), 0.3).select("channel_index", "frame_index", "row_no")
+    return D.nms(yolo(spark, d).where("width > 0 and height > 0"), 0.3).select("channel_index", "frame_index", "row_no")
 
 
 @query("clip_boxes", f"with {YOLO} select channel_index, frame_index, head, row_no, x, y, least(width, 800 - x) as width, least(height, 700 - y) as height from (select channel_index, frame_index, head, row_no, greatest(x, 0) as x, greatest(y, 0) as y, width, height from yolo) where least(width, 800 - x) > 0 and least(height, 700 - y) > 0")
@@ -233,9 +233,23 @@ def limb_pairs(spark, d):
     return D.limb_pairs(_candidates(spark, d))
 
 
-@query("assemble_poses")
+_POSES = _CANDIDATES + """,
+    turns as (select *, row_number() over (partition by channel_index, frame_index order by limb, a_id) as n from pairs),
+    walk as (
+        select channel_index, frame_index, 0::bigint as n, [] ::int[][] as persons from (select distinct channel_index, frame_index from turns)
+        union all
+        select t.channel_index, t.frame_index, t.n, case when holder > 0
+                then list_transform(persons, lambda p, i: case when i = holder then list_transform(p, lambda v, k: case when k = limb + 2 then b_id else v end) else p end)
+                else list_append(persons, list_transform([1, 2, 3, 4], lambda k: case when k = limb + 1 then a_id when k = limb + 2 then b_id else -1 end)) end
+        from (select t.*, w.persons, coalesce(list_position(list_transform(w.persons, lambda p: p[t.limb + 1]), t.a_id), 0) as holder
+            from walk w join turns t on t.channel_index = w.channel_index and t.frame_index = w.frame_index and t.n = w.n + 1) t),
+    last as (select * from walk qualify row_number() over (partition by channel_index, frame_index order by n desc) = 1)"""
+
+
+@query("assemble_poses", f"with recursive {_POSES} select channel_index, frame_index, (unnest(generate_series(1, len(persons))) - 1)::int as person, array_to_string(unnest(persons), ',') as joints from last")
 def assemble_poses(spark, d):
-    return D.assemble_poses(D.limb_pairs(_candidates(spark, d)).drop("score"), [(0, 1), (1, 2), (2, 3)], 4)
+    poses = D.assemble_poses(D.limb_pairs(_candidates(spark, d)).drop("score"), [(0, 1), (1, 2), (2, 3)], 4)
+    return poses.withColumn("joints", F.array_join(F.col("joints").cast("array<string>"), ","))
 
 
 def _cells(spark, d):
@@ -408,7 +422,7 @@ def plate_messages(spark, d):
 
 @query("first_per_track", f"with {PB.HISTORY} select channel_index, track_id, min(frame_index) as frame_index from history where history >= 25 and width >= 35 and height >= 26 group by 1, 2")
 def first_per_track(spark, d):
-    return G.first_per_track(PB.history(spark, d), 25, 35, 26).select("channel_index", "track_id", "frame_index")
+    return G.first_per_track(PB.history(spark, d), 25, 35, 26, only_for_tracked=True).select("channel_index", "track_id", "frame_index")
 
 
 @query("plates_first_per_text", f"with {_PARSED}, once as (select *, row_number() over (partition by channel_index, track_id order by frame_index, track_id) as n from parsed) select channel_index, frame_index, track_id, text from (select *, row_number() over (partition by channel_index, text order by frame_index, track_id) as m from once where n = 1) where m = 1")
@@ -416,7 +430,17 @@ def plates_first_per_text(spark, d):
     return G.plates_first_per_text(_plate_labels(spark, d)).select("channel_index", "frame_index", "track_id", "text")
 
 
-@query("first_per_plate")
+_SENT = _PARSED + """,
+    turns as (select *, row_number() over (partition by channel_index order by frame_index, track_id) as n from parsed where width >= 100 and track_id >= 0),
+    walk as (
+        select channel_index, 0::bigint as n, 0 as frame_index, 0::bigint as track_id, '' as color, '' as text, false as sent, [] ::bigint[] as tracks, [] ::varchar[] as texts from (select distinct channel_index from turns)
+        union all
+        select t.channel_index, t.n, t.frame_index, t.track_id, t.color, t.text, ok, case when ok then list_append(tracks, t.track_id) else tracks end, case when ok then list_append(texts, t.text) else texts end
+        from (select t.*, w.tracks, w.texts, not list_contains(w.tracks, t.track_id) and not list_contains(w.texts, t.text) as ok
+            from walk w join turns t on t.channel_index = w.channel_index and t.n = w.n + 1) t)"""
+
+
+@query("first_per_plate", f"with recursive {_SENT} select channel_index, frame_index, track_id, color, text from walk where sent")
 def first_per_plate(spark, d):
     return G.first_per_plate(_plate_labels(spark, d), 8)
 

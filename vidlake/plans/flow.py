@@ -26,9 +26,9 @@ def query(name, sql=None):
 FR = X.FRAMES_SQL
 
 
-@query("read_frames", "select o_orderkey, o_custkey from orders where o_orderkey % 4 = 1")
+@query("read_frames", "select o_orderkey, o_custkey from orders")
 def read_frames(spark, d):
-    return S.read_frames(spark, f"{d}/orders.parquet").where("o_orderkey % 4 = 1").select("o_orderkey", "o_custkey")
+    return S.read_frames(spark, f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
 
 
 @query("number_frames", "select (user_id % 4)::int as channel_index, event_id, (row_number() over (partition by user_id % 4 order by ts, event_id) - 1)::int as frame_index from events")
@@ -72,9 +72,9 @@ def stream_info(spark, d):
     return S.stream_info(X.frames(spark, d))
 
 
-@query("split_by_channel", f"with {FR} select channel_index, count(*) as n from frames where channel_index < 3 group by 1")
+@query("split_by_channel", f"with {FR} select channel_index, count(*) as n from frames group by 1")
 def split_by_channel(spark, d):
-    parts = W.split_by_channel(X.frames(spark, d), 3)
+    parts = W.split_by_channel(X.frames(spark, d), 4)
     return W.merge_streams(*[p.groupBy("channel_index").agg(F.count(F.lit(1)).alias("n")) for p in parts])
 
 
@@ -84,10 +84,10 @@ def fan_out(spark, d):
     return W.merge_streams(*W.fan_out(X.detections(spark, d), [branch("small", "width < 40"), branch("large", "width >= 40")]))
 
 
-@query("merge_streams", f"with {FR} select channel_index, frame_index from frames where channel_index in (0, 2)")
+@query("merge_streams", f"with {FR} select channel_index, frame_index from frames")
 def merge_streams(spark, d):
     parts = W.split_by_channel(X.frames(spark, d).select("channel_index", "frame_index"), 4)
-    return W.merge_streams(parts[0], parts[2])
+    return W.merge_streams(*parts)
 
 
 def _branch(spark, d, where, mask):
@@ -238,7 +238,7 @@ def latency(spark, d):
     return M.latency(X.trace(spark, d))
 
 
-@query("stream_status", f"with {TR} select channel_index, node, arg_max(frame_index, (in_time, event_id)) as frame_index, arg_max({_MS}, (in_time, event_id)) as latency_ms, count(*) as frames from trace group by 1, 2")
+@query("stream_status", f"with {TR} select channel_index, node, arg_max(frame_index, (in_time, event_id)) as frame_index, arg_max({_MS}, (in_time, event_id)) as latency_ms, count(*) as frames, case when max(in_time) > min(in_time) then round((count(*) - 1) / ((epoch_us(max(in_time)) - epoch_us(min(in_time))) / 1000 / 1000), 6) end as fps from trace group by 1, 2")
 def stream_status(spark, d):
     return M.stream_status(X.trace(spark, d))
 

@@ -20,10 +20,18 @@ def sync_stream(a: DataFrame, b: DataFrame, timeout: str = "40 milliseconds") ->
     )
 
 
-def first_per_track_stream(targets: DataFrame, within: str = "10 minutes", min_width: int = 50, min_height: int = 50) -> DataFrame:
-    """Each track's first large enough target while the watermark remembers it; frame_ts is the event time."""
-    sized = targets.where((F.col("width") >= min_width) & (F.col("height") >= min_height) & (F.col("track_id") >= 0))
-    return sized.withWatermark("frame_ts", within).dropDuplicatesWithinWatermark(["channel_index", "track_id"])
+def first_per_track_stream(targets: DataFrame, within: str = "10 minutes", min_tracked: int = 25, min_width: int = 50, min_height: int = 50, only_for_tracked: bool = False) -> DataFrame:
+    """Each track's first large enough target while the watermark remembers it; frame_ts is the event time.
+
+    only_for_tracked: only targets that have been followed for min_tracked frames
+    (history); else targets without a track pass too, each by itself.
+    """
+    sized = targets.where((F.col("width") >= min_width) & (F.col("height") >= min_height))
+    tracked = sized.where(F.col("track_id") >= 0)
+    if only_for_tracked:
+        tracked = tracked.where(F.col("history") >= min_tracked)
+    once = tracked.withWatermark("frame_ts", within).dropDuplicatesWithinWatermark(["channel_index", "track_id"])
+    return once if only_for_tracked else once.unionByName(sized.where("track_id < 0").withWatermark("frame_ts", within))
 
 
 def dedupe_controls_stream(controls: DataFrame, within: str = "1 minute") -> DataFrame:
