@@ -11,48 +11,59 @@ LOCAL_SCRATCH = "/tmp/checkpoints"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset, the warehouse, or a local folder in local mode."""
+    """The session's spark.checkpoint.dir; a local folder where it is unset in local mode. A cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
         return LOCAL_SCRATCH
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _kept(df: DataFrame, path: str, table: str | None = None) -> DataFrame:
+    df._scratch = path, table
+    return df
+
+
 def save(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df once and return the written table: later reads survive the loss of any executor."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _kept(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
 def save_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """Write df in one bucket per shuffle partition, sorted by key: groupings and windows on key then need no shuffle."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, path = shuffle_partitions(spark), new_path(spark, name)
     table = f"{name}_{uuid.uuid4().hex}"
-    (
-        df.repartition(n, key)
-        .write.bucketBy(n, key)
-        .sortBy(key)
-        .format("parquet")
-        .option("path", new_path(spark, name))
-        .saveAsTable(table)
-    )
-    return spark.table(table)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
+    return _kept(spark.table(table), path, table)
 
 
 def drop(df: DataFrame) -> None:
-    """Delete the files of a saved table that nothing reads any more."""
+    """Delete a saved table that nothing reads any more; tables that save did not write stay."""
+    path, table = getattr(df, "_scratch", (None, None))
+    if path is None:
+        return
     spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
