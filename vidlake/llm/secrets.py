@@ -1,25 +1,32 @@
 """Secret scans: pattern findings, and a character convolutional network over every other candidate.
 
-One pass finds the pattern spans and all candidates (runs of 16 or more token characters)
-of each text, with the characters around them. A small network in numpy is
-trained on labelled findings from the corpus (candidates that pattern spans cover, and
-candidates that none meets), calibrated on held-out ones, and given the highest
-threshold that keeps RECALL of them. It then scores every candidate but those that
-pattern spans cover.
+The first pass keeps a bounded sample of labelled windows: the values of pattern
+findings, and candidates (runs of 16 or more token characters) that no pattern meets,
+each with the characters around it. A small network in numpy is trained on them. So
+that the value itself must tell and not the keyword before it, confirmed values are also
+shown in the surroundings of unconfirmed ones, together with random values of the
+usual formats. It is calibrated on held-out values in such surroundings, and given the
+highest threshold that keeps RECALL of them. The second pass finds the pattern spans
+again and scores every candidate but those that they cover, in windows of a bounded
+number at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import logging
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from vidlake.llm.storage import save
+from vidlake.llm.storage import drop, save
 
 KINDS = ("assign", "access", "hex", "cnn")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -32,7 +39,11 @@ AROUND, INSIDE = 24, 64
 #: Labelled findings of each class that the network is trained on, those with the smallest hashes.
 LABELLED_ROWS = 2_000
 RECALL = 0.98
+#: Tasks that what all tasks kept is merged in, before it comes to the driver.
+MERGES = 16
 FILTERS, WIDTH = 16, 5
+#: Windows that are scored at once.
+AT_ONCE = 4_096
 log = logging.getLogger(__name__)
 
 
@@ -49,44 +60,91 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def windows(text: str, start: int, end: int) -> list[str]:
+def window(text: str, start: int, end: int) -> str:
+    """At most INSIDE characters with their context, which is padded where the text ends."""
+    to = min(end, start + INSIDE)
+    return text[max(0, start - AROUND) : start].rjust(AROUND, "\0") + text[start:to].ljust(INSIDE, "\0") + text[to : to + AROUND].ljust(AROUND, "\0")
+
+
+def windows(text: str, start: int, end: int) -> Iterator[str]:
     """The candidate with its context, cut into windows of INSIDE characters that overlap by half."""
-    steps = range(start, max(start + 1, end - INSIDE // 2), INSIDE // 2)
-    out = []
-    for at in steps:
-        to = min(end, at + INSIDE)
-        out.append(text[max(0, at - AROUND) : at].rjust(AROUND, "\0") + text[at:to].ljust(INSIDE, "\0") + text[to : to + AROUND].ljust(AROUND, "\0"))
-    return out
+    for at in range(start, max(start + 1, end - INSIDE // 2), INSIDE // 2):
+        yield window(text, at, end)
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, list[str]]]:
-    """(start, end, label, windows) of each candidate: label 1 where pattern spans cover it, 2 where they only meet it."""
-    out = []
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, Iterator[str]]]:
+    """(start, end, label, windows) of each candidate: label 1 where pattern spans cover it, 2 where they only meet it. spans: by start."""
+    first = 0
     for m in CANDIDATE.finditer(text):
+        while first < len(spans) and spans[first][2] <= m.start():
+            first += 1
         at, met = m.start(), False
-        for s, _, e in spans:
-            if s < m.end() and m.start() < e:
+        for s, _, e in itertools.takewhile(lambda x: x[0] < m.end(), itertools.islice(spans, first, None)):
+            if m.start() < e:
                 met = True
                 at = max(at, e) if s <= at else at
-        label = 1 if at >= m.end() else 2 if met else 0
-        out.append((m.start(), m.end(), label, windows(text, m.start(), m.end())))
-    return out
+        yield m.start(), m.end(), 1 if at >= m.end() else 2 if met else 0, windows(text, m.start(), m.end())
+
+
+def values(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what the pattern findings say is secret, of 16 or more characters."""
+    for m in ASSIGN.finditer(text):
+        if m.end(2) - m.start(2) >= 16:
+            yield m.span(2)
+    for kind in (ACCESS, HEX):
+        for m in kind.finditer(text):
+            if m.end() - m.start() >= 20:
+                yield m.span()
+
+
+def _fewest(known: dict[str, int], limit: int) -> dict[str, int]:
+    return dict(sorted(known.items(), key=lambda x: (x[1], x[0]))[:limit])
 
 
-_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.int32()), ("windows", pa.list_(pa.string()))]))
+_LABELLED = pa.schema([("label", pa.int32()), ("window", pa.string()), ("h", pa.int64())])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans, found = [], []
-        for text in batch.column("text").to_pylist():
-            own = base_spans(text or "")
-            spans.append([list(x) for x in own])
-            found.append([dict(zip(("start", "end", "label", "windows"), c)) for c in candidates(text or "", own)])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(found, _FOUND)],
-            names=["doc_id", "base", "found"],
-        )
+def _labelled_rows(limit: int, out: list[dict[str, int]]) -> pa.RecordBatch:
+    rows = [(label, w, h) for label in (0, 1) for w, h in _fewest(out[label], limit).items()]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, _LABELLED)], schema=_LABELLED)
+
+
+def _sample(limit: int):
+    """A task's function: of each class the `limit` windows with the smallest hashes; 1: values of findings, 0: candidates that no pattern meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict[str, int]] = [{}, {}]
+
+        def add(label: int, w: str) -> None:
+            out[label][w] = xxhash.xxh3_64_intdigest(w.encode()) >> 1
+            if len(out[label]) > 4 * limit:
+                out[label] = _fewest(out[label], limit)
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                text = text or ""
+                for start, end in values(text):
+                    add(1, window(text, start, end))
+                for start, end, label, _ in candidates(text, base_spans(text)):
+                    if label == 0:
+                        add(0, window(text, start, end))
+        yield _labelled_rows(limit, out)
+
+    return run
+
+
+def _merge(limit: int):
+    """A task's function: the smallest of what other tasks kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict[str, int]] = [{}, {}]
+        for batch in batches:
+            for label, w, h in zip(*(c.to_pylist() for c in batch.columns)):
+                out[label][w] = h
+            out = [_fewest(x, limit) for x in out]
+        yield _labelled_rows(limit, out)
+
+    return run
 
 
 def _classes(texts: list[str]) -> np.ndarray:
@@ -134,17 +192,15 @@ class CharNet:
         return 1 / (1 + np.exp(-(self.logits(texts) * self.scale + self.shift)))
 
     def fit(self, texts: list[str], labels: np.ndarray, epochs: int = 6, seed: int = 7) -> None:
-        """Adam on the logistic loss; half of the confirmed findings are shown without their context, so that the token itself must tell."""
+        """Adam on the logistic loss."""
         rng = np.random.default_rng(seed)
         parts = [self.w, self.b, self.v, self.c]
         first, second, t = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
-        blank = "\0" * AROUND
         for _ in range(epochs):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), 64):
                 pick = order[at : at + 64]
-                shown = [blank + texts[k][AROUND:-AROUND] + blank if rng.random() < 0.5 else texts[k] for k in pick]
-                x = self._columns(shown)
+                x = self._columns([texts[k] for k in pick])
                 h = np.maximum(x @ self.w + self.b, 0)
                 top, z = h.argmax(1), np.concatenate([h.max(1), h.mean(1)], axis=1)
                 error = ((1 / (1 + np.exp(-(z @ self.v + self.c[0])))) - labels[pick]).astype(np.float32) / len(pick)
@@ -174,43 +230,88 @@ class CharNet:
         self.precision = float(labels[kept].mean()) if kept.any() else 0.0
 
 
+LETTERS = string.ascii_letters + string.digits
+
+
+def random_values(n: int, seed: int = 7) -> list[str]:
+    """Values of the formats that keys and tokens usually have."""
+    rng, out = random.Random(seed), []
+    pick = lambda letters, lo, hi: "".join(rng.choices(letters, k=rng.randint(lo, hi)))
+    for k in range(n):
+        out.append((
+            lambda: pick("0123456789abcdef", 16, 64), lambda: pick(LETTERS, 16, 48), lambda: pick(LETTERS + "+/", 20, 64) + "=" * rng.randint(0, 2),
+            lambda: pick(string.ascii_lowercase + string.digits, 16, 40), lambda: pick(string.ascii_uppercase + string.digits, 16, 40), lambda: pick(LETTERS + "_-", 20, 48),
+            lambda: pick("abcdefghijklmnopqrstuvwxyz", 2, 4) + "_" + pick(LETTERS, 20, 40), lambda: ".".join(pick(LETTERS + "_-", 12, 24) for _ in range(3)),
+        )[k % 8]())
+    return out
+
+
+def _set_into(value: str, around: str) -> str:
+    """A window of value in the surroundings of another window."""
+    return around[:AROUND] + value[:INSIDE].ljust(INSIDE, "\0") + around[-AROUND:]
+
+
 def train(found: DataFrame, limit: int = LABELLED_ROWS) -> CharNet | None:
-    """The network, from at most `limit` candidates of each class; None where a class is missing."""
-    rows = []
-    for label in (0, 1):
-        some = found.where(F.col("c.label") == label).select(F.col("c.windows")[0].alias("window")).distinct()
-        rows += [(r.window, label) for r in some.orderBy(F.xxhash64("window"), "window").limit(limit).collect()]
-    texts, labels = [r[0] for r in rows], np.array([r[1] for r in rows], np.float32)
-    if len(set(labels.tolist())) < 2:
+    """The network, from at most `limit` windows of each class of found (label, window, h) and as many random values; None where no candidate is unconfirmed."""
+    rows = {label: [r.window for r in found.where(F.col("label") == label).orderBy("h", "window").limit(limit).collect()] for label in (0, 1)}
+    if not rows[0]:
         return None
-    held = np.arange(len(rows)) % 4 == 3
+    rng = random.Random(7)
+    confirmed = [w[AROUND:-AROUND].rstrip("\0") for w in rows[1]]
+    made = random_values(max(len(rows[0]) // 2, 400))
+    fit: tuple[list, list] = ([], [])
+    held: tuple[list, list] = ([], [])
+    for k, w in enumerate(rows[0]):
+        (held if k % 4 == 3 else fit)[0].append(w)
+    places = (fit[0], held[0] or fit[0])
+    for k, value in enumerate([*confirmed, *made]):
+        out = k % 4 == 3
+        (held if out else fit)[1].append(_set_into(value, rng.choice(places[out])))
+    fit[1].extend(w for k, w in enumerate(rows[1]) if k % 4 < 3)
     net = CharNet()
-    net.fit([t for t, h in zip(texts, held) if not h], labels[~held])
-    net.calibrate([t for t, h in zip(texts, held) if h], labels[held])
-    log.info("secret network: threshold %.4f for recall %.2f, precision %.4f at it on %d held-out findings", net.threshold, RECALL, net.precision, held.sum())
+    label = lambda parts: np.repeat([0.0, 1.0], [len(p) for p in parts]).astype(np.float32)
+    net.fit([*fit[0], *fit[1]], label(fit))
+    net.calibrate([*held[0], *held[1]], label(held))
+    log.info("secret network: threshold %.4f for recall %.2f, precision %.4f at it on %d held-out windows", net.threshold, RECALL, net.precision, len(held[0]) + len(held[1]))
     return net
 
 
-def _score(shared):
+def _scored(net: CharNet, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+    """The candidates of each text that the network finds; windows are scored AT_ONCE at a time, and equal ones once."""
+    added: list[dict[tuple[int, int], float]] = [{} for _ in texts]
+    waiting: dict[str, list[tuple[int, tuple[int, int]]]] = {}
+
+    def score() -> None:
+        for owners, p in zip(waiting.values(), net.probability(list(waiting)) if waiting else ()):
+            for row, at in owners:
+                if p >= net.threshold:
+                    added[row][at] = max(p, added[row].get(at, 0.0))
+        waiting.clear()
+
+    size = 0
+    for row, (text, spans) in enumerate(zip(texts, base)):
+        for start, end, label, parts in candidates(text, spans):
+            for w in parts if label != 1 else ():
+                waiting.setdefault(w, []).append((row, (start, end)))
+                size += 1
+                if len(waiting) >= AT_ONCE or size >= 16 * AT_ONCE:
+                    score()
+                    size = 0
+    score()
+    return [[(start, 3, end) for start, end in own] for own in added]
+
+
+def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            base, found = batch.column("base").to_pylist(), batch.column("found").to_pylist()
-            asked = sorted({w for row in found for c in row if c["label"] != 1 for w in c["windows"]})
-            known = dict(zip(asked, net.probability(asked) if net is not None and asked else [0.0] * len(asked)))
-            limit = net.threshold if net is not None else 2.0
-            counts, digests, spans = [[], [], []], [], []
-            for own, more in zip(base, found):
-                own = [tuple(x) for x in own]
-                for k in range(3):
-                    counts[k].append(sum(x[1] == k for x in own))
-                digests.append(hashlib.sha256(written(own).encode()).hexdigest())
-                added = [(c["start"], 3, c["end"]) for c in more if c["label"] != 1 and max(known[w] for w in c["windows"]) >= limit]
-                spans.append(written(sorted(own + added)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-            )
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            base = [base_spans(t) for t in texts]
+            added = _scored(net, texts, base) if net is not None else [[] for _ in texts]
+            counts = [pa.array([sum(x[1] == k for x in own) for own in base], pa.int64()) for k in range(3)]
+            digests = [hashlib.sha256(written(own).encode()).hexdigest() for own in base]
+            spans = [written(sorted(own + more)) for own, more in zip(base, added)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     return run
 
@@ -221,13 +322,14 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     spans: kind:start:end of the pattern findings and, as kind cnn, of the candidates
     that the network adds, by start and then kind; code points of the whole text, end
     exclusive. Null and empty texts have none. Rows that repeat a doc_id, or have none,
-    are scanned each; other columns are not looked at; an empty table gives no rows.
-    Where the corpus has no confirmed finding, nothing is added.
+    are scanned each; other columns are not looked at, whatever their names; an empty
+    table gives no rows. Where every candidate is a pattern's, nothing is added.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = "doc_id long, base array<array<long>>, found array<struct<start:long,end:long,label:int,windows:array<string>>>"
-    scanned = save(texts.mapInArrow(_scan, kinds), "findings")
-    net = train(scanned.select(F.explode("found").alias("c")))
-    shared = spark.sparkContext.broadcast(net)
-    return scanned.mapInArrow(_score(shared), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    kinds = "label int, window string, h long"
+    labelled = texts.select("text").mapInArrow(_sample(LABELLED_ROWS), kinds)
+    labelled = save(labelled.repartition(MERGES, F.xxhash64("window")).mapInArrow(_merge(LABELLED_ROWS), kinds), "labelled")
+    net = train(labelled)
+    drop(labelled)
+    return texts.mapInArrow(_scan(spark.sparkContext.broadcast(net)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
