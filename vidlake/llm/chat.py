@@ -56,9 +56,10 @@ def render(turns: DataFrame) -> DataFrame:
     """(conv_id, block, first_turn, n_turns, text) of the maximal conversations.
 
     Rows without conv_id or turn are left out. Each turn is rendered as <|role|>, a line end, its text and <|end|>; a null role is
-    written as unknown, a null text as empty. Turns are in order of turn, role, text and a
-    block holds turn numbers block * BLOCK and on, so concatenating a conversation's
-    blocks gives its whole rendering. Repeated rows count once. An empty table gives no rows.
+    written as unknown, a null text as empty. Turns are in order of their number, those of
+    one number in order of their rendering, and a block holds turn numbers block * BLOCK
+    and on, so concatenating a conversation's blocks gives its whole rendering. Repeated
+    rows count once. An empty table gives no rows; other columns are not looked at.
     """
     turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     turns = save(turns.where("conv_id is not null and turn is not null").distinct(), "turns")

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from vidlake.llm.storage import drop, new_path, save, save_bucketed
+from vidlake.llm.storage import drop, free_name, save, save_bucketed, shuffle_partitions
 
 MIN_DOCS = 10
 BATCHES = 4
@@ -47,7 +47,13 @@ def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class LineIndex:
-    """Levelled runs (key, docs) and settled runs (key), all sorted by key."""
+    """Levelled runs (key, docs) and settled runs (key), all sorted by key.
+
+    It takes any number of batches, and can be stored and opened again for later ones.
+    Only settled keys, which are in enough documents already, need no more counting, so
+    it is these runs that a batch anti-joins; the other runs are met when runs are
+    compacted.
+    """
 
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
@@ -82,6 +88,34 @@ class LineIndex:
             self.levels[k + 1].append(self._compact(self.levels[k]))
             self.levels[k] = []
 
+    def store(self, path: str) -> None:
+        """Write the runs to a folder that open() reads."""
+        rows = self._all([], "key binary, docs long, level int, run int")
+        for k, level in enumerate([self.settled, *self.levels]):
+            for j, r in enumerate(level):
+                docs = F.col("docs") if k else F.lit(self.min_docs).cast("long")
+                rows = rows.unionByName(r.select("key", docs.alias("docs"), F.lit(k - 1).alias("level"), F.lit(j).alias("run")))
+        rows.repartition("level", "run", F.xxhash64("key") % shuffle_partitions(self.spark)).sortWithinPartitions("level", "run", "key").write.partitionBy("level", "run").parquet(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, min_docs: int = MIN_DOCS, fanout: int = FANOUT) -> LineIndex:
+        """The index that store() wrote, with the min_docs it was made for; its folder is only read."""
+        out = cls(spark, min_docs, fanout)
+        rows = spark.read.schema("key binary, docs long, level int, run int").parquet(path)
+        for level, run in sorted(map(tuple, rows.select("level", "run").distinct().collect())):  # a few runs a level
+            own = rows.where((F.col("level") == level) & (F.col("run") == run))
+            if level < 0:
+                out.settled.append(own.select("key"))
+            else:
+                out.levels += [[] for _ in range(level + 1 - len(out.levels))]
+                out.levels[level].append(own.select("key", "docs"))
+        return out
+
+    def close(self) -> None:
+        """Delete the runs; what frequent() returned can't be read any more."""
+        for r in [*self.settled, *(r for level in self.levels for r in level)]:
+            drop(r)
+
     def frequent(self) -> DataFrame:
         """(key) of the keys in at least min_docs documents so far."""
         runs = [r for level in self.levels for r in level]
@@ -117,32 +151,37 @@ def _without(at: int, drop_at: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, index: LineIndex | None = None) -> DataFrame:
     """docs with a text from which every line is gone whose key is in at least min_docs documents,
     and the columns n_lines, n_dropped, kept_sha256 (these names replace columns of docs).
 
     Every row is a document, also where a doc_id repeats or is null. A null or empty
     text is one empty line, which is never dropped; the text returned is then empty.
-    Blank lines have no key and stay. Other columns pass through; an empty table gives
-    no rows. Keys are compared by 128-bit hashes.
+    Blank lines have no key and stay. Other columns pass through, whatever their names;
+    an empty table gives no rows. Keys are compared by 128-bit hashes. batches: parts
+    in which docs go to the index. index: one of earlier documents, whose counts these
+    add to; it is kept.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped", "kept_sha256")
     names = docs.columns
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     keys = docs.select(F.col("doc_id").cast("long"), batch, F.col("text").cast("string")).mapInArrow(_line_hashes, "doc_id long, key binary, batch int")
-    path = new_path(spark, "linekeys")
-    keys.write.partitionBy("batch").parquet(path)
-    keys = spark.read.schema("doc_id long, key binary, batch int").parquet(path)
-    index = LineIndex(spark, min_docs)
+    keys = save(keys, "linekeys", by="batch")
+    kept, index = index is not None, index or LineIndex(spark, min_docs)
     for k in range(batches):
         index.add(keys.where(F.col("batch") == k).select("key"))
     # written anew: read from the buckets, it would be joined by key alone and a hot key's salts would meet again
     frequent = save(index.frequent().select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "frequent")
     salted = keys.select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     gone = salted.join(frequent.hint("merge"), ["key", "salt"]).groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
-    gone = save(gone.select(F.col("doc_id").alias("__doc"), F.col("gone").alias("__gone")), "gone")
-    both = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    doc = free_name(docs, "doc")
+    gone = save(gone.select(F.col("doc_id").alias(doc), F.col("gone").alias(free_name(docs, "gone"))), "gone")
+    drop(frequent)
+    drop(keys)
+    if not kept:
+        index.close()
+    both = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left").drop(doc)
     text_at = names.index("text")
     fields = [T.StructField(f"c{k}", T.StringType() if k == text_at else docs.schema[k].dataType) for k in range(len(names))]
     fields += [T.StructField(f"c{len(names)}", T.LongType()), T.StructField(f"c{len(names) + 1}", T.LongType()), T.StructField(f"c{len(names) + 2}", T.StringType())]

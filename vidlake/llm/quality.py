@@ -14,7 +14,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vidlake.llm.storage import save
+from vidlake.llm.storage import free_name, save
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Labelled rows that the rules are learned from, those with the smallest hash of doc_id.
@@ -38,30 +38,25 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     in the text, the first included (windows are compared by 64-bit hashes).
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumn("_q_words", F.array_remove(F.split(text, SPACE), ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("_q_lines", lines).withColumn("n_words", F.size("_q_words").cast("long"))
-    words = F.col("_q_words")
-    windows = F.when(
-        F.col("n_words") >= 5,
-        F.transform(F.sequence(F.lit(0), F.size("_q_words") - 5), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(5)])),
-    ).otherwise(F.array().cast("array<long>"))
-    out = out.withColumn("_q_windows", windows)
-    out = out.withColumn("_q_repeats", F.size(F.array_distinct("_q_windows")) < F.size("_q_windows"))
-    placed = F.when(F.col("_q_repeats"), F.sort_array(F.transform("_q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    out = out.withColumn("_q_sorted", placed)
-    near = F.col("_q_sorted")
+    words, lines, windows, repeats, ordered, places = own = [free_name(docs, f"q_{n}") for n in ("words", "lines", "windows", "repeats", "sorted", "at")]
+    out = docs.withColumn(words, F.array_remove(F.split(text, SPACE), ""))
+    out = out.withColumn(lines, F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).withColumn("n_words", F.size(words).cast("long"))
+    hashed = F.transform(F.sequence(F.lit(0), F.size(words) - 5), lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(5)]))
+    out = out.withColumn(windows, F.when(F.col("n_words") >= 5, hashed).otherwise(F.array().cast("array<long>")))
+    out = out.withColumn(repeats, F.size(F.array_distinct(windows)) < F.size(windows))
+    out = out.withColumn(ordered, F.when(F.col(repeats), F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    near = F.col(ordered)
     twice = F.filter(near, lambda x, k: (x["h"] == F.get(near, k + 1)["h"]).eqNullSafe(True) | ((k > 0) & (x["h"] == F.get(near, k - 1)["h"]).eqNullSafe(True)))
-    out = out.withColumn("_q_at", F.sort_array(F.transform(twice, lambda x: x["i"])))
-    at = F.col("_q_at")
+    out = out.withColumn(places, F.sort_array(F.transform(twice, lambda x: x["i"])))
+    at = F.col(places)
     covered = F.aggregate(F.transform(at, lambda x, k: F.least(F.lit(5), F.coalesce(F.get(at, k + 1), x + 5) - x)), F.lit(0), lambda a, x: a + x)
     return (
-        out.withColumn("word_chars", F.length(F.array_join("_q_words", "")).cast("long"))
+        out.withColumn("word_chars", F.length(F.array_join(words, "")).cast("long"))
         .withColumn("n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
         .withColumn("n_bangs", F.regexp_count(text, F.lit("!")).cast("long"))
-        .withColumn("n_dup_lines", (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"))
+        .withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
         .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-        .drop("_q_words", "_q_lines", "_q_windows", "_q_repeats", "_q_sorted", "_q_at")
+        .drop(*own)
     )
 
 
@@ -192,7 +187,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that judge keeps, with the columns of docs."""
+    """The rows of docs that judge keeps, with the columns of docs, whatever their names.
+
+    Nulls, repeated rows, texts of any length and empty tables as in judge.
+    """
     # the row number keeps the filter above the statistics: pushed into them, it would compute them again for each use
-    judged = judge(docs, labels).withColumn("_q_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_q_row") >= 0)).select(*docs.columns)
+    rules = learn_from(docs, labels)
+    plain = docs.select("text", F.struct(*docs.columns).alias("all"))
+    judged = with_statistics(plain).withColumn("kept", verdict(rules)).withColumn("row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("row") >= 0)).select("all.*")

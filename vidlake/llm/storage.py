@@ -29,10 +29,11 @@ def _kept(df: DataFrame, path: str, table: str | None = None) -> DataFrame:
     return df
 
 
-def save(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write df once and return the written table: later reads survive the loss of any executor."""
+def save(df: DataFrame, name: str, codec: str = "snappy", by: str | None = None) -> DataFrame:
+    """Write df once (in folders by the value of a column) and return the written table: later reads survive the loss of any executor."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return _kept(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
