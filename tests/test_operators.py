@@ -108,6 +108,21 @@ def test_pairs_in_order_of_arrival(spark):
     assert sorted(map(tuple, W.pair_channels(df, 0, 1).collect())) == [(2, 1), (5, 4)]
 
 
+def test_pairs_across_stretches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(0, 2)), k, int(t), None if k % 2 else 1) for k, t in enumerate(sorted(rng.integers(0, 20_000, 300)))]
+    df = spark.createDataFrame(rows, "channel_index int, frame_index int, create_time int, pair int")
+
+    def plain(rows):
+        rows = sorted(rows, key=lambda r: (r[2], r[0], r[1]))
+        return sorted((b[1], a[1]) for a, b in zip(rows, rows[1:]) if (a[0], b[0]) == (1, 0))
+
+    assert sorted(map(tuple, W.pair_channels(df, 0, 1).collect())) == plain(rows)
+    got = W.pair_channels(df.withColumn("create_time", F.timestamp_seconds(F.col("create_time"))), 0, 1, ["pair"]).collect()
+    for g in (None, 1):
+        assert sorted((r.src_frame, r.dst_frame) for r in got if r.pair == g) == plain([r for r in rows if r[3] == g])
+
+
 def test_clips_make_up_for_a_short_past(spark):
     asked = spark.createDataFrame([(1, 0, 1, 0), (2, 0, 499, 0)], "clip_id int, channel_index int, frame_index int, duration int")
     clips = R.select_clips(frames(spark, 2000), asked)

@@ -105,3 +105,26 @@ def test_first_per_track(spark, tmp_path):
     assert {t for t, _ in tracked} == {1, 2} and len(tracked) == 2 and all(h >= 25 for _, h in tracked)
     every = collected(spark, E.first_per_track_stream(source).select("track_id", "frame_index"), tmp_path, "all_once")
     assert sorted(t for t, _ in every) == [-1, -1, 1, 2]
+
+
+def test_sync_by_frame_distance(spark, tmp_path):
+    frames = lambda ids: spark.createDataFrame([(0, k, 25, [k]) for k in ids], "channel_index int, frame_index int, fps int, targets array<long>")
+    # two files a branch: what waits at the end of the first meets the second
+    for name, parts in (("a", ([0, 1, 2, 5], [6, 7, 9, 20])), ("b", ([0, 2, 3, 5], [1, 7, 8, 9]))):
+        for ids in parts:
+            frames(ids).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    a, b = (spark.readStream.schema(frames([0]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n)) for n in "ab")
+    got = collected(spark, C.sync_frames_stream(a, b, 80).selectExpr("frame_index", "array_join(targets, ',') as t", "alone"), tmp_path, "synced_by_frame")
+    assert {(0, "0,0", False), (2, "2,2", False), (5, "5,5", False), (7, "7,7", False), (9, "9,9", False)} <= got
+    assert got - {(k, f"{k},{k}", False) for k in (0, 2, 5, 7, 9)} == {(1, "1", True), (3, "3", True), (6, "6", True), (8, "8", True)}
+
+
+def test_first_seen(spark, tmp_path):
+    v = X.vectors(spark, SF).select("channel_index", "frame_index", "vec_id", "embedding").cache()
+    for where in ("frame_index < 60", "frame_index >= 60"):
+        v.where(where).coalesce(1).write.mode("append").parquet(str(tmp_path / "v"))
+    source = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "v"))
+    got = collected(spark, C.first_seen_stream(source).select("channel_index", "vec_id", "cosine", "l2"), tmp_path, "faces")
+    from vidlake.operators.embed import first_seen_identities
+
+    assert got == {tuple(r) for r in first_seen_identities(v, 4).collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vidlake.functions.geometry import project_point
 
@@ -75,16 +75,33 @@ def dedupe_controls(controls: DataFrame, order: Sequence[str]) -> DataFrame:
     return controls.withColumn("_b", before).where(~F.col("control_uid").eqNullSafe(F.col("_b")) | F.col("_b").isNull()).drop("_b")
 
 
+def _stretch(df: DataFrame, column: str) -> Column:
+    """Stretches of an ordering column: hours of a time, thousands of a number, else one."""
+    kind = dict(df.dtypes)[column]
+    if kind.startswith("timestamp"):
+        return F.date_trunc("hour", column)
+    return F.floor(F.col(column) / 1000) if kind in ("int", "bigint", "double", "float") else F.lit(0)
+
+
 def pair_channels(arrivals: DataFrame, src: int, dst: int, group: Sequence[str] = (), order: Sequence[str] = ("create_time", "channel_index", "frame_index")) -> DataFrame:
     """(src_frame, dst_frame) pairs: each src frame with the dst frame that arrived right before it.
 
-    Arrivals of the two channels are numbered in order within `group`, the columns that
-    tell pairs of streams apart; without any, one pair of channels is one window.
+    Arrivals of the two channels are put in order within `group`, the columns that tell
+    pairs of streams apart, and within a stretch of the first ordering column; a stretch's
+    first arrival follows the last one of the stretch before. So even one pair of
+    channels is many windows.
     """
-    arrived = Window.partitionBy(*group, F.lit(0)).orderBy(*order)
-    two = arrivals.where(F.col("channel_index").isin(src, dst))
-    marked = two.withColumns({"was": F.lag("channel_index").over(arrived), "dst_frame": F.lag("frame_index").over(arrived)})
-    return marked.where((F.col("channel_index") == src) & (F.col("was") == dst)).select(*group, F.col("frame_index").alias("src_frame"), "dst_frame")
+    two = arrivals.where(F.col("channel_index").isin(src, dst)).withColumn("_s", _stretch(arrivals, order[0]))
+    arrived = Window.partitionBy(*group, "_s").orderBy(*order)
+    own = F.struct("channel_index", "frame_index")
+    ends = two.groupBy(*group, "_s").agg(F.max_by(own, F.struct(*order)).alias("end"))
+    # one row a stretch
+    ends = ends.withColumn("before", F.lag("end").over(Window.partitionBy(*group, F.lit(0)).orderBy("_s")))
+    ends = ends.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate([*group, "_s"])], "before")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate([*group, "_s"])]
+    both = two.join(ends.hint("merge"), reduce(Column.__and__, same))
+    marked = both.withColumn("was", F.coalesce(F.lag(own).over(arrived), F.col("before")))
+    return marked.where((F.col("channel_index") == src) & (F.col("was.channel_index") == dst)).select(*group, F.col("frame_index").alias("src_frame"), F.col("was.frame_index").alias("dst_frame"))
 
 
 def project_targets(pairs: DataFrame, targets: DataFrame, src: int, h: Sequence[float]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Ordered per-channel operators as state: tracking, crossings, stops and jams of a stream of frames.
+"""Ordered per-channel operators as state: tracking, crossings, stops and jams, synchronising, first faces of a stream of frames.
 
 Rows are (channel_index, frame_index, fps, track_id, x, y, width, height) with one row for a
 frame without targets, whose track_id is null. All rows of a frame are in one
@@ -14,10 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vidlake.operators import behaviour as B
+from vidlake.operators.embed import SAME_COSINE, SAME_L2
 from vidlake.operators.track import MAX_GAP, Trackers
 
 
@@ -147,3 +148,57 @@ def jam_stream(rows: DataFrame, regions: dict[int, list[tuple[int, int]]]) -> Da
         return []
 
     return fold_channels(rows, Stands, step, ["ba_type"], "ba_type int")
+
+
+def sync_frames_stream(a: DataFrame, b: DataFrame, timeout_ms: float = 40) -> DataFrame:
+    """(channel_index, frame_index, targets, alone): frames (channel_index, frame_index, fps, targets ARRAY) of two branches joined, a's targets first.
+
+    A frame that one branch has not brought goes on alone once a newer frame of its
+    channel is timeout_ms away by frame numbers and fps; frames at or before the last
+    one that went on are late and left out. State: the frames that wait, a timeout's worth.
+    """
+    kind = a.schema["targets"].dataType.simpleString()
+    both = a.select("channel_index", "frame_index", "fps", "targets", F.lit(0).alias("branch")).unionByName(b.select("channel_index", "frame_index", "fps", "targets", F.lit(1).alias("branch")))
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = pickle.loads(state.get[0]) if state.exists else (-1, [])
+        rows, out = pd.concat(list(batches)).sort_values(["frame_index", "branch"]), []
+        for frame, fps, targets, branch in rows[["frame_index", "fps", "targets", "branch"]].itertuples(index=False):
+            if frame <= last:
+                continue
+            left, met = [], False
+            for f, own, side in waiting:
+                if not met and (frame - f) * 1000 / fps >= timeout_ms:
+                    out.append((key[0], f, own, True))
+                    last = f
+                elif not met and f == frame and side != branch:
+                    out.append((key[0], f, [*own, *targets] if side < branch else [*targets, *own], False))
+                    last, met = f, True
+                else:
+                    left.append((f, own, side))
+            waiting = left if met else [*left, (int(frame), list(targets), int(branch))]
+        state.update((pickle.dumps((last, waiting)),))
+        yield pd.DataFrame(out, columns=["channel_index", "frame_index", "targets", "alone"])
+
+    return both.groupBy("channel_index").applyInPandasWithState(run, f"channel_index int, frame_index int, targets {kind}, alone boolean", "state binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def first_seen_stream(faces: DataFrame, max_identities: int = 1000) -> DataFrame:
+    """(channel_index, frame_index, vec_id, cosine, l2) of faces (channel_index, frame_index, vec_id, embedding), as first_seen_identities."""
+
+    def step(state: dict, frame: int, rows: pd.DataFrame) -> list[tuple]:
+        out = []
+        for vec, e in rows.sort_values("vec_id")[["vec_id", "embedding"]].itertuples(index=False):
+            v = np.asarray(e, float)
+            v = v / max(np.linalg.norm(v), 1e-12)
+            if state["base"] is None:
+                state["base"] = v
+                continue
+            like = np.array([state["base"], *state["known"]]) @ v
+            far = np.sqrt(np.maximum(0.0, 2 - 2 * like))
+            if like.max() < SAME_COSINE and far.min() > SAME_L2:
+                state["known"] = [*state["known"], v][-max_identities:]
+                out.append((vec, round(float(like[0]), 6), round(float(far[0]), 6)))
+        return out
+
+    return fold_channels(faces, lambda: {"base": None, "known": []}, step, ["vec_id", "cosine", "l2"], "vec_id long, cosine double, l2 double")
