@@ -215,8 +215,8 @@ class CharNet:
                     v += 0.001 * (g * g - v)
                     p -= 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, texts: list[str], labels: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling on held-out findings, then the highest threshold that keeps `recall` of the confirmed ones, and the precision at it."""
+    def calibrate(self, texts: list[str], labels: np.ndarray, recall: float = RECALL, formats: np.ndarray | None = None) -> None:
+        """Platt scaling on held-out findings, then the highest threshold that keeps `recall` of the confirmed ones (of each format, where formats tells them apart), and the precision at it."""
         z = self.logits(texts).astype(np.float64)
         a, b = 1.0, 0.0
         for _ in range(200):
@@ -224,17 +224,19 @@ class CharNet:
             a -= 0.05 * float(((p - labels) * z).mean())
             b -= 0.05 * float((p - labels).mean())
         self.scale, self.shift = a, b
-        sure = np.sort(self.probability(texts)[labels == 1])
-        self.threshold = float(sure[int((1 - recall) * len(sure))]) if len(sure) else 1.1
+        scores, formats = self.probability(texts), np.zeros(len(texts)) if formats is None else formats
+        sure = [np.sort(scores[(labels == 1) & (formats == f)]) for f in np.unique(formats[labels == 1])]
+        self.threshold = float(min(x[int((1 - recall) * len(x))] for x in sure)) if sure else 1.1
         kept = self.probability(texts) >= self.threshold
         self.precision = float(labels[kept].mean()) if kept.any() else 0.0
 
 
+FORMATS = 8
 LETTERS = string.ascii_letters + string.digits
 
 
 def random_values(n: int, seed: int = 7) -> list[str]:
-    """Values of the formats that keys and tokens usually have."""
+    """Values of the FORMATS formats that keys and tokens usually have, in turn."""
     rng, out = random.Random(seed), []
     pick = lambda letters, lo, hi: "".join(rng.choices(letters, k=rng.randint(lo, hi)))
     for k in range(n):
@@ -242,7 +244,7 @@ def random_values(n: int, seed: int = 7) -> list[str]:
             lambda: pick("0123456789abcdef", 16, 64), lambda: pick(LETTERS, 16, 48), lambda: pick(LETTERS + "+/", 20, 64) + "=" * rng.randint(0, 2),
             lambda: pick(string.ascii_lowercase + string.digits, 16, 40), lambda: pick(string.ascii_uppercase + string.digits, 16, 40), lambda: pick(LETTERS + "_-", 20, 48),
             lambda: pick("abcdefghijklmnopqrstuvwxyz", 2, 4) + "_" + pick(LETTERS, 20, 40), lambda: ".".join(pick(LETTERS + "_-", 12, 24) for _ in range(3)),
-        )[k % 8]())
+        )[k % FORMATS]())
     return out
 
 
@@ -252,26 +254,30 @@ def _set_into(value: str, around: str) -> str:
 
 
 def train(found: DataFrame, limit: int = LABELLED_ROWS) -> CharNet | None:
-    """The network, from at most `limit` windows of each class of found (label, window, h) and as many random values; None where no candidate is unconfirmed."""
+    """The network, from at most `limit` windows of each class of found (label, window, h) and random values; None where no candidate is unconfirmed."""
     rows = {label: [r.window for r in found.where(F.col("label") == label).orderBy("h", "window").limit(limit).collect()] for label in (0, 1)}
     if not rows[0]:
         return None
     rng = random.Random(7)
     confirmed = [w[AROUND:-AROUND].rstrip("\0") for w in rows[1]]
-    made = random_values(max(len(rows[0]) // 2, 400))
+    made = random_values(max(len(rows[0]), 200 * FORMATS))
+    known = [*((v, -1) for v in confirmed), *((v, k % FORMATS) for k, v in enumerate(made))]
+    rng.shuffle(known)  # so that every format is among those held out
     fit: tuple[list, list] = ([], [])
     held: tuple[list, list] = ([], [])
+    formats = []
     for k, w in enumerate(rows[0]):
         (held if k % 4 == 3 else fit)[0].append(w)
     places = (fit[0], held[0] or fit[0])
-    for k, value in enumerate([*confirmed, *made]):
+    for k, (value, form) in enumerate(known):
         out = k % 4 == 3
         (held if out else fit)[1].append(_set_into(value, rng.choice(places[out])))
+        formats += [form] * out
     fit[1].extend(w for k, w in enumerate(rows[1]) if k % 4 < 3)
     net = CharNet()
     label = lambda parts: np.repeat([0.0, 1.0], [len(p) for p in parts]).astype(np.float32)
     net.fit([*fit[0], *fit[1]], label(fit))
-    net.calibrate([*held[0], *held[1]], label(held))
+    net.calibrate([*held[0], *held[1]], label(held), formats=np.array([-2] * len(held[0]) + formats))
     log.info("secret network: threshold %.4f for recall %.2f, precision %.4f at it on %d held-out windows", net.threshold, RECALL, net.precision, len(held[0]) + len(held[1]))
     return net
 
