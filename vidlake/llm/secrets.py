@@ -268,14 +268,19 @@ def train(found: DataFrame, limit: int = LABELLED_ROWS) -> CharNet | None:
     formats = []
     for k, w in enumerate(rows[0]):
         (held if k % 4 == 3 else fit)[0].append(w)
-    places = (fit[0], held[0] or fit[0])
+    places = (list(fit[0]), list(held[0] or fit[0]))
     for k, (value, form) in enumerate(known):
         out = k % 4 == 3
         (held if out else fit)[1].append(_set_into(value, rng.choice(places[out])))
         formats += [form] * out
     fit[1].extend(w for k, w in enumerate(rows[1]) if k % 4 < 3)
-    net = CharNet()
+    # candidates without a keyword may be secrets all the same: those that a first network takes for some teach nothing
     label = lambda parts: np.repeat([0.0, 1.0], [len(p) for p in parts]).astype(np.float32)
+    first = CharNet()
+    first.fit([*fit[0], *fit[1]], label(fit), epochs=3)
+    for part in (fit, held):
+        part[0][:] = [w for w, z in zip(part[0], first.logits(part[0])) if z < 0] or part[0]
+    net = CharNet()
     net.fit([*fit[0], *fit[1]], label(fit))
     net.calibrate([*held[0], *held[1]], label(held), formats=np.array([-2] * len(held[0]) + formats))
     log.info("secret network: threshold %.4f for recall %.2f, precision %.4f at it on %d held-out windows", net.threshold, RECALL, net.precision, len(held[0]) + len(held[1]))
