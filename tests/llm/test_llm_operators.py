@@ -129,6 +129,20 @@ def test_line_dedup(docs, empty, texts):
     assert linededup.dedup_lines(empty).collect() == []
 
 
+def test_line_index_outlives_a_call(spark, tmp_path):
+    part = lambda ids: spark.createDataFrame([(k, f"own {k}\nshared by all\n" + ("seldom" if k % 5 == 0 else "pair") + f" {k // 2 % 3}", "d", "g") for k in ids], "doc_id long, text string, __doc string, _gone string")
+    first, later = part(range(6)), part(range(6, 30))
+    index = linededup.LineIndex(spark)
+    assert linededup.dedup_lines(first, index=index).agg(F.sum("n_dropped")).first()[0] == 0
+    index.store(str(tmp_path / "index"))
+    again = linededup.LineIndex.open(spark, str(tmp_path / "index"))
+    got = {r.doc_id: (r.n_dropped, r["__doc"], r._gone) for r in linededup.dedup_lines(later, index=again).collect()}
+    whole = {r.doc_id: r.n_dropped for r in linededup.dedup_lines(part(range(30))).collect()}
+    assert got == {k: (whole[k], "d", "g") for k in range(6, 30)} and set(whole.values()) <= {1, 2} and len(set(whole.values())) == 1
+    again.store(str(tmp_path / "more"))
+    assert {bytes(r.key) for r in linededup.LineIndex.open(spark, str(tmp_path / "more")).frequent().collect()} == {bytes(r.key) for r in again.frequent().collect()} != set()
+
+
 def test_decontamination(spark, docs, empty, texts):
     w = texts[9].split()
     items = [(0, " ".join(w[20:50])), (1, " ".join(w[60:85]).upper()), (2, "not in there at all or anywhere"), (3, None), (4, "  "), (5, "one two"), (0, " ".join(w[20:50])), (6, " ".join([*w[0:30], "a1", "a2"]))]
@@ -161,7 +175,6 @@ def test_packing(docs, empty, texts):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(tokenizer_path())
-    slow.encode_special_tokens = True
     ids = {k: [*slow.encode(t or "", add_special_tokens=False).ids, 1] for k, t in [*enumerate(texts), (None, texts[9])]}
     out = packing.pack(docs, tokenizer_path(), 128, with_ids=True).collect()
     pieces = {}
@@ -188,11 +201,28 @@ def test_packing_survives_text_that_the_fast_engine_gives_up_on(spark):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(tokenizer_path())
-    slow.encode_special_tokens = True
     want = slow.encode(text, add_special_tokens=False).ids
     assert list(encode(text)) == want and sum(r.length for r in out) == len(want) + 1
 
 
+def test_fast_ids_are_those_of_the_library():
+    """Every code point beside letters, digits, marks and spaces, and the proof that merging by rank is merging by the list."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(tokenizer_path())
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    assert packing.merges_are_ranks(spec, slow)
+    broken = {"model": spec["model"] | {"merges": spec["model"]["merges"][1:2] + spec["model"]["merges"][:1] + spec["model"]["merges"][2:]}}
+    assert not packing.merges_are_ranks(broken, slow)
+    encode, _ = packing.encoder(tokenizer_path())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 512):
+        text = "".join(f"a{chr(c)}b {chr(c)}1{chr(c)} \n" for c in points[k : k + 512])
+        assert encode(text).tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_query_gives_added_tokens_their_ids(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -238,6 +268,10 @@ def test_quality_rules_are_learned(spark, empty):
     plan = quality.judge(docs, table)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert quality.judge(empty, table.limit(0)).collect() == []
+    clash = docs.withColumns({"_q_words": F.lit("w"), "_q_at": F.lit(3), "n_words": F.lit("own"), "kept": F.lit("own"), "row": F.lit(1), "all": F.lit(2)})
+    good = quality.keep_good(clash, table)
+    assert good.columns == clash.columns and {(r.doc_id, r["_q_words"], r.n_words, r.kept) for r in good.collect()} == {(k, "w", "own", "own") for k in range(400) if k % 5}
+    assert {(r.doc_id, r["_q_words"], r["_q_at"]) for r in quality.judge(clash, table).collect()} == {(k, "w", 3) for k in [*range(400), 1000]}
 
 
 def test_secrets(spark, empty):
@@ -274,6 +308,30 @@ def test_secret_network_on_held_out_findings():
     assert found[labels[500:] == 1].mean() >= 0.9 and found[labels[500:] == 0].mean() <= 0.05
 
 
+def test_secrets_without_a_keyword(spark):
+    """Values of several formats in plain prose, none next to a keyword: most are found, and long words and numbers are left alone."""
+    rng = random.Random(77)
+    kinds = [lambda: "".join(rng.choices("0123456789abcdef", k=22)), lambda: "".join(rng.choices(secrets.LETTERS, k=32)), lambda: "".join(rng.choices(secrets.LETTERS + "+/", k=40)), lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=24))]
+    texts, where = {}, {}
+    for k in range(400):
+        w = sentence(rng, 30) + ["".join(rng.choices(["keit", "ung", "ein", "tion", "ver", "schaft", "lich"], k=rng.randint(4, 7)))] + ["%016d" % rng.randrange(10**16)] * (k % 3 == 0)
+        rng.shuffle(w)
+        if k % 5 == 1:
+            w.insert(7, "token=" + "".join(rng.choices("0123456789abcdef", k=40)))
+        elif k % 5 == 2:
+            w.insert(9, value := kinds[k // 5 % 4]())
+            at = len(" ".join(w[:9])) + 1
+            where[k] = f"cnn:{at}:{at + len(value)}"
+        texts[k] = " ".join(w)
+    texts[1000] = "é" + "A1b2C3d4" * 40_000 + " end"  # one run of many windows
+    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in texts.items()], "doc_id long, text string, label int, window string")
+    out = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    found = [k for k, s in where.items() if s in (out[k].spans or "").split(",")]
+    wrong = [k for k in range(400) if k not in where and "cnn" in out[k].spans]
+    assert len(found) >= 0.9 * len(where) and len(wrong) <= 0.1 * 320
+    assert out[1000].spans in ("", f"cnn:1:{1 + 320_000}")
+
+
 def test_secret_threshold_keeps_the_recall_under_skew(monkeypatch):
     rng = np.random.default_rng(4)
     labels = np.array([1.0] * 40 + [0.0] * 2000, np.float32)
@@ -296,7 +354,7 @@ def test_secret_candidates():
 
 
 def test_passages(docs, empty, texts):
-    out = passages.repeated_passages(docs).collect()
+    out = [r for r in passages.repeated_passages(docs).collect() if not r.kept]
     pairs = {(r.doc_id, r.kept_doc_id) for r in out}
     first = next(k for k, t in enumerate(texts) if t and t.count(" ") == 139)
     assert {(first + 1, first), (first + 2, first)} <= pairs
@@ -316,6 +374,8 @@ def test_passages_across_line_breaks(spark):
         pairs.add((2 * k + 1, 2 * k))
     docs += [(100 + k, wrapped(sentence(rng, 120), 15, 3)) for k in range(10)]
     out = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.kept} == {kept for _, kept in pairs} and all(r.kept == (r.doc_id == r.kept_doc_id) for r in out)
+    out = [r for r in out if not r.kept]
     assert {(r.doc_id, r.kept_doc_id) for r in out} == pairs
     # a unit that is alike but for its last three words counts too
     assert all(41 <= r.first_word < r.end_word <= 41 + 54 + 3 for r in out)
@@ -334,9 +394,48 @@ def test_passages_of_any_length_with_one_word_changed(spark):
     docs += [(200, " ".join(w[:50])), (201, " ".join(w))]
     pairs.add((201, 200))
     out = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.kept} == {kept for _, kept in pairs} and all(r.kept == (r.doc_id == r.kept_doc_id) for r in out)
+    out = [r for r in out if not r.kept]
     assert {(r.doc_id, r.kept_doc_id) for r in out} == pairs
 
 
+def test_passages_against_brute_force(spark):
+    """Every document that shares LONG + 1 words in a row with another has rows that reach into the shared words; lines of one Jaccard class are found."""
+    rng = random.Random(41)
+    pool, docs = [sentence(rng, 55) for _ in range(12)], {}
+    for k in range(60):
+        w = sentence(rng, rng.randrange(5, 90))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = rng.choice(pool)
+        docs[k] = "".join(x + rng.choice([" ", " ", " ", "\n", "  ", " \t"]) for x in w)
+    base = sentence(rng, 150)
+    for k in range(60, 100):  # lines of a large group of near copies, most pairs below the similarity
+        v = list(base)
+        for at in rng.sample(range(150), k % 7):
+            v[at] = f"other{k}"
+        docs[k] = " ".join(v)
+    docs |= {200: "of the " * 300, 201: "of the " * 200, 202: "x " * 49, 203: None, 204: ""}
+    out = passages.repeated_passages(spark.createDataFrame([*docs.items()], "doc_id long, text string")).collect()
+    n, windows, sets = passages.LONG + 1, {}, {}
+    for k, t in docs.items():
+        w = words(t)
+        for at in range(len(w) - n + 1):
+            windows.setdefault(tuple(w[at : at + n]), set()).add((k, at))
+        sets[k] = shingle_set(t)
+    covered = {}
+    for r in out:
+        covered.setdefault(r.doc_id, set()).update(range(r.first_word, r.end_word))
+    for places in windows.values():
+        if len({k for k, _ in places}) > 1:
+            assert all(len(covered.get(k, set()) & set(range(at, at + n))) >= passages.UNIT for k, at in places)
+    near = range(60, 100)
+    top = groups(100, [(a, b) for a, b in itertools.combinations(near, 2) if linked(sets[a], sets[b])])
+    for k in near:
+        if sum(top[j] == top[k] for j in near) > 1:
+            assert covered[k] == set(range(150))
+
+
 def test_passages_far_apart_are_cut_one_by_one(spark):
     rng = random.Random(33)
     one, two = sentence(rng, 60), sentence(rng, 60)
@@ -344,7 +443,7 @@ def test_passages_far_apart_are_cut_one_by_one(spark):
     text = "É  " + " ".join(head) + "\n" + " ".join(one) + "\n\n" + "\t".join(between) + " " + "\n".join(two) + " ö " + " ".join(tail)
     rows_ = [(1, " ".join(sentence(rng, 25) + one + sentence(rng, 25) + two), "a"), (2, text, "b"), (2, text, "c"), (2, " ".join(sentence(rng, 3200)), "d"), (3, None, "e"), (None, text, "f"), (4, "short", None)]
     docs = spark.createDataFrame(rows_, "doc_id long, text string, k string")
-    spans = sorted((r.first_word, r.end_word) for r in passages.repeated_passages(docs).collect())
+    spans = sorted((r.first_word, r.end_word) for r in passages.repeated_passages(docs).collect() if not r.kept)
     w = words(text)
     assert len(spans) == 2 and 31 <= spans[0][0] < spans[0][1] <= 94 and 3091 <= spans[1][0] < spans[1][1] <= 3154
     out = {r.k: r for r in passages.cut_passages(docs).collect()}
@@ -387,6 +486,79 @@ def test_pii_surrogates_differ(spark, monkeypatch):
     assert len({r.new for r in out}) == 50 and not {r.new for r in out} & {r.core for r in out}
 
 
+def test_pii_of_small_spaces_and_scripts(spark):
+    letters = [f"{chr(97 + k)}@x.com" for k in range(26)]
+    texts = {k: f"mail {m} or {m.upper()}" for k, m in enumerate(letters)}
+    texts |= {
+        100: "Г-н сказал: Mr Иванов и Mr. Иванов-Петров, Mrs Παπαδόπουλος; потом Иванов ушёл, Ивановский остался.",
+        101: "Mr Smith met Mrs Anna Karenina. Later Smith left, and Anna Karenina (KARENINA) stayed; Smithson did not.",
+        102: "call +1 743-555-3824, 743-555-3824 or (743) 555-3824",
+        103: "MR SMITH and Mr Smith",
+    }
+    kinds = "doc_id long, text string, _doc string, _found int, _p_key int, own int, _new string"
+    docs = spark.createDataFrame([(k, t, "d", 1, 2, 3, "n") for k, t in texts.items()], kinds)
+    rows_ = pii.replace_pii(docs, "k").collect()
+    out = {r.doc_id: r.text for r in rows_}
+    assert len(rows_) == len(texts) and all((r._doc, r._found, r._p_key, r.own, r._new) == ("d", 1, 2, 3, "n") for r in rows_)
+    mails = [re.fullmatch(r"mail (\S+)@x.com or (\S+)@X.COM", out[k]).groups() for k in range(26)]
+    assert all(a.upper() == b for a, b in mails)
+    assert len({a for a, _ in mails}) == 26 and not {f"{a}@x.com" for a, _ in mails} & set(letters)
+    a, b, c, d = re.fullmatch(r"Г-н сказал: Mr (\w+) и Mr. ([\w-]+), Mrs (\w+); потом (\w+) ушёл, Ивановский остался.", out[100]).groups()
+    assert a == d and a != b and re.fullmatch("[а-яё]+", a.lower()) and re.fullmatch("[а-яё-]+", b.lower()) and re.fullmatch("[α-ωά-ώς]+", c.lower()) and a not in texts[100]
+    s, first, last, s2, first2, last2, last3 = re.fullmatch(r"Mr (\w+) met Mrs (\w+) (\w+). Later (\w+) left, and (\w+) (\w+) \((\w+)\) stayed; Smithson did not.", out[101]).groups()
+    assert (s, first, last, last.upper()) == (s2, first2, last2, last3) and len({s, first, last}) == 3 and s.endswith(pii.MALE_ENDS) and first.endswith(pii.FEMALE_ENDS)
+    assert out[103] == f"MR {s.upper()} and Mr {s}"
+    digits = [re.sub(r"\D", "", p)[-10:] for p in re.findall(r"[+(\d][\d() -]+\d", out[102])]
+    assert len(digits) == 3 and len(set(digits)) == 1 and digits[0] != "7435553824" and "+1 " in out[102]
+
+
+def test_pii_against_a_plain_walk(spark):
+    """Documents of the given table: entities found plainly, everything between them unchanged, one surrogate an entity and one entity a surrogate."""
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = [(10**6 + k, t) for k, t in enumerate(["Mr Ab, Mrs Cd and Ab", "a@x.com b@x.com 1.2.3.4", "5.6.7.8 DR MR EF", "call 743-555-3824 or +1 743.555.3825"] * 3)]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    out = {r.doc_id: r for r in pii.replace_pii(docs, "k").collect()}
+    there, back, total = {}, {}, 0
+    for r in docs.collect():
+        text, new = r.text or "", out[r.doc_id].text or ""
+        names = {}
+        for m in regex.finditer(pii.NAME, text):
+            title, *own = m[0].split(" ")
+            for w in own[:3]:
+                names.setdefault(w.lower(), "male" if title.rstrip(".").lower() in {x.lower() for x in pii.MALE_TITLES} else "female")
+        forms = sorted({f for w in names for f in ("-".join(p.capitalize() for p in w.split("-")), w.upper())}, key=len, reverse=True)
+        pattern = pii.ENTITY + (r"|(?<!\p{L})(?:" + "|".join(forms) + r")(?!\p{L})" if forms else "")
+        at, before, n = 0, 0, 0
+        for m in regex.finditer(pattern, text):
+            piece = text[before : m.start()]
+            assert new[at : at + len(piece)] == piece
+            at, before, n = at + len(piece), m.end(), n + 1
+            if m[0].lower() in names:
+                kind, said = names[m[0].lower()], regex.match(r"[\p{L}]+", new[at:])[0]
+                assert said.isupper() == (m[0].isupper() and len(m[0]) > 1) or len(m[0]) == 1
+            elif regex.fullmatch(pii.IP, m[0]):
+                kind, said = "ip", regex.match(r"\d+\.\d+\.\d+\.\d+", new[at:])[0]
+            else:
+                kind = "email" if "@" in m[0] else "card" if regex.fullmatch(pii.CARD, m[0]) else "phone"
+                said = new[at : at + len(m[0])]
+                assert regex.sub(r"\d", "0", said) == regex.sub(r"\d", "0", m[0]) or kind == "email"
+            core = lambda x: x.lower() if kind in ("email", "male", "female", "ip") else regex.sub(r"\D", "", x)[-10 if kind == "phone" else 0 :]  # noqa: B023, E731
+            assert there.setdefault((kind, core(m[0])), core(said)) == core(said) and back.setdefault((kind, core(said)), core(m[0])) == core(m[0]) and core(said) != core(m[0])
+            at += len(said)
+        assert new[at:] == text[before:] and out[r.doc_id].n_entities == n
+        total += n
+    assert total > 20 and not {k for k in back if k in there}
+
+
+def test_pii_of_a_long_text(spark):
+    text = "filler words " * 200_000 + "ann@x.com " + "more words " * 200_000 + "ann@x.com."
+    [r] = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").collect()
+    a, b = re.findall(r"\S+@x\.com", r.text)
+    assert a == b != "ann@x.com" and r.text.replace(a, "ann@x.com") == text and r.n_entities == 2
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "hello"), (3, 2, "user", "more"), (4, 0, "user", "hi"), (4, 1, "assistant", "other"), (5, 0, None, None), (6, 0, "user", "hi"), (6, 1, "assistant", "other"), (None, 0, "user", "x"), (7, None, "user", "x"), (3, 2, "user", "more")]
     turns += [(8, k, "user", f"t{k}") for k in range(200)] + [(9, k, "user", f"t{k}") for k in range(130)]
@@ -400,6 +572,24 @@ def test_chat(spark):
     assert chat.render(df.limit(0)).collect() == []
 
 
+def test_chat_ties(spark):
+    turns = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "use", "z"), (1, 1, "user", "c"), (2, 0, "user", "a"), (2, 0, "user", "b"), (3, 0, None, "a"), (3, 0, "user", None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"block": F.lit(7), "said": F.lit("x")})
+    out = {r.conv_id: r.text for r in chat.render(df).collect()}
+    # 2 lacks a row of turn 0, so it is no prefix of 1
+    assert out[1] == "<|user|>\na<|end|>\n<|user|>\nb<|end|>\n<|use|>\nz<|end|>\n<|user|>\nc<|end|>\n" and set(out) == {1, 2, 3}
+    assert out[3] == "<|unknown|>\na<|end|>\n<|user|>\n<|end|>\n"
+
+
+def test_fixity_of_repeated_ids_and_long_bodies(spark):
+    rows_ = [(1, "u", "a"), (1, "u", "b"), (1, "u", "b"), (2, "u", "x" * 3_000_000), (3, "u", "y"), (4, None, "z")]
+    kinds = "page_id long, url string, html string"
+    ours = spark.createDataFrame(rows_, kinds).withColumns({"file": F.lit("clash"), "offset": F.lit(1), "range": F.lit(2)})
+    theirs = spark.createDataFrame([(1, "u", "b"), (1, "u", "c"), (2, "u", "x" * 2_999_999 + "q"), (3, "u", "y"), (4, "u", "z"), (3, "u", "more")], kinds)
+    got = sorted((r.page_id, r.status) for r in fixity.audit(ours, theirs).collect())
+    assert got == [(1, "altered"), (2, "altered"), (3, "extra"), (4, "altered")]
+
+
 def test_fixity(spark):
     pages = spark.range(3000).selectExpr("id as page_id", "concat('http://h/', id) as url", "repeat(concat('<p>', id), 1 + cast(id % 50 as int)) as html")
     pages = pages.unionByName(spark.createDataFrame([(5000, None, None), (None, "u", "h")], "page_id long, url string, html string")).withColumn("digest", F.lit("clash"))

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from vidlake.llm.storage import drop, save
+from vidlake.llm.storage import drop, kept_as, save
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, passes: int | None = None) -> DataFrame:
     """Components of an undirected graph.
 
     edges: (a, b). Returns (id, component) for every vertex of an edge; component is
     the smallest id of its component. Loops and repeated edges do nothing; without
     edges there are no rows. Each pass takes the least label of the neighbours and
     then the label's own label, so stars take two passes and chains about a logarithm.
+    passes: stop after so many; ids with one label are then joined, but not all that are.
     """
+    done = 0
     both = save(
         edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(),
         "edges",
@@ -34,6 +36,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         drop(step)
         drop(labels)
         labels = moved
-        if labels.where("component <> was").isEmpty():
+        done += 1
+        if done == passes or labels.where("component <> was").isEmpty():
             drop(both)
-            return labels.select("id", "component")
+            return kept_as(labels.select("id", "component"), labels)

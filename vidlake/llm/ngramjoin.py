@@ -5,7 +5,9 @@ columns (buckets of n-gram hashes). Size-derived bounds thin the matrix: a set o
 shingles keeps only the n - ceil(0.8 n) + 1 columns that a global order puts first
 (rarest first, by a fixed-size sketch of all n-gram counts), since sets that share none
 of these cannot reach 0.8; pairs whose sizes differ by more than a fifth are dropped
-unseen; the others are counted exactly.
+unseen. What the thinned product proposes is then counted exactly: overlaps are added up
+over BLOCKS blocks of columns, and a pair is discarded as soon as its count and the
+columns still to come cannot reach the bound of its sizes.
 """
 
 from __future__ import annotations
@@ -18,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vidlake.llm import setjoin
-from vidlake.llm.storage import drop, save, save_bucketed
+from vidlake.llm.storage import drop, free_name, save, save_bucketed
 from vidlake.llm.textscan import scan, set_hash, shingles
 
 WORDS = 5
 #: The sketch has 2 ** SKETCH_BITS counters whatever the input's size: 2 MB when broadcast.
 SKETCH_BITS = 21
 CHUNK = 4096
+#: Blocks of columns, by the highest bits of the n-gram hashes, over which overlaps are added up.
+BLOCK_BITS = 2
+BLOCKS = 1 << BLOCK_BITS
 SALTS = 16
 
 
@@ -111,19 +116,28 @@ def _incidence(levels):
     return run
 
 
+_SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("last", pa.int64()), ("after", pa.list_(pa.int32())), *((f"p{k}", pa.list_(pa.int64())) for k in range(BLOCKS))])
+
+
+def _kind(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'array<' + str(f.type.value_type).replace('int64', 'long').replace('int32', 'int') + '>' if pa.types.is_list(f.type) else 'long'}" for f in schema)
+
+
 def _whole_sets(levels):
-    """A task's function: the sets of the wanted documents, and where their prefixes end in the global order."""
+    """A task's function: the sets of the wanted documents by block of columns, and where their prefixes end in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
-        kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("last", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-        flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, kind)], schema=kind)
+        flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_SETS), _SETS)], schema=_SETS)
+        edges = np.arange(1, BLOCKS, dtype=np.uint64) << np.uint64(64 - BLOCK_BITS)
         for batch in batches:
             wanted = batch.column("id").to_numpy()
             rows, size = [], 0
             for k, own in distinct_sets(batch.column("text")):
-                if set_hash(own) == wanted[k]:
-                    rows.append((wanted[k], len(own), int(_places(own, level)[prefix_size(len(own)) - 1]), own.view(np.int64)))
+                if len(own) and set_hash(own) == wanted[k]:
+                    parts = np.split(own.view(np.int64), np.searchsorted(own, edges))
+                    after = len(own) - np.cumsum([len(p) for p in parts])
+                    rows.append((wanted[k], len(own), int(_places(own, level)[prefix_size(len(own)) - 1]), after, *parts))
                     size += len(own)
                 if size > 1 << 19:
                     yield flush(rows)
@@ -158,11 +172,13 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     firsts = table.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     firsts = save(firsts, "firsts")
     wanted = save(members.select("id").distinct().join(firsts.hint("merge"), "id").select("doc_id", "id"), "wanted")
-    sets = save(docs.join(wanted.hint("merge"), "doc_id").select("id", "text").mapInArrow(_whole_sets(levels), "id long, n long, last long, shingles array<long>"), "whole")
-    labels = setjoin.link_components(members, sets, prefixes=True)
-    drop(sets)
-    drop(members)
+    sets = save(docs.join(wanted.hint("merge"), "doc_id").select("id", "text").mapInArrow(_whole_sets(levels), _kind(_SETS)).dropDuplicates(["id"]), "whole")
+    labels = setjoin.link_components(members, sets, prefixes=True, blocks=BLOCKS)
+    for t in (sets, members, wanted):
+        drop(t)
     grouped = save(firsts.join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), "grouped")
+    for t in (firsts, labels):
+        drop(t)
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
     of_set = grouped.join(least.hint("merge"), "component").select("id", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = table.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
@@ -172,10 +188,11 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs less all but the document with the smallest doc_id of each component.
+    """docs less all but the document with the smallest doc_id of each component; columns of any names pass through.
 
     Of rows that repeat a doc_id within a component, all stay with that doc_id if it is
     the smallest: they are one document. Rows without a doc_id stay.
     """
-    gone = ngram_join(docs.select("doc_id", "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(save(gone, "gone").hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    own = free_name(docs, "gone")
+    gone = ngram_join(docs.select("doc_id", "text")).where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(save(gone, "gone").hint("merge"), F.col("doc_id") == F.col(own), "left_anti")

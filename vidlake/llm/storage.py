@@ -29,6 +29,12 @@ def _kept(df: DataFrame, path: str, table: str | None = None) -> DataFrame:
     return df
 
 
+def kept_as(df: DataFrame, saved: DataFrame) -> DataFrame:
+    """df, some columns of a saved table, such that drop deletes that table."""
+    df._scratch = saved._scratch
+    return df
+
+
 def save(df: DataFrame, name: str, codec: str = "snappy", by: str | None = None) -> DataFrame:
     """Write df once (in folders by the value of a column) and return the written table: later reads survive the loss of any executor."""
     path = new_path(df.sparkSession, name)

@@ -47,7 +47,8 @@ _LOWER[65:91] += 32
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, or more, of an odd number and of its inverse."""
     size = max(SLICE * 2, 1 << int(n - 1).bit_length())
     if size not in _tables:
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -94,7 +95,7 @@ class Words:
             after[-1] = False
             after[:-1] = solid[1:]
             e = np.flatnonzero(solid & (~after | edge[1:])) + 1
-            power, inverse = _power_tables(len(part) + 1)
+            power, inverse = power_tables(len(part) + 1)
             with np.errstate(over="ignore"):
                 total = np.zeros(len(part) + 1, np.uint64)
                 np.cumsum(_BYTE[part] * power[: len(part)], out=total[1:])
