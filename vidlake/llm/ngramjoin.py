@@ -130,11 +130,14 @@ def _whole_sets(levels):
         level = levels.value
         flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_SETS), _SETS)], schema=_SETS)
         edges = np.arange(1, BLOCKS, dtype=np.uint64) << np.uint64(64 - BLOCK_BITS)
+        before = None
         for batch in batches:
             wanted = batch.column("id").to_numpy()
             rows, size = [], 0
             for k, own in distinct_sets(batch.column("text")):
-                if len(own) and set_hash(own) == wanted[k]:
+                # rows that repeat a doc_id come one after another from the merge join
+                if len(own) and wanted[k] != before and set_hash(own) == wanted[k]:
+                    before = wanted[k]
                     parts = np.split(own.view(np.int64), np.searchsorted(own, edges))
                     after = len(own) - np.cumsum([len(p) for p in parts])
                     rows.append((wanted[k], len(own), int(_places(own, level)[prefix_size(len(own)) - 1]), after, *parts))
@@ -172,7 +175,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     firsts = table.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     firsts = save(firsts, "firsts")
     wanted = save(members.select("id").distinct().join(firsts.hint("merge"), "id").select("doc_id", "id"), "wanted")
-    sets = save(docs.join(wanted.hint("merge"), "doc_id").select("id", "text").mapInArrow(_whole_sets(levels), _kind(_SETS)).dropDuplicates(["id"]), "whole")
+    sets = save(docs.join(wanted.hint("merge"), "doc_id").select("id", "text").mapInArrow(_whole_sets(levels), _kind(_SETS)), "whole")
     labels = setjoin.link_components(members, sets, prefixes=True, blocks=BLOCKS)
     for t in (sets, members, wanted):
         drop(t)
