@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vidlake.llm.centroids import clusters_with_digests
 from vidlake.llm.chat import render
 from vidlake.llm.decontaminate import find_contamination
 from vidlake.llm.fixity import audit
@@ -13,8 +14,10 @@ from vidlake.llm.linededup import dedup_lines
 from vidlake.llm.ngramjoin import ngram_join
 from vidlake.llm.packing import pack
 from vidlake.llm.passages import repeated_passages
+from vidlake.llm.pieces import encoded_and_decoded
 from vidlake.llm.pii import replace_pii
 from vidlake.llm.quality import judge
+from vidlake.llm.repair import damaged, repair_report
 from vidlake.llm.secrets import scan_secrets
 
 
@@ -76,6 +79,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with the set damage, repaired."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(conversations, damaged(conversations))
+
+
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_and_decoded(table(spark, sf_dir, "documents"), piece_model_path())
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters_with_digests(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_packing": op2_packing,
@@ -87,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_passage_dedup": op9_passage_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -101,7 +127,30 @@ _SHINGLES = """
             from words))
 """.format(words=_WORDS.format(text=_LOWER))
 
+_NEAREST = """
+    far{n} as (select rid, q, c, list_sum(list_transform(list_zip(q, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from kept, cent{n}),
+    near{n} as (select rid, any_value(q) as q, arg_min(c, (d, c)) as c, min(d) as d from far{n} group by rid)"""
+_MOVED = """
+    sum{n} as (select c, j, sum(q[j])::bigint as s, count(*) as n from near{n}, range(1, 65) r(j) group by c, j),
+    mean{n} as (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by j) as m from sum{n} group by c),
+    cent{m} as (select c, coalesce(mean{n}.m, cent{n}.m) as m from cent{n} left join mean{n} using (c))"""
+
 ORACLE: dict[str, str] = {
+    "op13_centroid_clustering": f"""
+        with whole as (
+            select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings where len(embedding) = 64),
+        kept as (
+            select row_number() over () as rid, vec_id, list_transform(e, lambda x: floor(64 * x)::bigint) as q from whole
+            where len(list_filter(e, lambda x: x is not null and isfinite(x))) = 64),
+        cent0 as (select (row_number() over (order by sha256('1:' || vec_id), q) - 1)::int as c, q as m from kept
+            qualify c < 16),
+        {",".join(_NEAREST.format(n=n) + "," + _MOVED.format(n=n, m=n + 1) for n in range(3))},
+        {_NEAREST.format(n=3)},
+        total as (select c, sum(d)::bigint as ci from near3 group by c)
+        select vec_id, c as cluster, d as distance, ci as cluster_inertia, (select sum(d)::bigint from near3) as inertia,
+            sha256(array_to_string(m, ',')) as centroid_sha256
+        from near3 join kept using (rid) join total using (c) join cent3 using (c)
+    """,
     "op1_benchmark_decontamination": f"""
         with {_SHINGLES},
         items as (select distinct item_id, text from benchmark),
