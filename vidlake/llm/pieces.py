@@ -2,26 +2,29 @@
 
 A text is normalised by the library and cut where no piece of the vocabulary can reach
 across: before a run of word markers, and around line breaks. Blocks of texts keep each
-chunk once and the texts as positions in that list; all blocks' chunks meet in one table
+chunk once and the texts as places in that list; all blocks' chunks meet in one table
 of distinct chunks, each of which is segmented once; its ids go back to the blocks that
-hold it, where the texts are put together by position.
+hold it, where the texts are put together by place.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from vidlake.llm.storage import save
+from vidlake.llm.storage import save_bucketed, shuffle_partitions
 
 MARK = "▁"
 #: Code points of text that share one list of chunks.
-BLOCK = 1 << 22
+BLOCK = 1 << 24
 _models: dict[str, tuple] = {}
 
 
@@ -60,31 +63,64 @@ def load_model(path: str):
     return _models[path]
 
 
-def _cut(path: str, block: int):
-    """A task's function: rows of chunks (block, code, chunk) and of texts (block, doc_id, codes), a block after another."""
+class _Codes(dict):
+    """Numbers of what is looked up, in order of first appearance."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 in few bytes: their bytes by significance, compressed."""
+    return zstandard.compress(numbers.astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(content: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(content), "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
+def _cut(path: str, block: int, homes: int):
+    """A task's function: a block after another, rows of its chunks by their home, and rows of its texts as places.
+
+    A home's chunks are one text and the lengths of its parts. Places count through the
+    block's homes in order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, _, pattern = load_model(path)
-        number, codes, texts, size = TaskContext.get().partitionId() << 32, {}, [], 0
+        number, size, codes, known, texts = TaskContext.get().partitionId() << 32, 0, _Codes(), {}, []
 
         def close() -> pa.RecordBatch:
-            n, m = len(codes), len(texts)
+            chunks = list(codes)
+            home = np.fromiter((zlib.crc32(c.encode()) % homes for c in chunks), np.int64, len(chunks))
+            order = np.argsort(home, kind="stable")
+            place = np.empty(len(order), "<u4")
+            place[order] = np.arange(len(order))
+            cuts = np.flatnonzero(np.diff(home[order])) + 1
+            lists = [[chunks[k] for k in part] for part in np.split(order, cuts)] if chunks else []
+            n, m = len(lists), len(texts)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([number] * (n + m), pa.int64()), pa.array([*range(n), *[None] * m], pa.int64()), pa.array([*codes, *[None] * m], pa.string()),
-                    pa.array([*[None] * n, *(t[0] for t in texts)], pa.int64()), pa.array([*[None] * n, *(t[1] for t in texts)], pa.binary()),
+                    pa.array([number] * (n + m), pa.int64()), pa.array([*(int(home[order[k]]) for k in [0, *cuts][:n]), *[None] * m], pa.int32()),
+                    pa.array([*(_packed(np.fromiter(map(len, x), "<u4", len(x))) for x in lists), *[None] * m], pa.binary()), pa.array([*(zstandard.compress("".join(x).encode(), 1) for x in lists), *[None] * m], pa.binary()),
+                    pa.array([*[None] * n, *(t[0] for t in texts)], pa.int64()), pa.array([*[None] * n, *(_packed(place[t[1]]) for t in texts)], pa.binary()),
                 ],
-                names=["block", "code", "chunk", "doc_id", "codes"],
+                names=["block", "home", "sizes", "chunks", "doc_id", "places"],
             )
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = pattern.findall(own.normalize(text or ""))
-                texts.append((doc, np.fromiter((codes.setdefault(c, len(codes)) for c in found), "<u4", len(found)).tobytes()))
-                size += len(text or "")
+                text = text or ""
+                same = hashlib.blake2b(text.encode(), digest_size=16).digest()
+                if same not in known:
+                    found = pattern.findall(own.normalize(text))
+                    known[same] = np.fromiter(map(codes.__getitem__, found), np.uint32, len(found))
+                texts.append((doc, known[same]))
+                size += len(text)
                 if size >= block:
                     yield close()
-                    number, codes, texts, size = number + 1, {}, [], 0
+                    number, size, codes, known, texts = number + 1, 0, _Codes(), {}, []
         if texts:
             yield close()
 
@@ -92,40 +128,47 @@ def _cut(path: str, block: int):
 
 
 def _segment(path: str):
+    """A task's function over rows sorted by home: the ids of each block's chunks there, every distinct chunk segmented once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = load_model(path)[1]
+        plain, at, table = load_model(path)[1], None, {}
         for batch in batches:
-            ids = plain.encode(batch.column("chunk").to_pylist(), num_threads=1) if len(batch) else []
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], names=["chunk", "ids"])
+            blocks, sizes, out = [], [], []
+            for block, home, lengths, chunks in zip(*(batch.column(c).to_pylist() for c in ("block", "home", "sizes", "chunks"))):
+                if home != at:
+                    at, table = home, {}
+                ends, chunks = np.cumsum(_unpacked(lengths), dtype=np.int64).tolist(), zstandard.decompress(chunks).decode()
+                parts = [chunks[a:b] for a, b in zip([0, *ends], ends)]
+                new = [c for c in dict.fromkeys(parts) if c not in table]
+                table.update(zip(new, (np.array(ids, "<u2" if max(ids, default=0) < 1 << 16 else "<u4") for ids in plain.encode(new, num_threads=1))) if new else ())
+                ids = [table[c] for c in parts]
+                blocks.append((block, home))
+                sizes.append(_packed(np.fromiter(map(len, ids), "<u4", len(ids))))
+                out.append(_packed(np.concatenate(ids)))
+            columns = [pa.array([b for b, _ in blocks], pa.int64()), pa.array([h for _, h in blocks], pa.int32()), pa.array(sizes, pa.binary()), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "home", "sizes", "ids"])
 
     return run
 
 
-def _join_ids(path: str, begin: bool, end: bool):
-    """A task's function over rows sorted by block, the ids of its chunks by code first and then its texts."""
+def _put_together(path: str, begin: bool, end: bool):
+    """A function of a block's texts and its chunks' ids: the ids of each text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Table, lists: pa.Table) -> pa.Table:
         own = load_model(path)[0]
         head, tail = np.array([own.bos_id()] * begin, "<u4"), np.array([own.eos_id()] * end, "<u4")
-        block, parts, flat, starts = None, [], None, None
-        for batch in batches:
-            docs, out = [], []
-            for b, code, ids, doc, codes in zip(*(batch.column(c).to_pylist() for c in ("block", "code", "ids", "doc_id", "codes"))):
-                if b != block:
-                    block, parts, flat = b, [], None
-                if codes is None:
-                    parts.append(ids)
-                    continue
-                if flat is None:
-                    flat = np.frombuffer(b"".join(parts), "<u4")
-                    starts = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
-                at = np.frombuffer(codes, "<u4").astype(np.int64)
-                counts = starts[at + 1] - starts[at]
-                # the place of each id: its chunk's start, and how far it is from the chunk's first
-                place = np.arange(counts.sum()) + np.repeat(starts[at] - np.cumsum(counts) + counts, counts)
-                docs.append(doc)
-                out.append(np.concatenate([head, flat[place], tail]).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+        lists = lists.sort_by("home")
+        flat = np.concatenate([np.zeros(0, "<u4"), *map(_unpacked, lists.column("ids").to_pylist())])
+        sizes = np.concatenate([np.zeros(0, "<u4"), *map(_unpacked, lists.column("sizes").to_pylist())]).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        out = []
+        for places in texts.column("places"):
+            at = _unpacked(places.as_py())
+            counts = sizes[at]
+            # where each id lies: its chunk's start, and how far it is from the chunk's first
+            place = np.arange(counts.sum()) + np.repeat(starts[at] - np.cumsum(counts) + counts, counts)
+            out.append(np.concatenate([head, flat[place], tail]).astype("<u4").tobytes())
+        return pa.table([texts.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
@@ -137,16 +180,19 @@ def encode_pieces(docs: DataFrame, model: str, begin: bool = True, end: bool = T
     that repeat a doc_id, or have none, are encoded like any other; an empty table gives
     no rows; other columns are not looked at. model: path of a .model file on every
     machine. A text without markers or line breaks is one chunk, however long.
+
+    The table of distinct chunks lies by home, a hash: blocks send each home their
+    chunks there, of which a frequent one is one a block, and get ids back. Texts stay
+    where their block was written, in its bucket; only chunks and ids are shuffled.
     """
+    n = shuffle_partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = save(docs.mapInArrow(_cut(model, block), "block long, code long, chunk string, doc_id long, codes binary"), "chunks", codec="zstd")
-    chunks = cut.where("code is not null").select("block", "code", "chunk")
-    segmented = save(chunks.select("chunk").distinct().mapInArrow(_segment(model), "chunk string, ids binary"), "pieces", codec="zstd")
-    # a frequent chunk comes once a block: the join's rows are those of chunks
-    back = chunks.join(segmented.hint("merge"), "chunk").select("block", "code", "ids", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("codes"))
-    texts = cut.where("codes is not null").select("block", F.lit(None).cast("long").alias("code"), F.lit(None).cast("binary").alias("ids"), "doc_id", "codes")
-    placed = back.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("code").asc_nulls_last())
-    return placed.mapInArrow(_join_ids(model, begin, end), "doc_id long, ids binary")
+    kinds = "block long, home int, sizes binary, chunks binary, doc_id long, places binary"
+    cut = save_bucketed(docs.mapInArrow(_cut(model, block, 2 * n), kinds), "chunks", "block", in_place=True)
+    lists = cut.where("home is not null").select("block", "home", "sizes", "chunks").repartition(n, "home").sortWithinPartitions("home", "block")
+    ids = lists.mapInArrow(_segment(model), "block long, home int, sizes binary, ids binary")
+    texts = cut.where("places is not null").select("block", "doc_id", "places")
+    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_put_together(model, begin, end), "doc_id long, ids binary")
 
 
 def decode_pieces(rows: DataFrame, model: str) -> DataFrame:

@@ -43,12 +43,16 @@ def save(df: DataFrame, name: str, codec: str = "snappy", by: str | None = None)
     return _kept(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
-def save_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Write df in one bucket per shuffle partition, sorted by key: groupings and windows on key then need no shuffle."""
+def save_bucketed(df: DataFrame, name: str, key: str, in_place: bool = False) -> DataFrame:
+    """Write df in one bucket per shuffle partition, sorted by key: groupings and windows on key then need no shuffle.
+
+    in_place: every task writes the buckets of its own rows, without a shuffle; for rows of which a task has few keys.
+    """
     spark = df.sparkSession
     n, path = shuffle_partitions(spark), new_path(spark, name)
     table = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
+    writer = (df if in_place else df.repartition(n, key)).write.option("compression", "zstd" if in_place else "snappy")
+    writer.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
     return _kept(spark.table(table), path, table)
 
 
