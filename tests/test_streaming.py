@@ -128,3 +128,108 @@ def test_first_seen(spark, tmp_path):
     from vidlake.operators.embed import first_seen_identities
 
     assert got == {tuple(r) for r in first_seen_identities(v, 4).collect()}
+
+
+def stopped_half_way(spark, replay, tmp_path, operator, name):
+    """Rows of a query that is stopped after the first file and started again from its checkpoint, with a source of both."""
+    out, parts = set(), sorted(replay[0].glob("part-*"), key=lambda p: p.stat().st_mtime)
+    place = tmp_path / f"{name}_in"
+    place.mkdir()
+    for n, part in enumerate(parts):
+        (place / f"{n}.parquet").write_bytes(part.read_bytes())
+        source = spark.readStream.schema(replay[1]).parquet(str(place))
+        q = operator(source).writeStream.foreachBatch(lambda df, _: out.update(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        assert q.exception() is None
+    return out
+
+
+@pytest.mark.parametrize("name", ["jam", "track"])
+def test_restart_from_a_checkpoint(spark, replay, tmp_path, name):
+    from pathlib import Path
+
+    numbered = lambda s: s.selectExpr("*", "cast(track_id as int) as target_no")
+    operator = {
+        "jam": lambda s: C.jam_stream(s, REGIONS),
+        "track": lambda s: C.sort_track_stream(numbered(s)),
+    }[name]
+    got = stopped_half_way(spark, (Path(replay[0]), replay[1]), tmp_path, operator, name)
+    assert got == collected(spark, operator(stream(spark, replay)), tmp_path, f"whole_{name}") and got
+
+
+def test_state_is_an_entry_a_track_and_is_forgotten(spark, replay, tmp_path):
+    collected(spark, C.cross_line_stream(stream(spark, replay), LINES), tmp_path, "entries")
+    kept = spark.read.format("statestore").option("path", str(tmp_path / "entries")).option("stateVarName", "tracks").load()
+    kept = kept.selectExpr("key.channel_index as c", "user_map_key.track_id as t", "user_map_value.last as last") if "user_map_key" in kept.columns else kept.selectExpr("key.channel_index as c", "explode(map_value) as (k, v)").selectExpr("c", "k.track_id as t", "v.last as last")
+    rows = X.detections(spark, SF).where("channel_index < 2")
+    last = {r.channel_index: r.m for r in rows.groupBy("channel_index").agg(F.max("frame_index").alias("m")).collect()}
+    live = {(r.channel_index, r.track_id) for r in rows.collect() if last[r.channel_index] - r.frame_index <= T.MAX_GAP}
+    got = [(r.c, r.t) for r in kept.collect()]
+    assert sorted(got) == sorted(live) and len(got) < rows.select("track_id").distinct().count()
+
+
+def test_state_expires(spark, tmp_path):
+    import time
+
+    rows = lambda frames: spark.createDataFrame([(0, f, 25, 1, 10, y, 10, 10) for f, y in frames], "channel_index int, frame_index int, fps int, track_id long, x int, y int, width int, height int")
+    line = {0: ((0, 100), (700, 100))}
+    got = {}
+    for ttl in (None, 1500):
+        place, seen = tmp_path / f"in{ttl}", set()
+        rows([(0, 50)]).coalesce(1).write.mode("append").parquet(str(place))
+        source = spark.readStream.schema(rows([(0, 0)]).schema).parquet(str(place))
+        q = C.cross_line_stream(source, line, ttl).writeStream.foreachBatch(lambda df, _, seen=seen: seen.update(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / f"c{ttl}")).trigger(processingTime="300 milliseconds").start()
+        until = time.time() + 60
+        while not (q.lastProgress and any(p["numInputRows"] for p in q.recentProgress)) and time.time() < until:
+            time.sleep(0.2)
+        time.sleep(3)
+        rows([(1, 150)]).coalesce(1).write.mode("append").parquet(str(place))
+        until = time.time() + 60
+        while sum(p["numInputRows"] for p in q.recentProgress) < 2 and time.time() < until:
+            time.sleep(0.2)
+        time.sleep(1)
+        q.stop()
+        got[ttl] = seen
+    assert got[None] == {(0, 1, B.CROSSLINE, 1)} and got[1500] == set()
+
+
+def timed(spark, ids):
+    return spark.createDataFrame([(0, k, 25, [k]) for k in ids], "channel_index int, frame_index int, fps int, targets array<long>").withColumn("frame_ts", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("frame_index") * 40))
+
+
+def test_a_silent_branch_holds_nothing_back(spark, tmp_path):
+    # b stops after frame 2; another channel goes on and moves the watermark
+    files = {"a": ([0, 1, 2, 3], [100], [100, 101]), "b": ([0, 1, 2], [100], [1, 101])}
+    for name, parts in files.items():
+        for n, ids in enumerate(parts):
+            rows = timed(spark, ids)
+            if n:
+                rows = rows.withColumn("channel_index", F.when(F.col("frame_index") < 50, 0).otherwise(1))
+            rows.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    a, b = (spark.readStream.schema(timed(spark, [0]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n)) for n in "ab")
+    out = C.sync_frames_stream(a, b, 80, release="0 seconds", with_late=True)
+    got = collected(spark, out.selectExpr("channel_index", "frame_index", "array_join(targets, ',') as t", "alone", "late"), tmp_path, "silent")
+    assert {r[:4] for r in got if r[0] == 0 and not r[4]} == {(0, k, f"{k},{k}", False) for k in (0, 1, 2)} | {(0, 3, "3", True)}
+    assert (1, 100, "100,100", False, False) in got and (1, 101, "101,101", False, False) in got
+
+
+def test_late_frames_are_told(spark, tmp_path):
+    for name, parts in (("a", ([0, 1, 2, 5], [6, 7])), ("b", ([0, 2, 5], [1, 7]))):
+        for ids in parts:
+            timed(spark, ids).drop("frame_ts").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    a, b = (spark.readStream.schema(timed(spark, [0]).drop("frame_ts").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n)) for n in "ab")
+    out = C.sync_frames_stream(a, b, 80, with_late=True)
+    got = collected(spark, out.selectExpr("frame_index", "alone", "late"), tmp_path, "told")
+    assert {r for r in got if r[2]} == {(1, True, True)} and (1, True, False) in got
+
+
+def test_stale_ports_stream(spark, tmp_path):
+    def rows(*events):
+        return spark.createDataFrame([(n, "in", float(s)) for n, s in events], "node string, port string, s double").withColumn("in_time", F.timestamp_millis((F.col("s") * 1000).cast("long"))).drop("s")
+
+    parts = [[("a", 0), ("b", 1), ("a", 3)], [("a", 6), ("a", 7), ("a", 8)], [("a", 12), ("b", 12.5), ("a", 13)], [("a", 17)], [("a", 21)], [("a", 25)]]
+    for events in parts:
+        rows(*events).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(rows(("a", 0)).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = collected(spark, E.stale_ports_stream(source).selectExpr("node", "unix_millis(at) as ms", "stale"), tmp_path, "stale")
+    assert got == {("b", 6000, True), ("b", 12500, False), ("b", 17500, True)}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vidlake.functions.geometry import distance, point_in_polygon, side_of_line
 from vidlake.operators.joins import join_small
+from vidlake.operators.ordered import previous
 from vidlake.operators.track import one_per_track, with_point_before
 
 #: Event codes, one bit each (fixed values).
@@ -163,5 +164,4 @@ def track_flags(events: DataFrame) -> DataFrame:
 
 def state_changes(df: DataFrame, keys: list[str], order: str, state: str) -> DataFrame:
     """Rows at which state differs from the row before of the same keys; the first row of keys is not a change."""
-    before = F.lag(state).over(Window.partitionBy(*keys).orderBy(order))
-    return df.withColumn("was", before).where(F.col("was").isNotNull() & ~F.col("was").eqNullSafe(F.col(state)))
+    return previous(df, keys, [order], F.col(state), "was").where(F.col("was").isNotNull() & ~F.col("was").eqNullSafe(F.col(state)))

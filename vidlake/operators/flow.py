@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vidlake.functions.geometry import project_point
+from vidlake.operators.ordered import previous
+from vidlake.operators.storage import written
 
 FRAME = ["channel_index", "frame_index"]
 #: What a second branch fills where it is empty, and what it adds to.
@@ -63,16 +65,16 @@ def sync_update(a: DataFrame, b: DataFrame) -> DataFrame:
 def sync_timeouts(a: DataFrame, b: DataFrame, timeout_ms: int = 40, fps: int = 25) -> DataFrame:
     """Frames of either branch and whether they went on alone, because the other had none and a newer frame was timeout_ms away."""
     both = a.select(*FRAME, F.lit(True).alias("in_a")).join(b.select(*FRAME, F.lit(True).alias("in_b")).hint("merge"), FRAME, "full")
-    newest = F.max("frame_index").over(Window.partitionBy("channel_index"))
-    late = (newest - F.col("frame_index")) * 1000 / fps >= timeout_ms
+    newest = both.groupBy(F.col("channel_index").alias("_c")).agg(F.max("frame_index").alias("newest"))
+    late = (F.col("newest") - F.col("frame_index")) * 1000 / fps >= timeout_ms
     alone = F.col("in_a").isNull() | F.col("in_b").isNull()
-    return both.select(*FRAME, alone.alias("alone"), (alone & late).alias("timed_out"))
+    return both.join(newest.hint("merge"), F.col("channel_index") == F.col("_c")).select(*FRAME, alone.alias("alone"), (alone & late).alias("timed_out"))
 
 
 def dedupe_controls(controls: DataFrame, order: Sequence[str]) -> DataFrame:
     """Controls whose uid is not that of the channel's control just before."""
-    before = F.lag("control_uid").over(Window.partitionBy("channel_index").orderBy(*order))
-    return controls.withColumn("_b", before).where(~F.col("control_uid").eqNullSafe(F.col("_b")) | F.col("_b").isNull()).drop("_b")
+    with_before = previous(controls, ["channel_index"], order, F.col("control_uid"), "_b")
+    return with_before.where(~F.col("control_uid").eqNullSafe(F.col("_b")) | F.col("_b").isNull()).drop("_b")
 
 
 def _stretch(df: DataFrame, column: str) -> Column:
@@ -87,20 +89,25 @@ def pair_channels(arrivals: DataFrame, src: int, dst: int, group: Sequence[str]
     """(src_frame, dst_frame) pairs: each src frame with the dst frame that arrived right before it.
 
     Arrivals of the two channels are put in order within `group`, the columns that tell
-    pairs of streams apart, and within a stretch of the first ordering column; a stretch's
-    first arrival follows the last one of the stretch before. So even one pair of
-    channels is many windows.
+    pairs of streams apart. Without a group they are put in order within a stretch of the
+    first ordering column; a stretch's first arrival follows the last one of the stretch
+    before. So even one pair of channels is many windows.
     """
-    two = arrivals.where(F.col("channel_index").isin(src, dst)).withColumn("_s", _stretch(arrivals, order[0]))
-    arrived = Window.partitionBy(*group, "_s").orderBy(*order)
     own = F.struct("channel_index", "frame_index")
-    ends = two.groupBy(*group, "_s").agg(F.max_by(own, F.struct(*order)).alias("end"))
+    chosen = arrivals.where(F.col("channel_index").isin(src, dst)).select(*group, *dict.fromkeys(["channel_index", "frame_index", *order]))
+    if group:
+        marked = chosen.withColumn("was", F.lag(own).over(Window.partitionBy(*group).orderBy(*order)))
+        return _pairs(marked, src, dst, group)
+    two = written(chosen.withColumn("_s", _stretch(arrivals, order[0])), "arrivals")
+    arrived = Window.partitionBy("_s").orderBy(*order)
+    ends = two.groupBy("_s").agg(F.max_by(own, F.struct(*order)).alias("end"))
     # one row a stretch
-    ends = ends.withColumn("before", F.lag("end").over(Window.partitionBy(*group, F.lit(0)).orderBy("_s")))
-    ends = ends.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate([*group, "_s"])], "before")
-    same = [F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate([*group, "_s"])]
-    both = two.join(ends.hint("merge"), reduce(Column.__and__, same))
-    marked = both.withColumn("was", F.coalesce(F.lag(own).over(arrived), F.col("before")))
+    ends = ends.withColumn("before", F.lag("end").over(Window.partitionBy(F.lit(0)).orderBy("_s"))).select(F.col("_s").alias("_k"), "before")
+    both = two.join(ends.hint("merge"), F.col("_s").eqNullSafe(F.col("_k")))
+    return _pairs(both.withColumn("was", F.coalesce(F.lag(own).over(arrived), F.col("before"))), src, dst, group)
+
+
+def _pairs(marked: DataFrame, src: int, dst: int, group: Sequence[str]) -> DataFrame:
     return marked.where((F.col("channel_index") == src) & (F.col("was.channel_index") == dst)).select(*group, F.col("frame_index").alias("src_frame"), F.col("was.frame_index").alias("dst_frame"))
 
 

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Rows up to which the small side is broadcast.
-SMALL_ROWS = 100_000
+from vidlake.operators.storage import size_in_bytes, written
 
+#: Rows, and bytes of its files, up to which the small side is broadcast.
+SMALL_ROWS, SMALL_BYTES = 100_000, 8 << 20
 
-def join_small(rows: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", limit: int = SMALL_ROWS) -> DataFrame:
-    """rows joined with a table of lines, labels or cameras: broadcast while it has at most `limit` rows, else merged.
 
-    No more than limit + 1 rows are counted to find out. Beyond the limit the sides are
-    shuffled, and adaptive execution splits a hot key.
+def join_small(rows: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", limit: int = SMALL_ROWS, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """rows joined with a table of lines, labels or cameras: broadcast while it has at most `limit` rows in `most_bytes`, else merged.
+
+    The small side is computed once and written; its rows and bytes are those of its
+    files. Beyond either limit the sides are shuffled, and adaptive execution splits a
+    hot key.
     """
-    few = small.limit(limit + 1).count() <= limit
+    small = written(small, "small")
+    few = size_in_bytes(small) <= most_bytes and small.count() <= limit
     return rows.join(F.broadcast(small) if few else small.hint("merge"), on, how)

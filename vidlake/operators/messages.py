@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import logging
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vidlake.functions.text import parse_plate, time_format
+from vidlake.operators.storage import deleted, written
+
+log = logging.getLogger(__name__)
 
 OPEN, CLOSE = "<--", "-->"
 TIME = "<year>-<mon>-<day> <hour>:<min>:<sec>.<mili>"
@@ -28,6 +31,48 @@ def to_xml_messages(frames: DataFrame, targets: DataFrame, kind: str, fields: Se
     return frame_messages(frames, targets, kind, fields).select("channel_index", "frame_index", F.to_xml("m", {"rowTag": "message"}).alias("message"))
 
 
+#: The fields of each kind of target in a message, in order (fixed values).
+TARGET_FIELDS = (
+    "x", "y", "width", "height", "primary_class_id", "primary_score", "primary_label", "channel_index", "frame_index", "track_id",
+    "secondary_class_ids", "secondary_scores", "secondary_labels", "sub_targets", "embeddings",
+)
+SUB_TARGET_FIELDS = ("x", "y", "width", "height", "class_id", "score", "label", "frame_index", "channel_index", "attachments")
+FACE_FIELDS = ("x", "y", "width", "height", "score", "embeddings", "key_points", "track_id")
+TEXT_FIELDS = ("text", "score", "region", "flags")
+KIND_FIELDS = {"normal": TARGET_FIELDS, "face": FACE_FIELDS, "text": TEXT_FIELDS, "pose": ()}
+_LISTS = ("secondary_class_ids", "secondary_scores", "secondary_labels", "sub_targets", "embeddings", "key_points", "region", "attachments")
+
+
+def with_fields(targets: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """targets with the fields of a kind: what they lack is an empty list, no track (-1), or an empty text or zero."""
+    missing = [f for f in fields if f not in targets.columns]
+    none = lambda f: F.array() if f in _LISTS else F.lit(-1) if f == "track_id" else F.lit("") if f.endswith("label") or f in ("text", "flags") else F.lit(0)
+    return targets.withColumns({f: none(f) for f in missing})
+
+
+def with_sub_targets(targets: DataFrame, parts: DataFrame) -> DataFrame:
+    """targets with sub_targets: their parts (channel_index, frame_index, target_no, part_no and box fields) in order, each with the fields of a sub-target."""
+    full = with_fields(parts, SUB_TARGET_FIELDS)
+    keys = ["channel_index", "frame_index", "target_no"]
+    own = F.transform(F.sort_array(F.collect_list(F.struct("part_no", *[F.col(f).alias(f"_{f}") for f in SUB_TARGET_FIELDS]))), lambda p: F.struct(*[p[f"_{f}"].alias(f) for f in SUB_TARGET_FIELDS]))
+    lists = full.groupBy(*keys).agg(own.alias("sub_targets"))
+    both = targets.drop("sub_targets").join(lists.hint("merge"), keys, "left")
+    return both.withColumn("sub_targets", F.coalesce("sub_targets", F.array().cast(lists.schema["sub_targets"].dataType)))
+
+
+def kind_messages(frames: DataFrame, targets: DataFrame, kind: str, xml: bool = False) -> DataFrame:
+    """A message a frame with all fields that targets of the kind have: normal, face, text or pose (which has none)."""
+    full = with_fields(targets, KIND_FIELDS[kind])
+    # a target's own channel and frame are fields too: kept under other names, as the keys of a frame are grouped by
+    named = full.withColumns({f"_{c}": F.col(c) for c in ("channel_index", "frame_index")})
+    shown = [F.col(f"_{f}").alias(f) if f in ("channel_index", "frame_index") else F.col(f) for f in KIND_FIELDS[kind]]
+    items = named.groupBy("channel_index", "frame_index").agg(F.transform(F.sort_array(F.collect_list(F.struct("target_no", F.struct(*shown).alias("t")))), lambda t: t["t"]).alias("items"))
+    m = frames.join(items.hint("merge"), ["channel_index", "frame_index"]).select(
+        "channel_index", "frame_index", F.struct("channel_index", "frame_index", "width", "height", "fps", F.lit(kind).alias("broke_for"), F.size("items").alias(f"{kind}_size"), F.col("items").alias(f"{kind}_targets")).alias("m"),
+    )
+    return m.select("channel_index", "frame_index", (F.to_xml("m", {"rowTag": "message"}) if xml else F.to_json("m")).alias("message"))
+
+
 def _block(*lines: Column) -> Column:
     return F.concat_ws("\n", F.lit(OPEN), *lines, F.lit(CLOSE))
 
@@ -108,31 +153,56 @@ def plates_first_per_text(plates: DataFrame) -> DataFrame:
     return once(once(parsed, "track_id"), "text")
 
 
-def first_per_plate(plates: DataFrame, partitions: int, min_width: int = 100, min_height: int = 0) -> DataFrame:
-    """Plates (channel_index, frame_index, track_id, width, height, label) that are sent: each text and each track once per channel.
-
-    A row that its text holds back does not use up its track, so rows are followed in
-    order. Only the first row of each track and text can be sent, so rows are reduced to
-    these first; then a channel's stream through one task, whose state is the tracks and
-    texts sent so far.
-    """
+def plates_to_send(plates: DataFrame, min_width: int = 100, min_height: int = 0) -> DataFrame:
+    """The first row (channel_index, frame_index, track_id, color, text) of each track and text of plates that are large enough and well formed."""
     parsed = plates.withColumn("plate", parse_plate(F.col("label")))
     good = parsed.where((F.col("track_id") >= 0) & (F.col("width") >= min_width) & (F.col("height") >= min_height) & F.col("plate").isNotNull())
     rows = good.groupBy("channel_index", "track_id", F.col("plate.text").alias("text")).agg(F.min(F.struct("frame_index", "plate.color")).alias("at"))
-    rows = rows.select("channel_index", F.col("at.frame_index").alias("frame_index"), "track_id", F.col("at.color").alias("color"), "text")
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        channel, tracks, texts = None, set(), set()
-        for batch in batches:
-            keep = []
-            for c, track, text in zip(batch["channel_index"], batch["track_id"], batch["text"]):
-                if c != channel:
-                    channel, tracks, texts = c, set(), set()
-                sent = track not in tracks and text not in texts
-                keep.append(sent)
-                if sent:
-                    tracks.add(track)
-                    texts.add(text)
-            yield batch[pd.Series(keep, index=batch.index, dtype=bool)]
-
-    return rows.repartition(partitions, "channel_index").sortWithinPartitions("channel_index", "frame_index", "track_id", "text").mapInPandas(follow, rows.schema)
+    return rows.select("channel_index", F.col("at.frame_index").alias("frame_index"), "track_id", F.col("at.color").alias("color"), "text")
+
+
+def first_of_both(rows: DataFrame, group: str, one: str, other: str, order: Sequence[str]) -> DataFrame:
+    """Rows of a group taken in order, each unless an earlier taken row has its `one` or its `other`: the ordered maximal matching.
+
+    Each round takes the rows that are first of both their `one` and their `other`, as
+    nothing before them can hold them back, and drops the rows that these hold back.
+    Rounds follow chains of rows that wait for one another, of which sets in no special
+    order have few; each is a written table, and how many rows it takes is logged.
+    order: columns that tell a group's rows apart. Firsts are found by grouping, so a
+    value that many rows share is one row a task; rows are dropped by joins, which
+    adaptive execution splits.
+    """
+    place = F.struct(*order).alias("place")
+    every = written(rows.select("*", place), "waiting")
+    left, out, n = every.select(group, one, other, "place"), None, 0
+    while True:
+        firsts = [left.groupBy(group, key).agg(F.min("place").alias("place")) for key in (one, other)]
+        named = firsts[1].select(F.col(group).alias("_g"), F.col("place").alias("_p"), other)
+        taken = written(firsts[0].join(named.hint("merge"), (F.col(group) == F.col("_g")) & (F.col("place") == F.col("_p"))).select(group, one, other, "place"), "taken")
+        n += 1
+        count = taken.count()
+        if not count:
+            deleted(left, taken)
+            log.info("matching: %d rounds", n - 1)
+            return every.drop("place") if out is None else every.join(out.hint("merge"), [group, "place"], "left_semi").drop("place")
+        log.info("matching: round %d takes %d rows", n, count)
+        own = taken.select(group, "place")
+        out = own if out is None else out.unionByName(own)
+        rest = left
+        for key in (one, other):
+            rest = rest.join(taken.select(group, key).hint("merge"), [group, key], "left_anti")
+        was, left = left, written(rest, "waiting")
+        deleted(was)
+
+
+def first_per_plate(plates: DataFrame, partitions: int | None = None, min_width: int = 100, min_height: int = 0) -> DataFrame:
+    """Plates (channel_index, frame_index, track_id, width, height, label) that are sent: each text and each track once per channel.
+
+    A row that its text holds back does not use up its track, so rows count in order of
+    frame, track and text; only the first row of each track and text can be sent. The
+    order is followed by rounds over all channels at once (first_of_both), not by a task
+    a channel. partitions: in how many files the rows are written first.
+    """
+    rows = plates_to_send(plates, min_width, min_height)
+    rows = rows.repartition(partitions, "channel_index", "track_id") if partitions else rows
+    return first_of_both(rows, "channel_index", "track_id", "text", ["frame_index", "track_id", "text"])

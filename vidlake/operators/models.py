@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.resource import ResourceProfile
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def apply_model(frames: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | StructType, batch_size: int = 32) -> DataFrame:
-    """fn over batches of batch_size rows, the last of a task's batches shorter; rows reach fn in Arrow batches."""
+def apply_model(frames: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | StructType, batch_size: int = 32, profile: ResourceProfile | None = None) -> DataFrame:
+    """fn over batches of batch_size rows, the last of a task's batches shorter; rows reach fn in Arrow batches. profile: the stage's resources."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -23,7 +24,32 @@ def apply_model(frames: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], s
         if held is not None and len(held):
             yield fn(held)
 
-    return frames.mapInPandas(run, schema)
+    return frames.mapInPandas(run, schema, profile=profile)
+
+
+#: Models of this worker, by name.
+_loaded: dict[str, object] = {}
+
+
+def _model(name: str, load: Callable[[], object]) -> object:
+    """The worker's own model: a function of the module, as what is inside another is sent anew with every task."""
+    if name not in _loaded:
+        _loaded[name] = load()
+    return _loaded[name]
+
+
+def apply_loaded_model(frames: DataFrame, name: str, load: Callable[[], object], fn: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str | StructType, batch_size: int = 32, profile: ResourceProfile | None = None) -> DataFrame:
+    """fn(model, batch) over batches, as apply_model; the model is loaded once by each Python worker that needs it, and kept under its name.
+
+    profile: the resources of the stage that runs the model (cores, memory, accelerators),
+    so that model stages and the others of one job can have executors of different kinds.
+    Workers live on between tasks and batches (spark.python.worker.reuse).
+    """
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        return fn(_model(name, load), batch)
+
+    return apply_model(frames, run, schema, batch_size, profile)
 
 
 def apply_model_on_targets(targets: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | StructType, batch_size: int = 32, gate: Callable[[DataFrame], DataFrame] | None = None, crop: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -40,6 +66,41 @@ def pipeline(df: DataFrame, *stages: Callable[[DataFrame], DataFrame]) -> DataFr
     return df
 
 
+def _ledger(spark: SparkSession, path: str):
+    """A folder with an empty file for each batch that is done, in any store that Spark reads."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store, lambda batch: jvm.org.apache.hadoop.fs.Path(folder, str(batch))
+
+
+def once_each(callback: Callable[[DataFrame, int], None], ledger: str) -> Callable[[DataFrame, int], None]:
+    """callback for foreachBatch, called for each batch until it has once succeeded: a batch in the ledger is not given again.
+
+    A batch counts as done after its callback, so one that fails, or is cut off, is
+    given again; what the callback writes must then take the place of what it wrote.
+    write_once does so.
+    """
+
+    def run(df: DataFrame, batch: int) -> None:
+        store, entry = _ledger(df.sparkSession, ledger)
+        if not store.exists(entry(batch)):
+            callback(df, batch)
+            store.create(entry(batch), True).close()
+
+    return run
+
+
+def write_once(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", **trigger: object):
+    """Starts a stream whose rows come to path once each: a folder a batch, written anew where a batch is run again, and a ledger beside the checkpoint."""
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").format(fmt).save(f"{path}/batch={batch}")
+
+    writer = df.writeStream.foreachBatch(once_each(keep, f"{checkpoint}/ledger")).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
 def on_results(df: DataFrame, callback: Callable[[DataFrame, int], None], **options: str):
     """Calls back with each micro-batch of a stream, or once with a batch."""
     if df.isStreaming:

@@ -118,12 +118,12 @@ def clip_boxes(spark, d):
     return D.clip_boxes(yolo(spark, d), raw_frames(spark, d)).drop("primary_class_id", "primary_score")
 
 
-_LABELS = "labels_of as (select (p_partkey)::int as primary_class_id, p_brand as primary_label from part where p_partkey < 2)"
+_LABELS = "labels_of as (select (p_partkey)::int as primary_class_id, p_brand as primary_label from part)"
 
 
 @query("label_lookup", f"with {YOLO}, {_LABELS} select channel_index, frame_index, head, row_no, primary_class_id, coalesce(primary_label, '') as primary_label from yolo left join labels_of using (primary_class_id)")
 def label_lookup(spark, d):
-    labels = X.read(spark, d, "part").where("p_partkey < 2").selectExpr("cast(p_partkey as int) as class_id", "concat(p_brand, '\\r') as label")
+    labels = X.read(spark, d, "part").selectExpr("cast(p_partkey as int) as class_id", "concat(p_brand, '\\r') as label")
     return D.label_lookup(yolo(spark, d), labels).select("channel_index", "frame_index", "head", "row_no", "primary_class_id", "primary_label")
 
 
@@ -375,6 +375,25 @@ def json_messages(spark, d):
     return G.to_json_messages(raw_frames(spark, d).withColumn("fps", F.lit(25)), _boxes(spark, d), "normal", ["x", "y", "width", "height", "primary_class_id"])
 
 
+_FIELDS = """
+    'x': x, 'y': y, 'width': width, 'height': height, 'primary_class_id': primary_class_id, 'primary_score': primary_score, 'primary_label': primary_label, 'channel_index': channel_index, 'frame_index': frame_index, 'track_id': track_id,
+    'secondary_class_ids': secondary_class_ids, 'secondary_scores': secondary_scores, 'secondary_labels': secondary_labels, 'sub_targets': sub_targets, 'embeddings': embeddings"""
+_TOLD = X.DETECTIONS_SQL + """,
+    told as (
+        select *, 0.5::double as primary_score, 'class ' || primary_class_id as primary_label, [primary_class_id, 7]::int[] as secondary_class_ids, [0.25::double] as secondary_scores, ['tall']::varchar[] as secondary_labels, []::int[] as embeddings,
+            [{'x': x, 'y': y, 'width': width // 2, 'height': height // 2, 'class_id': 1, 'score': 0, 'label': 'plate', 'frame_index': frame_index, 'channel_index': channel_index, 'attachments': []::int[]}] as sub_targets
+        from detections)"""
+
+
+@query("json_all_fields", f"with {_TOLD} select channel_index, frame_index, to_json({{'channel_index': channel_index, 'frame_index': frame_index, 'width': 800, 'height': 700, 'fps': 25, 'broke_for': 'normal', 'normal_size': count(*), 'normal_targets': list({{{_FIELDS}}} order by track_id)}})::varchar as message from told group by channel_index, frame_index")
+def json_all_fields(spark, d):
+    rows = X.detections(spark, d).withColumn("target_no", F.col("track_id"))
+    parts = rows.selectExpr("channel_index", "frame_index", "target_no", "0 as part_no", "x", "y", "cast(width div 2 as int) as width", "cast(height div 2 as int) as height", "1 as class_id", "'plate' as label")
+    full = rows.selectExpr("*", "0.5D as primary_score", "concat('class ', primary_class_id) as primary_label", "array(primary_class_id, 7) as secondary_class_ids", "array(0.25D) as secondary_scores", "array('tall') as secondary_labels")
+    frames = rows.select("channel_index", "frame_index").distinct().selectExpr("*", "25 as fps", "800 as width", "700 as height")
+    return G.kind_messages(frames, G.with_sub_targets(full, parts), "normal")
+
+
 _XML_ITEM = "    <normal_targets>' || chr(10) || '" + " || chr(10) || ".join(f"        <{c}>' || {c} || '</{c}>'" if k == 0 else f"'        <{c}>' || {c} || '</{c}>'" for k, c in enumerate(("x", "y", "width", "height", "primary_class_id"))) + " || chr(10) || '    </normal_targets>"
 
 

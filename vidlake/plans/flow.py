@@ -262,3 +262,39 @@ def hop_time(spark, d):
 def threshold_alerts(spark, d):
     rows = X.read(spark, d, "events").selectExpr("user_id % 4 as channel", "event_id", "value")
     return M.threshold_alerts(rows, ["channel"], "event_id", "value", 50.0)
+
+
+#: Seconds after which a port of this table, whose events are half an hour apart, is stale.
+_STALE = 3600
+
+
+@query("stale_ports", f"""
+    with {TR},
+    s as (select node, port, in_time, coalesce((epoch_us(in_time) - epoch_us(lag(in_time) over w) >= {_STALE * 1_000_000})::int, 1) as fresh from trace window w as (partition by node, port order by in_time)),
+    n as (select *, sum(fresh) over (partition by node, port order by in_time rows unbounded preceding) as stretch from s),
+    a as (select node, port, stretch, min(in_time) as active_from, max(in_time) + interval {_STALE} second as stale_from, count(*) as events from n group by 1, 2, 3)
+    select node, port, active_from, stale_from, lead(active_from) over (partition by node, port order by active_from) as active_again, events from a""")
+def stale_ports(spark, d):
+    return M.stale_ports(X.trace(spark, d), _STALE)
+
+
+@query("latency_rollup", f"""
+    with {TR},
+    r as (select channel_index, {_CELL(86_400_000)} as epoch_ms, {_MS} as ms from trace),
+    b as (select *, case when ms >= 0.001 then ceil(ln(ms) / ln(1.01::double / 0.99::double))::int end as bin from r),
+    h as (select channel_index, epoch_ms, bin, count(*) as n, sum(ms) as total, max(ms) as top from b group by 1, 2, 3),
+    p as (select *, sum(n) over (partition by channel_index, epoch_ms order by bin nulls first) as below, sum(n) over (partition by channel_index, epoch_ms) as whole from h)
+    select channel_index, epoch_ms, round(sum(total) / sum(n), 6) as avg_ms, round(min(case when below >= ceil(whole * 0.95::double) then coalesce(pow(1.01::double / 0.99::double, bin) * 0.99, 0) end), 6) as p95_ms, max(top) as max_ms from p group by 1, 2""")
+def latency_rollup(spark, d):
+    # sketches an hour, added up to days
+    days = M.sketch_latency(M.rolled_up(M.latency_sketch(X.trace(spark, d)), 86_400_000))
+    return days.withColumn("p95_ms", F.round("p95_ms", 6))
+
+
+@query("source_info", """
+    with f as (select (o_orderkey % 4)::int as channel_index, o_orderkey // 4 as frame_index, (25 + o_orderkey // 4 // 500 % 2 * 5)::int as fps, 800 as width, 700 as height, 'rtsp://camera/' || (o_orderkey % 4) || '/' || (o_orderkey // 4 // 700) as uri from orders),
+    w as (select *, lag(fps) over o as was_fps, lag(uri) over o as was_uri from f window o as (partition by channel_index order by frame_index))
+    select channel_index, fps as original_fps, width as original_width, height as original_height, uri, frame_index as since_frame from w where was_uri is null or was_fps <> fps or was_uri <> uri""")
+def source_info(spark, d):
+    rows = X.read(spark, d, "orders").selectExpr("cast(o_orderkey % 4 as int) as channel_index", "o_orderkey div 4 as frame_index", "cast(25 + o_orderkey div 4 div 500 % 2 * 5 as int) as fps", "800 as width", "700 as height", "concat('rtsp://camera/', o_orderkey % 4, '/', o_orderkey div 4 div 700) as uri")
+    return S.source_info(rows)

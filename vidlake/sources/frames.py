@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from vidlake.operators.ordered import numbered, previous
 
 FRAME_SCHEMA = "channel_index int, frame_index int, fps int, width int, height int, create_time timestamp, description string"
 
@@ -18,8 +20,8 @@ def read_stream(spark: SparkSession, path: str, schema: str | T.StructType, fmt:
 
 
 def number_frames(rows: DataFrame, order: list[str]) -> DataFrame:
-    """frame_index from 0 up per channel, for sources that have none."""
-    return rows.withColumn("frame_index", (F.row_number().over(Window.partitionBy("channel_index").orderBy(*order)) - 1).cast("int"))
+    """frame_index from 0 up per channel, for sources that have none; counted in ranges, so a channel is many tasks."""
+    return numbered(rows, ["channel_index"], order, "frame_index").withColumn("frame_index", F.col("frame_index").cast("int"))
 
 
 def read_images(spark: SparkSession, folder: str, glob: str = "*.jpg", with_content: bool = False) -> DataFrame:
@@ -72,6 +74,17 @@ def stream_info(frames: DataFrame) -> DataFrame:
     return frames.groupBy("channel_index").agg(latest.alias("f"), F.count(F.lit(1)).alias("frames")).select("channel_index", "f.fps", "f.width", "f.height", "frames")
 
 
+def source_info(frames: DataFrame) -> DataFrame:
+    """(channel_index, original_fps, original_width, original_height, uri, since_frame): what a source tells of its stream, once and whenever it changes.
+
+    frames have the source's values before sampling and resizing; where one has changed
+    since the frame before, the stream is told anew.
+    """
+    own = F.struct(F.col("fps").alias("original_fps"), F.col("width").alias("original_width"), F.col("height").alias("original_height"), "uri")
+    told = previous(frames.withColumn("_own", own), ["channel_index"], ["frame_index"], own, "_was").where(~F.col("_own").eqNullSafe(F.col("_was")))
+    return told.select("channel_index", "_own.*", F.col("frame_index").alias("since_frame"))
+
+
 def frame_time(frames: DataFrame, start: str = "2024-01-01 00:00:00") -> DataFrame:
     """frame_ts: a stream's start and its frame periods."""
     return frames.withColumn("frame_ts", F.timestamp_micros(F.unix_micros(F.lit(start).cast("timestamp")) + F.col("frame_index") * F.floor(F.lit(1000) / F.col("fps")) * 1000))

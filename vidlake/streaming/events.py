@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from vidlake.operators.metrics import STALE_SECONDS
+from vidlake.streaming.channels import use_rocksdb
 
 
 def sync_stream(a: DataFrame, b: DataFrame, timeout: str = "40 milliseconds") -> DataFrame:
@@ -43,3 +50,55 @@ def output_fps_stream(trace: DataFrame, epoch_ms: int = 500, late: str = "1 seco
     """Frames per second of each channel and grid cell, once the cell is over."""
     cell = F.window("in_time", f"{epoch_ms} milliseconds")
     return trace.withWatermark("in_time", late).groupBy("channel_index", cell.alias("w")).agg((F.count(F.lit(1)) * 1000 / epoch_ms).alias("fps")).select("channel_index", F.col("w.start").alias("epoch"), "fps")
+
+
+class _Watch(StatefulProcessor):
+    """One port of a node: its latest event, and a timer for when that is too long ago."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "ms long, stale boolean")
+
+    def _row(self, key: tuple, ms: int, stale: bool) -> pd.DataFrame:
+        return pd.DataFrame([(*key, pd.Timestamp(ms, unit="ms"), stale)], columns=["node", "port", "at", "stale"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        was, stale = self.latest.get() or (None, False)
+        if was is not None:
+            self.handle.deleteTimer(was + self.gap_ms)
+        for at in sorted(int(ms) for part in rows for ms in part["ms"]):
+            if was is not None and at <= was:
+                continue
+            # a port that is active again before its timer has run was stale all the same
+            if was is not None and not stale and at - was >= self.gap_ms:
+                yield self._row(key, was + self.gap_ms, True)
+                stale = True
+            if stale:
+                yield self._row(key, at, False)
+            was, stale = at, False
+        self.latest.update((was, stale))
+        if not stale:
+            self.handle.registerTimer(was + self.gap_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        was, stale = self.latest.get()
+        if not stale and was + self.gap_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.latest.update((was, True))
+            yield self._row(key, was + self.gap_ms, True)
+
+    def close(self) -> None:
+        pass
+
+
+def stale_ports_stream(trace: DataFrame, seconds: float = STALE_SECONDS, late: str = "0 seconds") -> DataFrame:
+    """(node, port, at, stale): when each port of trace (node, port, in_time) became stale, and when it was active again.
+
+    A port is stale once the watermark is so many seconds past its latest event, though
+    it sends nothing itself; events of other ports move the watermark.
+    """
+    use_rocksdb(trace.sparkSession)
+    rows = trace.select("node", "port", "in_time").withWatermark("in_time", late).withColumn("ms", F.unix_millis("in_time"))
+    return rows.groupBy("node", "port").transformWithStateInPandas(_Watch(round(seconds * 1000)), "node string, port string, at timestamp, stale boolean", "append", "eventTime")
