@@ -1,12 +1,15 @@
 """A replay of files through the streaming operators gives what the batch operators give."""
 
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from vidlake import fixtures as X
 from vidlake.operators import behaviour as B, models as U, track as T
 from vidlake.plans import behaviour as PB
-from vidlake.sources import frames as S
+from vidlake.sources import frames as S, pushed as P
 from vidlake.streaming import channels as C, events as E
 
 SF = "/root/testdata/sf0.001"
@@ -233,3 +236,43 @@ def test_stale_ports_stream(spark, tmp_path):
     source = spark.readStream.schema(rows(("a", 0)).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = collected(spark, E.stale_ports_stream(source).selectExpr("node", "unix_millis(at) as ms", "stale"), tmp_path, "stale")
     assert got == {("b", 6000, True), ("b", 12500, False), ("b", 17500, True)}
+
+
+def test_first_per_plate_stream(spark, tmp_path):
+    from vidlake.operators import messages as M
+
+    rng = random.Random(2)
+    rows = [(c, f, rng.randrange(12), rng.choice((90, 120)), 40, rng.choice(("blue_A123456", "blue_B123456", "green_C1234567", "blue_A1", "red_D123456"))) for c in range(2) for f in range(80)]
+    df = spark.createDataFrame(rows, "channel_index int, frame_index int, track_id long, width int, height int, label string")
+    for where in ("frame_index < 30", "frame_index >= 30"):
+        df.where(where).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = collected(spark, C.first_per_plate_stream(source), tmp_path, "plates")
+    want = M.first_per_plate(df).select("channel_index", "frame_index", "track_id", "color", "text")
+    assert got == {tuple(r) for r in want.collect()} and len(got) > 3
+
+
+def test_pushed_batches(spark, tmp_path):
+    rng = random.Random(3)
+    place, out = str(tmp_path / "inbox"), []
+    frames = lambda n: pd.DataFrame([(rng.randrange(2), rng.choice((800, 800, 800, 810)) if n % 3 else 800, 600, k) for k in range(6)], columns=["channel_index", "width", "height", "no"])
+    pushed, inbox = [], P.Inbox(place)
+
+    def run():
+        rows = P.accepted_batches_stream(P.read_pushed(spark, place, "channel_index int, width int, height int, no int"))
+        q = rows.writeStream.foreachBatch(lambda df, _: out.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    for part in range(2):  # the second run starts again from the checkpoint
+        for _ in range(4):
+            own = frames(len(pushed)).astype("int32")
+            assert inbox.push(own) == len(pushed)
+            pushed.append(own)
+        inbox = P.Inbox(place)  # the application too
+        run()
+    run()
+    every = pd.concat([b.assign(batch_no=n) for n, b in enumerate(pushed)])
+    rows = spark.createDataFrame([tuple(map(int, r)) for r in every.itertuples(index=False)], "channel_index int, width int, height int, no int, batch_no long")
+    want = S.accepted_batches(rows).select("channel_index", "width", "height", "no", "batch_no", "fps")
+    assert sorted(out) == sorted(map(tuple, want.collect())) and 0 < len(out) < len(every)

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from vidlake.functions.text import parse_plate
 from vidlake.operators import behaviour as B
 from vidlake.operators.embed import SAME_COSINE, SAME_L2
 from vidlake.operators.track import MAX_GAP, Trackers
@@ -380,3 +381,37 @@ def first_seen_stream(faces: DataFrame, max_identities: int = 1000, ttl_ms: int
         return out
 
     return fold_channels(faces, start, step, ["vec_id", "cosine", "l2"], "vec_id long, cosine double, l2 double", ttl_ms)
+
+
+class _SentPlates(StatefulProcessor):
+    """The tracks and texts of one channel that have been sent, an entry each; only those of the micro-batch's plates are looked up."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tracks = handle.getMapState("tracks", "track_id long", "frame_index int", self.ttl_ms)
+        self.texts = handle.getMapState("texts", "text string", "frame_index int", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        sent = []
+        # a track's further rows with one text can only be held back as its first is
+        plates = pd.concat(list(rows)).sort_values(["frame_index", "track_id", "text"]).drop_duplicates(["track_id", "text"])
+        for row in plates[["channel_index", "frame_index", "track_id", "color", "text"]].itertuples(index=False):
+            if not self.tracks.containsKey((row.track_id,)) and not self.texts.containsKey((row.text,)):
+                self.tracks.updateValue((row.track_id,), (row.frame_index,))
+                self.texts.updateValue((row.text,), (row.frame_index,))
+                sent.append(tuple(row))
+        yield pd.DataFrame(sent, columns=["channel_index", "frame_index", "track_id", "color", "text"])
+
+    def close(self) -> None:
+        pass
+
+
+def first_per_plate_stream(plates: DataFrame, min_width: int = 100, min_height: int = 0, ttl_ms: int | None = None) -> DataFrame:
+    """(channel_index, frame_index, track_id, color, text), as first_per_plate; frames come in order from micro-batch to micro-batch. ttl_ms: how long what was sent is remembered."""
+    use_rocksdb(plates.sparkSession)
+    plate = parse_plate(F.col("label"))
+    good = plates.where((F.col("track_id") >= 0) & (F.col("width") >= min_width) & (F.col("height") >= min_height) & plate.isNotNull())
+    rows = good.select("channel_index", "frame_index", F.col("track_id").cast("long").alias("track_id"), plate["color"].alias("color"), plate["text"].alias("text"))
+    return rows.groupBy("channel_index").transformWithStateInPandas(_SentPlates(ttl_ms), "channel_index int, frame_index int, track_id long, color string, text string", "append", "processingTime" if ttl_ms else "none")
