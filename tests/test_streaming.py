@@ -226,6 +226,23 @@ def test_late_frames_are_told(spark, tmp_path):
     assert {r for r in got if r[2]} == {(1, True, True)} and (1, True, False) in got
 
 
+def test_controls_keep_their_place(spark, tmp_path):
+    kinds = "channel_index int, frame_index int, fps int, targets array<long>, control_uid string"
+    frame, control = lambda k: (0, k, 25, [k], None), lambda k, uid: (0, k, 25, [], uid)
+    parts = {"a": ([frame(0), control(1, "x"), frame(1)], [frame(2), control(3, "y"), frame(3), frame(9)]), "b": ([control(0, "w"), frame(0)], [control(1, "x"), frame(1), frame(3)])}
+    for name, files in parts.items():
+        for rows in files:
+            spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    a, b = (spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n)) for n in "ab")
+    out, seen = C.sync_frames_stream(a, b, 80), []
+    q = out.writeStream.foreachBatch(lambda df, _: seen.extend((r.frame_index, r.control_uid, r.alone) for r in df.coalesce(1).collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+    # the second "x" is that of the other branch; frame 2 has no partner and goes on alone before what follows it
+    assert seen[:5] == [(0, "w", False), (0, None, False), (1, "x", False), (1, None, False), (3, None, False)]
+    assert seen[5:] == [(2, None, True), (3, "y", False)]
+
+
 def test_stale_ports_stream(spark, tmp_path):
     def rows(*events):
         return spark.createDataFrame([(n, "in", float(s)) for n, s in events], "node string, port string, s double").withColumn("in_time", F.timestamp_millis((F.col("s") * 1000).cast("long"))).drop("s")

@@ -250,43 +250,66 @@ def jam_stream(rows: DataFrame, regions: dict[int, list[tuple[int, int]]], ttl_m
 class Synchroniser(StatefulProcessor):
     """Frames of two branches that wait for one another, an entry each; a timer a frame where frames have an event time."""
 
-    def __init__(self, kind: str, timeout_ms: float, timed: bool, with_late: bool):
-        self.kind, self.timeout_ms, self.timed, self.with_late = kind, timeout_ms, timed, with_late
+    def __init__(self, kind: str, timeout_ms: float, timed: bool, with_late: bool, controls: bool):
+        self.kind, self.timeout_ms, self.timed = kind, timeout_ms, timed
+        self.hidden = [c for c, shown in (("control_uid", controls), ("late", with_late)) if not shown]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.channel = handle.getValueState("channel", "last long, arrivals long")
-        self.waiting = handle.getMapState("waiting", "arrival long", f"frame_index long, branch int, targets {self.kind}, due long")
+        self.channel = handle.getValueState("channel", "last long, arrivals long, control_uid string")
+        self.waiting = handle.getMapState("waiting", "arrival long", f"frame_index long, branch int, targets {self.kind}, due long, control_uid string")
 
     def _rows(self, out: list[tuple]) -> pd.DataFrame:
-        rows = pd.DataFrame(out, columns=["channel_index", "frame_index", "targets", "alone", "late"])
-        return rows if self.with_late else rows[~rows["late"].astype(bool)].drop(columns="late")
+        rows = pd.DataFrame(out, columns=["channel_index", "frame_index", "targets", "alone", "control_uid", "late"])
+        return (rows[~rows["late"].astype(bool)] if "late" in self.hidden else rows).drop(columns=self.hidden)
+
+    @staticmethod
+    def _controls_ahead(channel: int, waiting: dict[int, tuple]) -> list[tuple]:
+        """Controls that no frame waits before go on, and wait no more."""
+        out = []
+        for n in list(waiting):
+            frame, _, _, _, uid = waiting[n]
+            if uid is None:
+                break
+            out.append((channel, frame, [], False, uid, False))
+            del waiting[n]
+        return out
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, arrivals = self.channel.get() or (-1, 0)
+        last, arrivals, last_uid = self.channel.get() or (-1, 0, None)
         kept = {k[0]: v for k, v in self.waiting.iterator()} if arrivals else {}
         waiting, out = dict(sorted(kept.items())), []
-        rows = pd.concat(list(rows)).sort_values(["frame_index", "branch"])
+        # a control comes before its frame
+        rows = pd.concat(list(rows)).assign(order=lambda r: r["control_uid"].isna()).sort_values(["frame_index", "order", "branch"])
         due = (rows["due"] if self.timed else pd.Series(-1, index=rows.index)).tolist()
-        for (frame, fps, targets, branch), at in zip(rows[["frame_index", "fps", "targets", "branch"]].itertuples(index=False), due):
+        for (frame, fps, targets, branch, uid), at in zip(rows[["frame_index", "fps", "targets", "branch", "control_uid"]].itertuples(index=False), due):
+            if isinstance(uid, str):
+                if uid != last_uid:
+                    waiting[arrivals] = (int(frame), int(branch), [], -1, uid)
+                    arrivals, last_uid = arrivals + 1, uid
+                continue
             if frame <= last:
-                out.append((key[0], frame, targets, True, True))
+                out.append((key[0], frame, targets, True, None, True))
                 continue
             met = None
-            for n, (f, side, own, _) in list(waiting.items()):
+            out += self._controls_ahead(key[0], waiting)
+            for n, (f, side, own, _, control) in list(waiting.items()):
+                if control is not None:
+                    continue
                 if (frame - f) * 1000 / fps >= self.timeout_ms:
-                    out.append((key[0], f, own, True, False))
+                    out.append((key[0], f, own, True, None, False))
                     last = f
                 elif f == frame and side != branch:
-                    out.append((key[0], f, [*own, *targets] if side < branch else [*targets, *own], False, False))
+                    out.append((key[0], f, [*own, *targets] if side < branch else [*targets, *own], False, None, False))
                     last = met = f
                 else:
                     continue
                 del waiting[n]
                 if met is not None:
                     break
+                out += self._controls_ahead(key[0], waiting)
             if met is None:
-                waiting[arrivals] = (int(frame), int(branch), list(targets), int(at))
+                waiting[arrivals] = (int(frame), int(branch), list(targets), int(at), None)
                 arrivals += 1
                 if self.timed:
                     self.handle.registerTimer(int(at))
@@ -294,20 +317,26 @@ class Synchroniser(StatefulProcessor):
             self.waiting.removeKey((n,))
         for n in waiting.keys() - kept.keys():
             self.waiting.updateValue((n,), waiting[n])
-        self.channel.update((last, arrivals))
+        self.channel.update((last, arrivals, last_uid))
         yield self._rows(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Frames that are due go on alone, though no newer frame has come."""
         now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        last, arrivals = self.channel.get() or (-1, 0)
-        for (n,), (frame, _, targets, due) in sorted(self.waiting.iterator(), key=lambda e: e[1][0]):
-            if due <= now:
-                out.append((key[0], frame, targets, True, False))
+        last, arrivals, last_uid = self.channel.get() or (-1, 0, None)
+        kept = {k[0]: v for k, v in self.waiting.iterator()}
+        waiting = dict(sorted(kept.items()))
+        out += self._controls_ahead(key[0], waiting)
+        for n, (frame, _, targets, due, uid) in sorted(waiting.items(), key=lambda e: e[1][0]):
+            if uid is None and due <= now:
+                out.append((key[0], frame, targets, True, None, False))
                 last = max(last, frame)
-                self.waiting.removeKey((n,))
+                del waiting[n]
+                out += self._controls_ahead(key[0], waiting)
+        for n in kept.keys() - waiting.keys():
+            self.waiting.removeKey((n,))
         if out:
-            self.channel.update((last, arrivals))
+            self.channel.update((last, arrivals, last_uid))
         yield self._rows(out)
 
     def close(self) -> None:
@@ -315,23 +344,28 @@ class Synchroniser(StatefulProcessor):
 
 
 def sync_frames_stream(a: DataFrame, b: DataFrame, timeout_ms: float = 40, release: str | None = None, with_late: bool = False) -> DataFrame:
-    """(channel_index, frame_index, targets, alone[, late]): frames (channel_index, frame_index, fps, targets ARRAY) of two branches joined, a's targets first.
+    """(channel_index, frame_index, targets, alone[, control_uid][, late]): frames (channel_index, frame_index, fps, targets ARRAY) of two branches joined, a's targets first.
 
     A frame that one branch has not brought goes on alone once a newer frame of its
     channel is timeout_ms away by frame numbers and fps; frames at or before the last
     one that went on are late and left out, or marked as late. release (an interval):
     frames have a frame_ts too, whose watermark is that far behind; a frame also goes on
     alone once the watermark is timeout_ms past it, so none waits for a branch or a
-    channel that has fallen silent. State: the frames that wait, a timeout's worth.
+    channel that has fallen silent. Rows with a control_uid, where the branches have that
+    column, are controls that come before their frame: one whose uid is not that of the
+    control before goes on once no earlier frame waits. State: what waits, a timeout's
+    worth.
     """
     use_rocksdb(a.sparkSession)
     kind, timed = a.schema["targets"].dataType.simpleString(), release is not None
-    more = ["frame_ts"] if timed else []
+    controls = "control_uid" in a.columns
+    a, b = ((df if controls else df.withColumn("control_uid", F.lit(None).cast("string"))) for df in (a, b))
+    more = ["control_uid", *(["frame_ts"] if timed else [])]
     both = a.select("channel_index", "frame_index", "fps", "targets", *more, F.lit(0).alias("branch")).unionByName(b.select("channel_index", "frame_index", "fps", "targets", *more, F.lit(1).alias("branch")))
     if timed:
         both = both.withWatermark("frame_ts", release).withColumn("due", F.unix_millis("frame_ts") + math.ceil(timeout_ms))
-    schema = f"channel_index int, frame_index int, targets {kind}, alone boolean" + (", late boolean" if with_late else "")
-    return both.groupBy("channel_index").transformWithStateInPandas(Synchroniser(kind, timeout_ms, timed, with_late), schema, "append", "eventTime" if timed else "none")
+    schema = f"channel_index int, frame_index int, targets {kind}, alone boolean" + (", control_uid string" if controls else "") + (", late boolean" if with_late else "")
+    return both.groupBy("channel_index").transformWithStateInPandas(Synchroniser(kind, timeout_ms, timed, with_late, controls), schema, "append", "eventTime" if timed else "none")
 
 
 class Faces(ChannelState):
