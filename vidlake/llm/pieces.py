@@ -24,7 +24,9 @@ from vidlake.llm.storage import save_bucketed, shuffle_partitions
 
 MARK = "▁"
 #: Code points of text that share one list of chunks.
-BLOCK = 1 << 24
+BLOCK = 12 << 20
+#: Texts that are decoded at once.
+DECODED_ROWS = 500
 _models: dict[str, tuple] = {}
 
 
@@ -92,11 +94,11 @@ def _cut(path: str, block: int, homes: int):
         number, size, codes, known, texts = TaskContext.get().partitionId() << 32, 0, _Codes(), {}, []
 
         def close() -> pa.RecordBatch:
-            chunks = list(codes)
+            chunks = sorted(codes)  # neighbours that are alike, and their ids, pack better
             home = np.fromiter((zlib.crc32(c.encode()) % homes for c in chunks), np.int64, len(chunks))
             order = np.argsort(home, kind="stable")
             place = np.empty(len(order), "<u4")
-            place[order] = np.arange(len(order))
+            place[np.fromiter((codes[chunks[k]] for k in order), np.int64, len(order))] = np.arange(len(order))
             cuts = np.flatnonzero(np.diff(home[order])) + 1
             lists = [[chunks[k] for k in part] for part in np.split(order, cuts)] if chunks else []
             n, m = len(lists), len(texts)
@@ -110,8 +112,8 @@ def _cut(path: str, block: int, homes: int):
             )
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                text = text or ""
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                text = text.as_py() or ""  # one at a time: a batch's texts are many
                 same = hashlib.blake2b(text.encode(), digest_size=16).digest()
                 if same not in known:
                     found = pattern.findall(own.normalize(text))
@@ -151,8 +153,8 @@ def _segment(path: str):
     return run
 
 
-def _put_together(path: str, begin: bool, end: bool):
-    """A function of a block's texts and its chunks' ids: the ids of each text."""
+def _put_together(path: str, begin: bool, end: bool, decoded: bool):
+    """A function of a block's texts and its chunks' ids: the ids of each text, and what they decode to."""
 
     def run(texts: pa.Table, lists: pa.Table) -> pa.Table:
         own = load_model(path)[0]
@@ -161,25 +163,30 @@ def _put_together(path: str, begin: bool, end: bool):
         flat = np.concatenate([np.zeros(0, "<u4"), *map(_unpacked, lists.column("ids").to_pylist())])
         sizes = np.concatenate([np.zeros(0, "<u4"), *map(_unpacked, lists.column("sizes").to_pylist())]).astype(np.int64)
         starts = np.cumsum(sizes) - sizes
-        out = []
+        out, back = [], []
         for places in texts.column("places"):
             at = _unpacked(places.as_py())
             counts = sizes[at]
             # where each id lies: its chunk's start, and how far it is from the chunk's first
             place = np.arange(counts.sum()) + np.repeat(starts[at] - np.cumsum(counts) + counts, counts)
-            out.append(np.concatenate([head, flat[place], tail]).astype("<u4").tobytes())
-        return pa.table([texts.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            ids = np.concatenate([head, flat[place], tail]).astype("<u4")
+            out.append(ids.tobytes())
+            if decoded:
+                back.append(own.decode(ids.tolist()))
+        columns = {"doc_id": texts.column("doc_id"), "ids": pa.array(out, pa.binary())}
+        return pa.table(columns | ({"decoded": pa.array(back, pa.string())} if decoded else {}))
 
     return run
 
 
-def encode_pieces(docs: DataFrame, model: str, begin: bool = True, end: bool = True, block: int = BLOCK) -> DataFrame:
-    """(doc_id, ids) of every row of docs: the library's ids of the whole text, little-endian unsigned 32-bit.
+def encode_pieces(docs: DataFrame, model: str, begin: bool = True, end: bool = True, block: int = BLOCK, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids[, decoded]) of every row of docs: the library's ids of the whole text, little-endian unsigned 32-bit.
 
     A null text is encoded as an empty one, which has the begin and end ids alone. Rows
     that repeat a doc_id, or have none, are encoded like any other; an empty table gives
     no rows; other columns are not looked at. model: path of a .model file on every
     machine. A text without markers or line breaks is one chunk, however long.
+    decoded: also the library's text of the ids, by the task that has put them together.
 
     The table of distinct chunks lies by home, a hash: blocks send each home their
     chunks there, of which a frequent one is one a block, and get ids back. Texts stay
@@ -192,7 +199,7 @@ def encode_pieces(docs: DataFrame, model: str, begin: bool = True, end: bool = T
     lists = cut.where("home is not null").select("block", "home", "sizes", "chunks").repartition(n, "home").sortWithinPartitions("home", "block")
     ids = lists.mapInArrow(_segment(model), "block long, home int, sizes binary, ids binary")
     texts = cut.where("places is not null").select("block", "doc_id", "places")
-    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_put_together(model, begin, end), "doc_id long, ids binary")
+    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_put_together(model, begin, end, decoded), "doc_id long, ids binary" + (", decoded string" if decoded else ""))
 
 
 def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
@@ -201,13 +208,15 @@ def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load_model(model)[0]
         for batch in batches:
-            texts = [None if ids is None else own.decode(np.frombuffer(ids, "<u4").tolist()) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+            for at in range(0, len(batch), DECODED_ROWS):  # a batch's texts are many
+                part = batch.slice(at, DECODED_ROWS)
+                texts = [None if ids is None else own.decode(np.frombuffer(ids, "<u4").tolist()) for ids in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
 def encoded_and_decoded(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs."""
-    out = decode_pieces(encode_pieces(docs, model), model)
+    out = encode_pieces(docs, model, decoded=True)
     return out.select("doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
