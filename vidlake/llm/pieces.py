@@ -24,7 +24,7 @@ from vidlake.llm.storage import save_bucketed, shuffle_partitions
 
 MARK = "▁"
 #: Code points of text that share one list of chunks.
-BLOCK = 12 << 20
+BLOCK = 1 << 24
 #: Texts that are decoded at once.
 DECODED_ROWS = 500
 _models: dict[str, tuple] = {}

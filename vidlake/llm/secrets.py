@@ -1,12 +1,14 @@
 """Secret scans: pattern findings, and a character convolutional network over every other candidate.
 
 The first pass keeps a bounded sample of labelled windows: the values of pattern
-findings, and candidates (runs of 16 or more token characters) that no pattern meets,
-each with the characters around it. A small network in numpy is trained on them. So
-that the value itself must tell and not the keyword before it, confirmed values are also
-shown in the surroundings of unconfirmed ones, together with random values of the
-usual formats. It is calibrated on held-out values in such surroundings, and given the
-highest threshold that keeps RECALL of them. The second pass finds the pattern spans
+findings, and candidates (runs of 16 or more token characters, or of 12 or more with a
+digit) that no pattern meets, each with the characters around it. A small network in
+numpy is trained on them. So that the value itself must tell and not the keyword before
+it, confirmed values are also shown in the surroundings of unconfirmed ones, together
+with random values of the usual formats, and with harmless strings of the kinds that
+look like keys (names made of words, numbers of books and dates, rules, alphabets).
+It is calibrated on held-out values in such surroundings, and given the highest
+threshold that keeps RECALL of each format. The second pass finds the pattern spans
 again and scores every candidate but those that they cover, in windows of a bounded
 number at a time.
 """
@@ -33,7 +35,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: The token characters of ASSIGN; a full stop only inside.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{14,}[A-Za-z0-9+/_=-]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9+/_=-]")
+#: Candidates shorter than SURE have a digit; no value is shorter than SHORT.
+SHORT, SURE = 12, 16
+DIGIT = re.compile(r"[0-9]")
 #: Characters of context on each side, and of the candidate that one window holds; longer ones have several windows.
 AROUND, INSIDE = 24, 64
 #: Labelled findings of each class that the network is trained on, those with the smallest hashes.
@@ -76,6 +81,8 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[i
     """(start, end, label, windows) of each candidate: label 1 where pattern spans cover it, 2 where they only meet it. spans: by start."""
     first = 0
     for m in CANDIDATE.finditer(text):
+        if m.end() - m.start() < SURE and not DIGIT.search(m[0]):
+            continue
         while first < len(spans) and spans[first][2] <= m.start():
             first += 1
         at, met = m.start(), False
@@ -87,9 +94,9 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[i
 
 
 def values(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of what the pattern findings say is secret, of 16 or more characters."""
+    """(start, end) of what the pattern findings say is secret, of SHORT or more characters."""
     for m in ASSIGN.finditer(text):
-        if m.end(2) - m.start(2) >= 16:
+        if m.end(2) - m.start(2) >= SHORT:
             yield m.span(2)
     for kind in (ACCESS, HEX):
         for m in kind.finditer(text):
@@ -231,8 +238,9 @@ class CharNet:
         self.precision = float(labels[kept].mean()) if kept.any() else 0.0
 
 
-FORMATS = 8
+FORMATS = 11
 LETTERS = string.ascii_letters + string.digits
+WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{3,9}(?![A-Za-z0-9])")
 
 
 def random_values(n: int, seed: int = 7) -> list[str]:
@@ -241,13 +249,31 @@ def random_values(n: int, seed: int = 7) -> list[str]:
     pick = lambda letters, lo, hi: "".join(rng.choices(letters, k=rng.randint(lo, hi)))
     for k in range(n):
         out.append((
-            lambda: pick("0123456789abcdef", 16, 64), lambda: pick(LETTERS, 16, 48), lambda: pick(LETTERS + "+/", 20, 64) + "=" * rng.randint(0, 2),
-            lambda: pick(string.ascii_lowercase + string.digits, 16, 40), lambda: pick(string.ascii_uppercase + string.digits, 16, 40), lambda: pick(LETTERS + "_-", 20, 48),
+            lambda: pick("0123456789abcdef", 12, 24), lambda: pick("0123456789abcdef", 16, 64), lambda: pick(LETTERS, SHORT, 20), lambda: pick(LETTERS, 16, 48), lambda: pick(LETTERS + "+/", 20, 64) + "=" * rng.randint(0, 2),
+            lambda: pick(string.ascii_lowercase + string.digits, 14, 40), lambda: pick(string.ascii_uppercase + string.digits, 14, 40), lambda: pick(LETTERS + "_-", 20, 48),
             lambda: pick("abcdefghijklmnopqrstuvwxyz", 2, 4) + "_" + pick(LETTERS, 20, 40), lambda: ".".join(pick(LETTERS + "_-", 12, 24) for _ in range(3)),
+            lambda: "-".join(pick("0123456789abcdef", n, n) for n in (8, 4, 4, 4, 12)),
         )[k % FORMATS]())
     return out
 
 
+def harmless_values(words: list[str], n: int, seed: int = 7) -> list[str]:
+    """Strings that are no secrets though they are long and have no spaces, of nine kinds in turn; words: of the corpus."""
+    rng, out = random.Random(seed), []
+    some = lambda lo, hi: [rng.choice(words) for _ in range(rng.randint(lo, hi))]
+    digits = lambda k: "".join(rng.choices(string.digits, k=k))
+    camel = lambda ws: ws[0] + "".join(w.capitalize() for w in ws[1:])
+    for k in range(n):
+        start = rng.randrange(14)
+        out.append((
+            lambda: camel(some(3, 6)), lambda: rng.choice("_-./").join(some(3, 6)), lambda: "_".join(some(3, 5)).upper(), lambda: "".join(w.capitalize() for w in some(3, 5)) + rng.choice(["", digits(1), digits(2)]),
+            lambda: rng.choice("=-_./+") * rng.randint(16, 64), lambda: (string.ascii_uppercase if k % 2 else string.ascii_lowercase)[start : start + rng.randint(12, 26)],
+            lambda: f"ISBN-978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}" if k % 2 else f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(4)}", lambda: f"20{digits(2)}-0{rng.randint(1, 9)}-1{digits(1)}T1{digits(1)}-{digits(2)}-{digits(2)}" if k % 2 else digits(rng.randint(12, 20)),
+            lambda: "/".join([*some(2, 4), f"{rng.choice(words)}-{digits(1)}.{digits(1)}.{digits(2)}.{rng.choice(words)[:3]}"]),
+        )[k % 9]())
+    return [v for v in out if len(v) >= SURE or len(v) >= SHORT and DIGIT.search(v)]
+
+
 def _set_into(value: str, around: str) -> str:
     """A window of value in the surroundings of another window."""
     return around[:AROUND] + value[:INSIDE].ljust(INSIDE, "\0") + around[-AROUND:]
@@ -258,7 +284,12 @@ def train(found: DataFrame, limit: int = LABELLED_ROWS) -> CharNet | None:
     rows = {label: [r.window for r in found.where(F.col("label") == label).orderBy("h", "window").limit(limit).collect()] for label in (0, 1)}
     if not rows[0]:
         return None
-    rng = random.Random(7)
+    return trained_on(rows[0], rows[1])
+
+
+def trained_on(unmet: list[str], found: list[str]) -> CharNet:
+    """The network, from windows of candidates that no pattern meets and of findings."""
+    rng, rows = random.Random(7), (unmet, found)
     confirmed = [w[AROUND:-AROUND].rstrip("\0") for w in rows[1]]
     made = random_values(max(len(rows[0]), 200 * FORMATS))
     known = [*((v, -1) for v in confirmed), *((v, k % FORMATS) for k, v in enumerate(made))]
@@ -274,12 +305,18 @@ def train(found: DataFrame, limit: int = LABELLED_ROWS) -> CharNet | None:
         (held if out else fit)[1].append(_set_into(value, rng.choice(places[out])))
         formats += [form] * out
     fit[1].extend(w for k, w in enumerate(rows[1]) if k % 4 < 3)
+    # all words of the corpus that a window of the sample shows, in one order
+    words = sorted({w.lower() for x in rows[0] for w in WORD.findall(x)})
+    tame = harmless_values(words, len(rows[0])) if words else []
+    tame = [_set_into(v, rng.choice(places[k % 4 == 3])) for k, v in enumerate(tame)]
     # candidates without a keyword may be secrets all the same: those that a first network takes for some teach nothing
     label = lambda parts: np.repeat([0.0, 1.0], [len(p) for p in parts]).astype(np.float32)
     first = CharNet()
     first.fit([*fit[0], *fit[1]], label(fit), epochs=3)
-    for part in (fit, held):
-        part[0][:] = [w for w, z in zip(part[0], first.logits(part[0])) if z < 0] or part[0]
+    fit[0][:] = [w for w, z in zip(fit[0], first.logits(fit[0])) if z < 0] or fit[0]
+    # what is held out stays whole, so the precision that is told counts the hard ones too
+    fit[0].extend(w for k, w in enumerate(tame) if k % 4 < 3)
+    held[0].extend(w for k, w in enumerate(tame) if k % 4 == 3)
     net = CharNet()
     net.fit([*fit[0], *fit[1]], label(fit))
     net.calibrate([*held[0], *held[1]], label(held), formats=np.array([-2] * len(held[0]) + formats))
