@@ -17,19 +17,30 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vidlake.llm.storage import drop, free_name, save
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-PHONE = r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+#: In three groups of which the last has four digits; or international, of 8 to 15 digits in groups of any length.
+PHONE = (
+    r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|(?<![0-9A-Za-z+(])\+(?=(?:[ .()-]{0,2}[0-9]){8,15}(?![0-9]))[0-9]{1,4}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,12}))+(?![0-9])"
+)
 CARD = r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z])"
 #: Titles that tell how a name's bearer is addressed.
 MALE_TITLES = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Don")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Señora", "Doña")
-_TITLES = "|".join((*MALE_TITLES, *FEMALE_TITLES))
-_WORD = r"\p{Lu}(?:\p{Ll}+|\p{Lu}+)(?:-\p{Lu}(?:\p{Ll}+|\p{Lu}+))?(?![\p{L}])"
-#: A title, in this case or in capitals, and up to three words.
-NAME = rf"(?<![\p{{L}}])(?:{_TITLES}|{_TITLES.upper()})\.? {_WORD}(?: {_WORD}){{0,2}}"
+#: Titles that do not tell it.
+OTHER_TITLES = ("Dr", "Prof", "Doctor", "Professor")
+_TITLES = "|".join((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES))
+#: What may stand before a name's words and is no word of it.
+PARTICLES = ("van", "von", "der", "den", "de", "di", "da", "del", "la", "le", "du", "dos")
+_BEFORE = rf"(?:(?:(?:\p{{Lu}}\.)+|{'|'.join(PARTICLES)}) )*"
+#: No title; an apostrophe or capital inside (O'Brien, McDonald), but no possessive.
+_LETTERS = rf"(?!(?:{_TITLES}|{_TITLES.upper()})(?!\p{{L}}))" r"\p{Lu}\p{M}*(?:['’](?=\p{Lu}\p{L})|\p{L}\p{M}*)+"
+_WORD = rf"{_LETTERS}(?:-{_LETTERS})?(?![\p{{L}}])"
+#: A title, in this case or in capitals, and up to three words, with initials and particles between.
+NAME = rf"(?<![\p{{L}}])(?:{_TITLES}|{_TITLES.upper()})\.? {_BEFORE}{_WORD}(?: {_BEFORE}{_WORD}){{0,2}}"
 ENTITY = "|".join((EMAIL, IP, PHONE, CARD))
-NAME_HINT = rf"(?<![\p{{L}}])(?:{_TITLES}|{_TITLES.upper()})\.? \p{{Lu}}"
+NAME_HINT = rf"(?<![\p{{L}}])(?:{_TITLES}|{_TITLES.upper()})\.? (?:\p{{Lu}}|(?:{'|'.join(PARTICLES)}) )"
 #: Cheaper than ENTITY and NAME, and holds wherever one does.
 HINT = "[0-9@]|" + NAME_HINT
 #: Parts that surrogate names are put together from, by script.
@@ -43,28 +54,34 @@ SAME_LENGTH = 2
 
 
 def named_words(text: Column) -> Column:
-    """ARRAY<STRUCT<word, kind>>: the words of the names in a text, in lower case, with the gender of their first title."""
+    """ARRAY<STRUCT<word, kind, form>>: the words of the names in a text, in lower case and as written, with the gender of their title (person where it tells none)."""
     def words(name: Column) -> Column:
-        male = F.lower(name).rlike("^(?:" + "|".join(MALE_TITLES).lower() + r")\.? ")
-        return F.transform(F.slice(F.split(name, " "), 2, 3), lambda w: F.struct(F.lower(w).alias("word"), F.when(male, "male").otherwise("female").alias("kind")))
+        titled = lambda titles: F.lower(name).rlike("^(?:" + "|".join(titles).lower() + r")\.? ")
+        kind = F.when(titled(MALE_TITLES), "male").when(titled(OTHER_TITLES), "person").otherwise("female")
+        # initials and particles stay
+        own = F.filter(F.split(name, " "), lambda w, i: (i > 0) & w.rlike(r"^\p{Lu}.*[^.]$"))
+        return F.transform(own, lambda w: F.struct(F.lower(w).alias("word"), kind.alias("kind"), w.alias("form")))
 
     found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(NAME), 0), words))
-    return F.when(text.rlike(NAME_HINT), found).otherwise(F.array().cast("array<struct<word:string,kind:string>>"))
+    return F.when(text.rlike(NAME_HINT), found).otherwise(F.array().cast("array<struct<word:string,kind:string,form:string>>"))
 
 
 def pattern_of(names: Column) -> Column:
-    """The regular expression of a document's entities: ENTITY, and its name words with a capital first or in capitals."""
+    """The regular expression of a document's entities: ENTITY, and its name words with a capital first, in capitals, or as a title had them."""
     words = F.array_distinct(F.transform(names, lambda n: n["word"]))
+    written = F.transform(names, lambda n: n["form"])
     # the longest first: a word may start another
     ordered = F.transform(F.sort_array(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
     # a word after a hyphen has its own capital
-    forms = F.flatten(F.transform(ordered, lambda w: F.array(F.array_join(F.transform(F.split(w, "-"), lambda p: F.initcap(p)), "-"), F.upper(w))))
+    forms = F.flatten(F.transform(ordered, lambda w: F.concat(F.array(F.array_join(F.transform(F.split(w, "-"), lambda p: F.initcap(p)), "-"), F.upper(w)), F.filter(written, lambda f: F.lower(f) == w))))
+    forms = F.array_distinct(forms)
     bare = F.concat(F.lit(r"(?<![\p{L}])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}])"))
     return F.when(F.size(words) > 0, F.concat(F.lit(ENTITY + "|"), bare)).otherwise(F.lit(ENTITY))
 
 
 def kind_of(entity: Column, names: Column) -> Column:
-    gender = F.get(F.filter(names, lambda n: n["word"] == F.lower(entity)), 0)["kind"]
+    own = F.filter(names, lambda n: n["word"] == F.lower(entity))
+    gender = F.coalesce(F.get(F.filter(own, lambda n: n["kind"] != "person"), 0)["kind"], F.get(own, 0)["kind"])
     return (
         F.when(entity.contains("@"), "email").when(entity.rlike("^" + IP + "$"), "ip").when(entity.rlike("^" + CARD + "$"), "card")
         .when(entity.rlike(r"^\p{Lu}"), gender).otherwise("phone")
@@ -74,7 +91,7 @@ def kind_of(entity: Column, names: Column) -> Column:
 def core_of(entity: Column, kind: Column) -> Column:
     """What tells two entities apart however they are written: lower case, or digits alone; of a telephone number the last ten."""
     digits = F.regexp_replace(entity, "[^0-9]", "")
-    return F.when(kind == "card", digits).when(kind == "phone", F.substring(digits, F.length(digits) - 9, F.lit(10))).when(kind == "ip", entity).otherwise(F.lower(entity))
+    return F.when(kind == "card", digits).when(kind == "phone", F.right(digits, F.lit(10))).when(kind == "ip", entity).otherwise(F.lower(entity))
 
 
 def _pick(letters: Column, n: int, *seed: Column) -> Column:
@@ -119,7 +136,7 @@ def surrogate(kind: Column, core: Column, key: Column, attempt: Column) -> Colum
     def name(syllables: tuple, male: tuple, female: tuple) -> Column:
         part = lambda parts, n: F.get(F.array(*map(F.lit, parts)), F.pmod(F.xxhash64(digest, n), F.lit(len(parts))).cast("int"))
         many = F.array_join(F.transform(F.sequence(F.lit(1), more + 3), lambda i: part(syllables, i)), "")
-        return F.concat(many, F.when(kind == "male", part(male, F.lit(-1))).otherwise(part(female, F.lit(-1))))
+        return F.concat(many, F.when(kind == "male", part(male, F.lit(-1))).when(kind == "person", part((*male, *female), F.lit(-1))).otherwise(part(female, F.lit(-1))))
 
     word = F.when(core.rlike(r"^\p{IsCyrillic}"), name(*CYRILLIC)).when(core.rlike(r"^\p{IsGreek}"), name(*GREEK)).otherwise(name(SYLLABLES, MALE_ENDS, FEMALE_ENDS))
     digits = longer("0123456789", 10)
@@ -136,7 +153,7 @@ def in_format_of(entity: Column, kind: Column, new: Column) -> Column:
     email = F.concat(cased, F.lit("@"), F.substring_index(entity, "@", -1))
     nth = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9]", ""))
     digits = F.length(F.regexp_replace(entity, "[^0-9]", ""))
-    prefix = F.when(kind == "phone", digits - 10).otherwise(F.lit(0))
+    prefix = F.when(kind == "phone", F.greatest(digits - 10, F.lit(0))).otherwise(F.lit(0))
     filled = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("^[0-9]$") & (nth(i) > prefix), at(new, nth(i) - prefix)).otherwise(c)), "")
     number = F.concat(filled, F.substring(new, digits - prefix + 1, F.length(new)))
     name = F.when((entity == F.upper(entity)) & (size > 1), F.upper(new)).otherwise(F.initcap(new))
