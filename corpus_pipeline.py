@@ -17,12 +17,21 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the learned decision list keep."""
+    """Documents that the base rule and the learned decision list keep.
+
+    Null and empty texts have too few words and go. Rows that repeat a doc_id, or have
+    none, are judged each by its own text. Without labels the base rule alone decides; an
+    empty table stays empty.
+    """
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that ten or more documents have; n_chars counts what is left."""
+    """Every document, without the lines that ten or more documents have; n_chars counts what is left.
+
+    Null and empty texts come out empty. Rows that repeat a doc_id, or have none, count
+    as documents of their own; an empty table stays empty.
+    """
     out = dedup_lines(docs)
     kinds = dict(docs.dtypes)
     if "n_chars" in kinds:
@@ -31,17 +40,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
+    """The document with the smallest doc_id of each group of near copies.
+
+    Null and empty texts are near nothing and stay, as do rows without a doc_id. Rows
+    that repeat the smallest doc_id are one document and stay together; an empty table
+    stays empty.
+    """
     return keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay, as do rows without a doc_id; rows that repeat
+    a doc_id go together. Without items all stay; an empty table stays empty.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of full training sequences."""
+    """Pieces of full training sequences.
+
+    Null and empty texts have their end id alone. Rows that repeat a doc_id, or have none,
+    are packed each; an empty table gives no pieces.
+    """
     return pack(docs, tokenizer_path())
 
 
