@@ -308,3 +308,11 @@ def test_sketch_and_rollup_on_events(spark):
     exact = {(r.channel_index, r.epoch_ms): r for r in metrics.latency(X.trace(spark, SF), 86_400_000).collect()}
     got = metrics.sketch_latency(metrics.latency_sketch(X.trace(spark, SF), 86_400_000)).collect()
     assert len(got) == len(exact) and all(r.avg_ms == pytest.approx(exact[r.channel_index, r.epoch_ms].avg_ms, abs=1e-5) for r in got)
+
+
+def test_recall_of_match_near_over_all_rows(spark):
+    """The pairs of the approximate join among those of the exact one, for every vector of the table; what it finds is right."""
+    v = X.vectors(spark, "/root/testdata/sf0.01").select("vec_id", "embedding")
+    exact = {(r.id_a, r.id_b) for r in I.match_within(v, v, 1.25).collect()}
+    found = {(r.id_a, r.id_b) for r in E.match_near(v, v, 1.25).collect()}
+    assert len(exact) > 1000 and found <= exact and len(found) >= 0.9 * len(exact)

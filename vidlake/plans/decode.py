@@ -417,10 +417,10 @@ def ba_messages(spark, d):
 
 def _embedded(spark, d):
     v = X.vectors(spark, d)
-    return v.select("channel_index", "frame_index", F.lit(0).alias("target_no"), F.when(F.col("vec_id") % 2 == 0, F.col("vec_id")).otherwise(F.lit(-1)).alias("track_id"), F.slice("embedding", 1, 8).alias("embedding"), F.array(F.concat(F.lit("c"), F.col("label").cast("string"))).alias("secondary"), F.lit("blue_A123456").alias("sub_label"))
+    return v.select("channel_index", "frame_index", F.lit(0).alias("target_no"), F.when(F.col("vec_id") % 2 == 0, F.col("vec_id")).otherwise(F.lit(-1)).alias("track_id"), "embedding", F.array(F.concat(F.lit("c"), F.col("label").cast("string"))).alias("secondary"), F.lit("blue_A123456").alias("sub_label"))
 
 
-_VEC = "array_to_string(list_transform(embedding[1:8], lambda x: printf('%.6g', x)), ',')"
+_VEC = "array_to_string(list_transform(embedding, lambda x: printf('%.6g', x)), ',')"
 _CROP = "'crops/' || channel_index || '_' || frame_index || '_' || case when vec_id % 2 = 0 then vec_id else 0 end || '.jpg'"
 
 

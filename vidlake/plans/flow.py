@@ -129,12 +129,12 @@ def sync_timeouts(spark, d):
     return W.sync_timeouts(f.where("frame_index % 7 > 0"), f.where("frame_index % 5 > 0"), 160)
 
 
-_CONTROLS = "controls as (select event_id, (user_id % 4)::int as channel_index, ts, 'vp_control_' || (event_id // 20) as control_uid from events where event_type = 'purchase')"
+_CONTROLS = "controls as (select event_id, (user_id % 4)::int as channel_index, ts, 'vp_control_' || (event_id // 20) as control_uid from events)"
 
 
 @query("dedupe_controls", f"with {_CONTROLS} select channel_index, event_id, control_uid from (select *, lag(control_uid) over (partition by channel_index order by ts, event_id) as b from controls) where b is null or b <> control_uid")
 def dedupe_controls(spark, d):
-    rows = X.read(spark, d, "events").where("event_type = 'purchase'").selectExpr("event_id", "cast(user_id % 4 as int) as channel_index", "ts", "concat('vp_control_', cast(event_id div 20 as string)) as control_uid")
+    rows = X.read(spark, d, "events").selectExpr("event_id", "cast(user_id % 4 as int) as channel_index", "ts", "concat('vp_control_', cast(event_id div 20 as string)) as control_uid")
     return W.dedupe_controls(rows, ["ts", "event_id"]).drop("ts")
 
 
