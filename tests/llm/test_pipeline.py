@@ -50,3 +50,43 @@ def test_pipeline(spark, tmp_path):
 
         assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
     assert got == {k: len(v) for k, v in want.items()}
+
+
+KINDS = "doc_id long, text string, lang string, source string, n_chars long, gone string, n_lines int, kept boolean, component_id string"
+
+
+def written(spark, place, docs, labels=True, items=True):
+    spark.createDataFrame(docs, KINDS).write.parquet(f"{place}/documents.parquet")
+    spark.createDataFrame([(d[0], 1, 0) for d in docs if d[0] is not None] if labels else [], "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
+    spark.createDataFrame([(0, "one item of the benchmark that nobody has ever written down " * 3)] if items else [], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+
+
+def packed_tokens(spark, place):
+    got = {}
+    for r in corpus_pipeline.run(spark, str(place)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length))
+    return {k: sum(n for _, n in v) for k, v in got.items()}
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    written(spark, tmp_path / "none", [], labels=False, items=False)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_pipeline_of_repeats_nulls_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(5)
+    texts = {k: " ".join(sentence(rng, 40)) for k in range(12)}
+    clash = ("gone", 3, True, "c")
+    row = lambda k, t: (k, t, "en", "s", 7, *clash)
+    docs = [row(k, t) for k, t in texts.items()] + [row(3, texts[3]), row(None, texts[4] + " and more"), row(50, None), row(51, ""), row(52, "too short"), row(53, texts[0])]
+    written(spark, tmp_path / "messy", docs)
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["quality_rules"](spark, spark.read.parquet(f"{tmp_path}/messy/documents.parquet"), str(tmp_path / "messy"))
+    assert first.columns == [c.split(" ")[0] for c in KINDS.split(", ")]
+    rows = first.collect()
+    # the short and empty ones go; a repeated row and one without a doc_id are rows of their own
+    assert sorted(str(r.doc_id) for r in rows) == sorted([*map(str, texts), "3", "None", "53"]) and all(tuple(r)[5:] == clash for r in rows)
+    got = packed_tokens(spark, tmp_path / "messy")
+    encode, _ = packing.encoder(tokenizer_path())
+    own = {k: len(encode(t)) + 1 for k, t in texts.items()}
+    assert got == {**own, 3: 2 * own[3], None: len(encode(texts[4] + " and more")) + 1}
