@@ -42,7 +42,7 @@ def cross_line(history: DataFrame, lines: DataFrame) -> DataFrame:
 
     lines: (channel_index, line), one row a channel. Channels without a line have no events.
     """
-    both = join_small(history.where("prev is not null"), lines.select("channel_index", "line"), "channel_index")
+    both = join_small(history.where("prev is not null"), lines.select("channel_index", "line"), "channel_index", stored=False)
     crossed = both.where(side_of_line(F.col("point"), F.col("line")) != side_of_line(F.col("prev"), F.col("line")))
     return crossed.select("channel_index", "frame_index", *_event(CROSSLINE), "track_id", F.col("line").alias("region"))
 
@@ -57,7 +57,7 @@ def crossline_totals(events: DataFrame) -> DataFrame:
 def stop_hits(history: DataFrame, regions: DataFrame, max_distance: float = STOP_DISTANCE, interval: int = CHECK_INTERVAL) -> DataFrame:
     """Rows whose track has stood: in its region, and within max_distance of the point interval - 1 rows earlier."""
     placed = with_point_before(history, interval - 1, "earlier").where("earlier is not null")
-    inside = join_small(placed, regions.select("channel_index", "ring"), "channel_index").where(point_in_polygon(F.col("point"), F.col("ring")))
+    inside = join_small(placed, regions.select("channel_index", "ring"), "channel_index", stored=False).where(point_in_polygon(F.col("point"), F.col("ring")))
     return one_per_track(inside.where(distance(F.col("point"), F.col("earlier")) <= max_distance))
 
 
