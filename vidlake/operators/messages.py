@@ -5,7 +5,9 @@ from __future__ import annotations
 import logging
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from vidlake.functions.text import parse_plate, time_format
 from vidlake.operators.storage import deleted, written
@@ -105,10 +107,10 @@ def crop_name(folder: str, number: Column) -> Column:
     return F.concat(F.lit(f"{folder}/"), F.concat_ws("_", F.col("channel_index").cast("string"), F.col("frame_index").cast("string"), number.cast("string")), F.lit(".jpg"))
 
 
-def _vector(v: Column) -> Column:
-    """Numbers with six significant digits and no trailing zeros."""
-    one = lambda x: F.regexp_replace(F.format_string("%.6g", x), r"\.?0+(?=e|$)(?<=\.[0-9]{0,20})", "")
-    return F.array_join(F.transform(v, one), ",")
+@F.arrow_udf(StringType())
+def _vector(v: pa.Array) -> pa.Array:
+    """Numbers with six significant digits and no trailing zeros, rounded by their exact value (a tie to the even digit), as C does; Java's format rounds shortest decimals up."""
+    return pa.array([None if row is None else ",".join(["%.6g" % x for x in row if x is not None]) for row in v.to_pylist()], pa.string())
 
 
 def embedding_messages(targets: DataFrame, folder: str) -> DataFrame:
