@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.resource import ResourceProfile
@@ -10,16 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+def _together(results: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Results one after another, those of the same columns and types as one: each that is handed on costs more than a small model."""
+    held, kinds = [], None
+    for out in results:
+        own = (tuple(out.columns), tuple(out.dtypes))
+        if held and own != kinds:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        held.append(out)
+        kinds = own
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def apply_model(frames: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | StructType, batch_size: int = 32, profile: ResourceProfile | None = None) -> DataFrame:
-    """fn over batches of batch_size rows, the last of a task's batches shorter; rows reach fn in Arrow batches. profile: the stage's resources."""
+    """fn over batches of batch_size rows, the last of a task's batches shorter; rows reach fn in Arrow batches, and results of equal types leave in such. profile: the stage's resources."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
             whole = len(rows) - len(rows) % batch_size
-            for at in range(0, whole, batch_size):
-                yield fn(rows.iloc[at : at + batch_size])
+            yield from _together(fn(rows.iloc[at : at + batch_size]) for at in range(0, whole, batch_size))
             held = rows.iloc[whole:] if whole < len(rows) else None
         if held is not None and len(held):
             yield fn(held)

@@ -469,7 +469,9 @@ def first_per_plate(spark, d):
 
 
 def _areas(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"channel_index": rows["channel_index"], "frame_index": rows["frame_index"], "track_id": rows["track_id"], "area": rows["width"].astype("int64") * rows["height"]})
+    own = {c: rows[c].to_numpy() for c in ("channel_index", "frame_index", "track_id", "width", "height")}
+    area = own.pop("width").astype("int64") * own.pop("height")
+    return pd.DataFrame({**own, "area": area})
 
 
 @query("apply_model", f"with {X.DETECTIONS_SQL} select channel_index, frame_index, track_id, (width * height)::bigint as area from detections")
