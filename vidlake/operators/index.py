@@ -161,28 +161,40 @@ def _distances(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (unit @ pivots.T)))
 
 
+#: Distances to pivots, and vectors of cells, that a task holds at once: 16 MB of the one, 4 MB of the other at 64 components.
+CELL_TILE, CELL_ROWS = 2_000_000, 8192
+
+
 def _to_cells(shared, reach: float | None):
     """A task's function: each vector in the cell of its nearest pivot; or, with a reach, in every cell that could hold a match of it.
 
-    A match x of y lies within reach r. Where x's nearest pivot is p and y's own is o,
-    d(y,p) <= d(x,p) + r <= d(x,o) + r <= d(y,o) + 2r; and d(y,p) differs from x's by at most r.
+    A match x of y lies within reach r. Where x's nearest pivot is p and o is another, x.p >= x.o,
+    so y.o - y.p <= r |o - p|; here o is y's own nearest pivot. And d(y,p) differs from x's by at most r.
+    A vector is sent to as many cells as pivots are that near, so a batch goes in tiles of
+    CELL_TILE distances and leaves in batches of CELL_ROWS rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, low, high = shared.value
+        step = max(1, CELL_TILE // max(1, len(pivots)))
         for batch in batches:
-            if not len(batch):
-                continue
-            unit = unit_rows(batch.column("embedding"))
-            far = _distances(unit, pivots)
-            if reach is None:
-                row, cell = np.arange(len(batch)), far.argmin(1)
-            else:
-                near = (far <= far.min(1)[:, None] + 2 * reach + SLACK) & (far >= low - reach - SLACK) & (far <= high + reach + SLACK)
-                row, cell = np.nonzero(near)
-            own = unit[row]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * unit.shape[1]), pa.array(own.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(far[row, cell]), batch.column("vec_id").take(pa.array(row)), lists], names=["cell", "far", "vec_id", "v"])
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                unit = unit_rows(part.column("embedding"))
+                cosine = unit @ pivots.T
+                far = np.sqrt(np.maximum(0.0, 2 - 2 * cosine))
+                if reach is None:
+                    row, cell = np.arange(len(part)), far.argmin(1)
+                else:
+                    own = cosine.argmax(1)
+                    near = cosine[np.arange(len(part)), own][:, None] - cosine <= reach * _distances(pivots[own], pivots) + SLACK
+                    near &= (far >= low - reach - SLACK) & (far <= high + reach + SLACK)
+                    row, cell = np.nonzero(near)
+                far, ids = far[row, cell], part.column("vec_id")
+                for lo in range(0, len(row), CELL_ROWS):
+                    own = unit[row[lo : lo + CELL_ROWS]]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * unit.shape[1]), pa.array(own.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[lo : lo + CELL_ROWS], pa.int32()), pa.array(far[lo : lo + CELL_ROWS]), ids.take(pa.array(row[lo : lo + CELL_ROWS])), lists], names=["cell", "far", "vec_id", "v"])
 
     return run
 
