@@ -92,7 +92,9 @@ def ba_messages(events: DataFrame, targets: DataFrame, zone: str = "UTC") -> Dat
     own_key = F.xxhash64("channel_index", "frame_index", "ba_type", "ba_label", "target_ids")  # an event's key is what it says: it survives the loss of a task
     keyed = events if "event_no" in events.columns else events.withColumn("event_no", own_key)
     ids = keyed.select("event_no", "channel_index", "frame_index", F.explode("target_ids").alias("track_id")).distinct()
-    own = targets.select("channel_index", "frame_index", "track_id", F.array_join("secondary", "|").alias("labels"))
+    # first by track alone, by which targets are often dealt out already
+    meant = targets.join(ids.select("channel_index", "track_id").distinct().hint("shuffle_hash"), ["channel_index", "track_id"], "left_semi")
+    own = meant.select("channel_index", "frame_index", "track_id", F.array_join("secondary", "|").alias("labels"))
     labels = ids.join(own.hint("merge"), ["channel_index", "frame_index", "track_id"]).groupBy("event_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("track_id", "labels"))), lambda t: t["labels"]), ",").alias("labels"))
     both = keyed.join(labels.hint("merge"), "event_no", "left")
     region = F.array_join(F.transform("region", lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), ",")

@@ -407,7 +407,7 @@ _WHEN = "strftime(timestamp '2024-01-01 00:00:00' + to_milliseconds(frame_index:
 
 @query("ba_messages", f"with {PB.STOPS} select e.channel_index, e.frame_index, ba_type, '<--' {_L} {_WHEN.replace('frame_index', 'e.frame_index')} {_L} e.channel_index || ',' || e.frame_index {_L} ba_type || ',' || ba_label {_L} e.track_id {_L} '20,30,600,40,600,300,10,300' {_L} coalesce('k' || primary_class_id || '|w' || width, '') {_L} 'i.jpg' {_L} '' {_L} '-->' as message from stop_events e left join detections d using (channel_index, frame_index, track_id)")
 def ba_messages(spark, d):
-    found = X.stored_detections(spark, d)
+    found = X.detections(spark, d)
     events = PB._stops(spark, d, found).withColumn("fps", F.lit(X.FPS)).withColumn("target_ids", F.array("track_id"))
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in X.REGION])
     events = S.frame_time(events).withColumns({"event_time": F.to_utc_timestamp("frame_ts", "UTC"), "region": ring, "image_name": F.lit("i.jpg"), "video_name": F.lit(None).cast("string"), "event_no": F.xxhash64("channel_index", "frame_index", "track_id", "ba_type")})
