@@ -25,9 +25,12 @@ def decode_yolo(raw: DataFrame, frames: DataFrame, conf: float = 0.5, score: flo
     """
     v = F.col("values")
     rows = raw.where(F.get(v, 4) >= conf).withColumn("scores", F.slice(v, F.lit(6), F.size(v) - 5)).where(F.array_max("scores") >= score)
-    both = rows.join(frames.select(*FRAME, "width", "height").distinct().hint("merge"), FRAME)
-    scaled = lambda k, of, size: (F.when(F.get(v, k) <= 1, F.get(v, k)).otherwise(F.get(v, k) / of) * F.col(size)).cast("int")
-    placed = both.select(*FRAME, "head", "row_no", scaled(0, in_w, "width").alias("cx"), scaled(1, in_h, "height").alias("cy"), scaled(2, in_w, "width").alias("w"), scaled(3, in_h, "height").alias("h"), _first_max(F.col("scores")).alias("primary_class_id"), F.get(v, 4).alias("primary_score"))
+    # numbers and not lists are sorted for the join
+    shares = [F.when(F.get(v, k) <= 1, F.get(v, k)).otherwise(F.get(v, k) / of).alias(f"_v{k}") for k, of in enumerate((in_w, in_h, in_w, in_h))]
+    narrow = rows.select(*FRAME, "head", "row_no", *shares, _first_max(F.col("scores")).alias("primary_class_id"), F.get(v, 4).alias("primary_score"))
+    both = narrow.join(frames.select(*FRAME, "width", "height").distinct().hint("merge"), FRAME)
+    scaled = lambda k, size: (F.col(f"_v{k}") * F.col(size)).cast("int")
+    placed = both.select(*FRAME, "head", "row_no", scaled(0, "width").alias("cx"), scaled(1, "height").alias("cy"), scaled(2, "width").alias("w"), scaled(3, "height").alias("h"), "primary_class_id", "primary_score")
     return placed.selectExpr(*FRAME, "head", "row_no", "cast(cx - w div 2 as int) as x", "cast(cy - h div 2 as int) as y", "w as width", "h as height", "primary_class_id", "primary_score")
 
 
