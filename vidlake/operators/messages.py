@@ -53,13 +53,18 @@ def with_fields(targets: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def with_sub_targets(targets: DataFrame, parts: DataFrame) -> DataFrame:
-    """targets with sub_targets: their parts (channel_index, frame_index, target_no, part_no and box fields) in order, each with the fields of a sub-target."""
+    """targets with sub_targets: their parts (channel_index, frame_index, target_no, part_no and box fields) in order, each with the fields of a sub-target.
+
+    Parts lie beside their targets as rows of one window, not in a join: so what is dealt
+    out by frame stays there, and no target keeps a grouping's buffer. The frame comes
+    first, as what is sorted is told apart by its first column fastest.
+    """
     full = with_fields(parts, SUB_TARGET_FIELDS)
-    keys = ["channel_index", "frame_index", "target_no"]
-    own = F.transform(F.sort_array(F.collect_list(F.struct("part_no", *[F.col(f).alias(f"_{f}") for f in SUB_TARGET_FIELDS]))), lambda p: F.struct(*[p[f"_{f}"].alias(f) for f in SUB_TARGET_FIELDS]))
-    lists = full.groupBy(*keys).agg(own.alias("sub_targets"))
-    both = targets.drop("sub_targets").join(lists.hint("merge"), keys, "left")
-    return both.withColumn("sub_targets", F.coalesce("sub_targets", F.array().cast(lists.schema["sub_targets"].dataType)))
+    keys = ["frame_index", "channel_index", "target_no"]
+    beside = full.dropna(subset=keys).select(*keys, F.col("part_no").alias("_no"), F.struct(*SUB_TARGET_FIELDS).alias("_part"))
+    own = Window.partitionBy(*keys).orderBy("_no", "_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    both = targets.drop("sub_targets").unionByName(beside, allowMissingColumns=True).withColumn("sub_targets", F.collect_list("_part").over(own))
+    return both.where("_part is null").drop("_no", "_part")
 
 
 def kind_messages(frames: DataFrame, targets: DataFrame, kind: str, xml: bool = False) -> DataFrame:
