@@ -44,13 +44,20 @@ def sync_update(a: DataFrame, b: DataFrame) -> DataFrame:
 
     A track_id of -1 and empty values of EMPTY are filled; LISTS grow by b's. Other
     columns stay a's. Only frames on which both have as many targets are merged; others
-    keep a's rows. Faces are merged alike, as a table of theirs.
+    keep a's rows. Faces are merged alike, as a table of theirs. b's targets lie beside
+    a's as rows of one window, not in a join: each branch is shuffled once by frame, and
+    not at all where it is dealt out so. The frame comes first, as what is sorted is told
+    apart by its first column fastest.
     """
     own = [c for c in (*EMPTY, *LISTS) if c in a.columns and c in b.columns]
-    y = b.select(*FRAME, "target_no", F.col("track_id").alias("_id"), *[F.col(c).alias(f"_b_{c}") for c in own])
-    sizes = lambda df, name: df.groupBy(*FRAME).agg(F.count(F.lit(1)).alias(name))
-    same = sizes(a, "n").join(sizes(b, "m").hint("merge"), FRAME).where("n = m").select(*FRAME)
-    both = a.join(y.join(same.hint("merge"), FRAME, "left_semi").hint("merge"), [*FRAME, "target_no"], "left")
+    frame = ["frame_index", "channel_index"]
+    beside = b.dropna(subset=frame).select(*FRAME, "target_no", F.struct(F.col("track_id").alias("_id"), *[F.col(c).alias(f"_b_{c}") for c in own]).alias("_theirs"))
+    rows = a.withColumn("_mine", F.lit(True)).unionByName(beside, allowMissingColumns=True)
+    whole = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = rows.withColumn("_found", F.collect_list(F.when(F.col("target_no").isNotNull(), F.col("_theirs"))).over(whole(*frame, "target_no")))
+    alike = F.count("_mine").over(whole(*frame)) == F.count("_theirs").over(whole(*frame))
+    mine = found.withColumn("_alike", alike).where("_mine").withColumn("_theirs", F.explode_outer(F.when(F.col("_alike"), F.col("_found"))))
+    both = mine.select(*a.columns, "_theirs.*")
     kinds, new = dict(a.dtypes), {"track_id": F.when(F.col("track_id") == -1, F.coalesce("_id", "track_id")).otherwise(F.col("track_id"))}
     for c in own:
         if c in LISTS:

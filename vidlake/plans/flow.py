@@ -111,10 +111,10 @@ _NUMBERED = "{name} as (select channel_index, frame_index, (row_number() over (p
 def sync_update(spark, d):
     from pyspark.sql import Window
 
-    no = (F.row_number().over(Window.partitionBy("channel_index", "frame_index").orderBy("track_id")) - 1).cast("int")
+    no = (F.row_number().over(Window.partitionBy("frame_index", "channel_index").orderBy("track_id")) - 1).cast("int")
 
     def branch(name, own, has, where):
-        rows = X.detections(spark, d).where(where).withColumn("target_no", no)
+        rows = X.detections_by_frame(spark, d).where(where).withColumn("target_no", no)
         return rows.select("channel_index", "frame_index", "target_no", own.alias("track_id"), F.array(F.concat(F.lit(name), F.col("primary_class_id").cast("string"))).alias("secondary"), F.when(has, F.array(F.col("track_id").cast("double"))).otherwise(F.array().cast("array<double>")).alias("embedding"))
 
     t = F.col("track_id")
