@@ -88,17 +88,20 @@ def _place() -> Column:
     return F.concat_ws(",", F.col("channel_index").cast("string"), F.col("frame_index").cast("string"))
 
 
-def ba_messages(events: DataFrame, targets: DataFrame, zone: str = "UTC") -> DataFrame:
+def ba_messages(events: DataFrame, targets: DataFrame, zone: str = "UTC", tasks: int | None = None) -> DataFrame:
     """A block of lines for each event (event_time, ba_type, ba_label, target_ids, region, image_name, video_name) with the labels of its targets.
 
     Labels of a target have pipes between, targets commas, in order of track_id. Events
-    with no target on their frame have an empty line there.
+    with no target on their frame have an empty line there. tasks: into how many tasks
+    targets are dealt by channel and track, where they are; they then stay there.
     """
     own_key = F.xxhash64("channel_index", "frame_index", "ba_type", "ba_label", "target_ids")  # an event's key is what it says: it survives the loss of a task
     keyed = events if "event_no" in events.columns else events.withColumn("event_no", own_key)
     ids = keyed.select("event_no", "channel_index", "frame_index", F.explode("target_ids").alias("track_id")).distinct()
     # first by track alone, by which targets are often dealt out already
-    meant = targets.join(ids.select("channel_index", "track_id").distinct().hint("shuffle_hash"), ["channel_index", "track_id"], "left_semi")
+    tracks = ids.select("channel_index", "track_id")
+    tracks = tracks.repartition(tasks, "channel_index", "track_id") if tasks else tracks
+    meant = targets.join(tracks.distinct().hint("shuffle_hash"), ["channel_index", "track_id"], "left_semi")
     own = meant.select("channel_index", "frame_index", "track_id", F.array_join("secondary", "|").alias("labels"))
     labels = ids.join(own.hint("merge"), ["channel_index", "frame_index", "track_id"]).groupBy("event_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("track_id", "labels"))), lambda t: t["labels"]), ",").alias("labels"))
     both = keyed.join(labels.hint("merge"), "event_no", "left")
@@ -150,7 +153,7 @@ def first_per_track(history: DataFrame, min_tracked: int = 25, min_width: int =
     sized = history.where((F.col("width") >= min_width) & (F.col("height") >= min_height))
     tracked = F.col("track_id") >= 0
     qualify = sized.where(tracked & (F.col("history") >= min_tracked)) if only_for_tracked else sized
-    order = Window.partitionBy("channel_index", "track_id").orderBy("frame_index")
+    order = Window.partitionBy("track_id", "channel_index").orderBy("frame_index")
     first = qualify.where(tracked).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     return first if only_for_tracked else first.unionByName(sized.where(~tracked))
 

@@ -413,7 +413,7 @@ def ba_messages(spark, d):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in X.REGION])
     events = S.frame_time(events).withColumns({"event_time": F.to_utc_timestamp("frame_ts", "UTC"), "region": ring, "image_name": F.lit("i.jpg"), "video_name": F.lit(None).cast("string"), "event_no": F.xxhash64("channel_index", "frame_index", "track_id", "ba_type")})
     targets = found.withColumn("secondary", F.array(F.concat(F.lit("k"), F.col("primary_class_id").cast("string")), F.concat(F.lit("w"), F.col("width").cast("string"))))
-    return G.ba_messages(events, targets)
+    return G.ba_messages(events, targets, tasks=X.tasks(spark, d))
 
 
 def _embedded(spark, d):
