@@ -111,6 +111,23 @@ def test_link_components_of_a_large_group(spark):
     assert {k: got.get(k, k) for k in range(150)} == dict(enumerate(want))
 
 
+def test_decided_columns_are_not_carried_on(spark, monkeypatch):
+    """Columns of three sets are done with after two pivots; a larger one goes on without its pivots, and links among the rest are found."""
+    kept = []
+    whole = setjoin._open_columns
+    monkeypatch.setattr(setjoin, "_open_columns", lambda m: (lambda out: kept.append(out.count()) or out)(whole(m)))
+    own = lambda k, n=9: [1000 * k + j for j in range(1, n + 1)]
+    sets = {k: [k // 3, *own(k)] for k in range(90)}  # threes that share one element and do not link
+    sets |= {k: [500, *own(k)] for k in range(90, 120)}  # thirty that share one element
+    sets |= {k: [500, *own(k // 2 * 2)] for k in range(120, 130)}  # and five pairs of equals that link there
+    member = [(s[0], k, 1) for k, s in sets.items()]
+    table = spark.createDataFrame([(k, len(s), 0, s) for k, s in sets.items()], "id long, n long, last long, shingles array<long>")
+    got = setjoin.link_components(spark.createDataFrame(member, "h long, id long, r int"), table, prefixes=True)
+    assert {(r.id, r.component) for r in got.collect()} == {(k, k // 2 * 2) for k in range(120, 130)}
+    # all 130 before
+    assert kept and max(kept) <= 38
+
+
 def test_line_dedup(docs, empty, texts):
     all_texts = [*texts, texts[9], texts[12]]
     key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))

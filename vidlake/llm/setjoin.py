@@ -3,7 +3,8 @@
 Sets that share a column (a prefix n-gram, a MinHash band) may be linked. The
 incidence of sets and columns is multiplied column by column, never expanded to
 all pairs of a group: every column picks a few pivots, all its members are checked
-against these, and what a pivot links becomes one component. Members that are
+against these, and what a pivot links becomes one component. A pivot then leaves its
+column, where all its pairs are decided, and so does a member that is left alone. Members that are
 still in different components then meet on prefix elements alone, the rarest ones
 of each set, so no link between components is lost. Overlaps are added up over blocks
 of columns, and a pair is discarded once it cannot reach the bound.
@@ -72,10 +73,19 @@ def _pair(x: str, y: str) -> list[Column]:
 
 
 def _pivots(members: DataFrame, count: int, salt: int) -> DataFrame:
-    """(h, pivot) for `count` members a column: the most overlapped one first in round 0, the rest by hash."""
+    """(h, pivots, k) for `count` of the k members of a column, k - 1 at most: the most overlapped one first in round 0, the rest by hash."""
     who = F.struct("id", "n", "m", "last", "r", "component")
     picks = [F.max_by(who, F.struct("score", "id") if salt + k == 0 else F.xxhash64("id", F.lit(salt * 64 + k))) for k in range(count)]
-    return save(members.groupBy("h").agg(F.array_distinct(F.array(*picks)).alias("pivots")).select("h", F.explode("pivots").alias("pivot")), "pivots")
+    # the last hash's other end, so that two picks differ wherever there are two
+    picks.append(F.min_by(who, F.xxhash64("id", F.lit(salt * 64 + count - 1))))
+    picked = members.groupBy("h").agg(F.array_distinct(F.array(*picks)).alias("pivots"), F.count(F.lit(1)).alias("k"))
+    return save(picked.withColumn("pivots", F.slice("pivots", F.lit(1), F.least(F.lit(count), F.col("k").cast("int") - 1))), "pivots")
+
+
+def _undecided(members: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Members less the pivots of their column, of the columns that have two or more besides; the other pairs of a column have all been looked at."""
+    left = chosen.where(F.col("k") > F.size("pivots") + 1).select("h", F.transform("pivots", lambda p: p["id"]).alias("gone"))
+    return members.join(left.hint("merge"), "h").where(~F.array_contains("gone", F.col("id"))).drop("gone")
 
 
 def _open_columns(members: DataFrame) -> DataFrame:
@@ -136,7 +146,9 @@ def link_components(members: DataFrame, sets: DataFrame, prefixes: bool, blocks:
     members: distinct (h, id, r) of the columns that two or more sets have (r: place of
     the element in its set, or 0); sets: (id, n, last, after, p0, ...) as verified takes
     them, or (id, n, last, shingles), one row for every id of members. A column of k members costs as many
-    checks a round as it has pivots times k. Sets that are then still in different
+    checks a round as it has pivots times k. Of columns that decide (prefixes), pivots are
+    out after their round, so a column of up to three members is done with after the first;
+    bands keep theirs, as sets of open bands are compared whole. Sets that are then still in different
     components of a column are compared by prefix elements: of two linked sets, the
     first element in common is among the first n - ceil(8/9 n) + 1 of the smaller one and
     the first n - ceil(0.8 n) + 1 of the larger. prefixes: columns are already
@@ -156,33 +168,37 @@ def link_components(members: DataFrame, sets: DataFrame, prefixes: bool, blocks:
     drop(weighted)
     found, checked, done = [], None, []
 
-    def by_pivots(work: DataFrame, count: int, turn: int) -> tuple[DataFrame, bool]:
+    def by_pivots(work: DataFrame, count: int, turn: int, decides: bool) -> tuple[DataFrame, bool]:
         """What is open after all members are checked against `count` pivots a column; whether any joined."""
         nonlocal checked
         chosen = _pivots(work, count, turn)
         pairs = (
-            work.alias("x").join(chosen.hint("merge"), "h")
+            work.alias("x").join(chosen.select("h", F.explode("pivots").alias("pivot")).hint("merge"), "h")
             .where((F.col("pivot.component") != F.col("x.component")) & may_link("x", "pivot"))
             .select(*_pair("x", "pivot"))
             .groupBy("a", "b")
             .agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"))
         )
         pairs = save(pairs if checked is None else pairs.join(checked.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        drop(chosen)
         done.append(pairs)
         hits = save(verified(pairs, sets, blocks), "hits")
         checked = pairs.select("a", "b") if checked is None else checked.unionByName(pairs.select("a", "b"))
-        if hits.isEmpty():
+        joined = not hits.isEmpty()
+        if joined:
+            found.append(hits)
+        elif not decides:
+            drop(chosen)
             return work, False
-        found.append(hits)
-        moved = _relabel(work, hits)
+        rest = _undecided(work, chosen) if decides else work
+        moved = _relabel(rest, hits) if joined else save(rest, "members")
         drop(work)
+        drop(chosen)
         left = _open_columns(moved)
         drop(moved)
-        return left, True
+        return left, joined
 
     for turn, count in enumerate(PIVOTS):
-        work, moved = by_pivots(work, count, turn)
+        work, moved = by_pivots(work, count, turn, prefixes)
         if not moved or work.isEmpty():
             break
     if not prefixes and not work.isEmpty():
@@ -190,7 +206,7 @@ def link_components(members: DataFrame, sets: DataFrame, prefixes: bool, blocks:
         drop(work)
         work = _prefix_columns(open_ids, sets, blocks)
         drop(open_ids)
-        work, _ = by_pivots(work, PIVOTS[-1], len(PIVOTS))
+        work, _ = by_pivots(work, PIVOTS[-1], len(PIVOTS), True)
     if not work.isEmpty():
         short = work.where(F.col("r") + needed(F.col("n"), F.col("n")) <= F.col("n") + 1)
         x, y = short.alias("x"), work.alias("y")
