@@ -88,6 +88,19 @@ def _place() -> Column:
     return F.concat_ws(",", F.col("channel_index").cast("string"), F.col("frame_index").cast("string"))
 
 
+def _meant(targets: DataFrame, ids: DataFrame, tasks: int | None) -> DataFrame:
+    """The targets that ids (channel_index, frame_index, track_id) name.
+
+    They are found by track alone, by which targets are often dealt out already: a
+    track's frames are joined as a list, so only what is meant goes on.
+    """
+    named = ids.select("channel_index", "track_id", "frame_index")
+    named = named.repartition(tasks, "channel_index", "track_id") if tasks else named
+    lists = named.groupBy("channel_index", "track_id").agg(F.collect_set("frame_index").alias("_frames"))
+    both = targets.join(lists.hint("shuffle_hash"), ["channel_index", "track_id"])
+    return both.where(F.array_contains("_frames", F.col("frame_index"))).drop("_frames")
+
+
 def ba_messages(events: DataFrame, targets: DataFrame, zone: str = "UTC", tasks: int | None = None) -> DataFrame:
     """A block of lines for each event (event_time, ba_type, ba_label, target_ids, region, image_name, video_name) with the labels of its targets.
 
@@ -98,11 +111,7 @@ def ba_messages(events: DataFrame, targets: DataFrame, zone: str = "UTC", tasks:
     own_key = F.xxhash64("channel_index", "frame_index", "ba_type", "ba_label", "target_ids")  # an event's key is what it says: it survives the loss of a task
     keyed = events if "event_no" in events.columns else events.withColumn("event_no", own_key)
     ids = keyed.select("event_no", "channel_index", "frame_index", F.explode("target_ids").alias("track_id")).distinct()
-    # first by track alone, by which targets are often dealt out already
-    tracks = ids.select("channel_index", "track_id")
-    tracks = tracks.repartition(tasks, "channel_index", "track_id") if tasks else tracks
-    meant = targets.join(tracks.distinct().hint("shuffle_hash"), ["channel_index", "track_id"], "left_semi")
-    own = meant.select("channel_index", "frame_index", "track_id", F.array_join("secondary", "|").alias("labels"))
+    own = _meant(targets, ids, tasks).select("channel_index", "frame_index", "track_id", F.array_join("secondary", "|").alias("labels"))
     labels = ids.join(own.hint("merge"), ["channel_index", "frame_index", "track_id"]).groupBy("event_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("track_id", "labels"))), lambda t: t["labels"]), ",").alias("labels"))
     both = keyed.join(labels.hint("merge"), "event_no", "left")
     region = F.array_join(F.transform("region", lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), ",")
