@@ -52,29 +52,40 @@ def with_fields(targets: DataFrame, fields: Sequence[str]) -> DataFrame:
     return targets.withColumns({f: none(f) for f in missing})
 
 
-def with_sub_targets(targets: DataFrame, parts: DataFrame) -> DataFrame:
+def with_sub_targets(targets: DataFrame, parts: DataFrame, dealt: Sequence[str] = ()) -> DataFrame:
     """targets with sub_targets: their parts (channel_index, frame_index, target_no, part_no and box fields) in order, each with the fields of a sub-target.
 
     Parts lie beside their targets as rows of one window, not in a join: so what is dealt
     out by frame stays there, and no target keeps a grouping's buffer. The frame comes
-    first, as what is sorted is told apart by its first column fastest.
+    first, as what is sorted is told apart by its first column fastest. dealt: columns of
+    both that follow from a frame, by which rows are dealt out.
     """
     full = with_fields(parts, SUB_TARGET_FIELDS)
-    keys = ["frame_index", "channel_index", "target_no"]
+    keys = ["frame_index", "channel_index", "target_no", *dealt]
     beside = full.dropna(subset=keys).select(*keys, F.col("part_no").alias("_no"), F.struct(*SUB_TARGET_FIELDS).alias("_part"))
     own = Window.partitionBy(*keys).orderBy("_no", "_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     both = targets.drop("sub_targets").unionByName(beside, allowMissingColumns=True).withColumn("sub_targets", F.collect_list("_part").over(own))
     return both.where("_part is null").drop("_no", "_part")
 
 
-def kind_messages(frames: DataFrame, targets: DataFrame, kind: str, xml: bool = False) -> DataFrame:
-    """A message a frame with all fields that targets of the kind have: normal, face, text or pose (which has none)."""
+def kind_messages(frames: DataFrame, targets: DataFrame, kind: str, xml: bool = False, dealt: Sequence[str] = ()) -> DataFrame:
+    """A message a frame with all fields that targets of the kind have: normal, face, text or pose (which has none).
+
+    dealt: columns of both that follow from a frame, by which rows are dealt out.
+    """
     full = with_fields(targets, KIND_FIELDS[kind])
     # a target's own channel and frame are fields too: kept under other names, as the keys of a frame are grouped by
     named = full.withColumns({f"_{c}": F.col(c) for c in ("channel_index", "frame_index")})
     shown = [F.col(f"_{f}").alias(f) if f in ("channel_index", "frame_index") else F.col(f) for f in KIND_FIELDS[kind]]
-    items = named.groupBy("channel_index", "frame_index").agg(F.transform(F.sort_array(F.collect_list(F.struct("target_no", F.struct(*shown).alias("t")))), lambda t: t["t"]).alias("items"))
-    m = frames.join(items.hint("merge"), ["channel_index", "frame_index"]).select(
+    items = named.groupBy("channel_index", "frame_index", *dealt).agg(F.transform(F.sort_array(F.collect_list(F.struct("target_no", F.struct(*shown).alias("t")))), lambda t: t["t"]).alias("items"))
+    if dealt:
+        # frames meet by the columns that both are dealt by, as a list of each, which is short
+        lists = frames.groupBy("channel_index", *dealt).agg(F.collect_list(F.struct("frame_index", "width", "height", "fps")).alias("_frames"))
+        both = items.join(lists.hint("shuffle_hash"), ["channel_index", *dealt]).withColumn("_f", F.explode(F.filter("_frames", lambda f: f["frame_index"] == F.col("frame_index"))))
+        both = both.select("channel_index", "frame_index", "items", "_f.width", "_f.height", "_f.fps")
+    else:
+        both = frames.join(items.hint("merge"), ["channel_index", "frame_index"])
+    m = both.select(
         "channel_index", "frame_index", F.struct("channel_index", "frame_index", "width", "height", "fps", F.lit(kind).alias("broke_for"), F.size("items").alias(f"{kind}_size"), F.col("items").alias(f"{kind}_targets")).alias("m"),
     )
     return m.select("channel_index", "frame_index", (F.to_xml("m", {"rowTag": "message"}) if xml else F.to_json("m")).alias("message"))

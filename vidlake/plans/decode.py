@@ -387,12 +387,11 @@ _TOLD = X.DETECTIONS_SQL + """,
 
 @query("json_all_fields", f"with {_TOLD} select channel_index, frame_index, to_json({{'channel_index': channel_index, 'frame_index': frame_index, 'width': 800, 'height': 700, 'fps': 25, 'broke_for': 'normal', 'normal_size': count(*), 'normal_targets': list({{{_FIELDS}}} order by track_id)}})::varchar as message from told group by channel_index, frame_index")
 def json_all_fields(spark, d):
-    rows = X.detections_by_frame(spark, d).withColumn("target_no", F.col("track_id"))
-    parts = rows.selectExpr("channel_index", "frame_index", "target_no", "0 as part_no", "x", "y", "cast(width div 2 as int) as width", "cast(height div 2 as int) as height", "1 as class_id", "'plate' as label")
+    rows, dealt = X.detections_by_stretch(spark, d).withColumn("target_no", F.col("track_id")), ["frame_index_div"]
+    parts = rows.selectExpr("channel_index", "frame_index", *dealt, "target_no", "0 as part_no", "x", "y", "cast(width div 2 as int) as width", "cast(height div 2 as int) as height", "1 as class_id", "'plate' as label")
     # what is made of a row's own columns comes after the join, which sorts the rows
-    full = G.with_sub_targets(rows, parts).selectExpr("*", "0.5D as primary_score", "concat('class ', primary_class_id) as primary_label", "array(primary_class_id, 7) as secondary_class_ids", "array(0.25D) as secondary_scores", "array('tall') as secondary_labels")
-    frames = rows.select("channel_index", "frame_index").distinct().selectExpr("*", "25 as fps", "800 as width", "700 as height")
-    return G.kind_messages(frames, full, "normal")
+    full = G.with_sub_targets(rows, parts, dealt).selectExpr("*", "0.5D as primary_score", "concat('class ', primary_class_id) as primary_label", "array(primary_class_id, 7) as secondary_class_ids", "array(0.25D) as secondary_scores", "array('tall') as secondary_labels")
+    return G.kind_messages(X.frames_by_stretch(spark, d), full, "normal", dealt=dealt)
 
 
 _XML_ITEM = "    <normal_targets>' || chr(10) || '" + " || chr(10) || ".join(f"        <{c}>' || {c} || '</{c}>'" if k == 0 else f"'        <{c}>' || {c} || '</{c}>'" for k, c in enumerate(("x", "y", "width", "height", "primary_class_id"))) + " || chr(10) || '    </normal_targets>"
